@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid
+from . import bpe, langid, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_bpe": bpe.op8_bpe,
 }
 
