@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, toxicity
+from . import bpe, decontam, langid, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_bpe": bpe.op8_bpe,
+    "op10_decontamination": decontam.op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontamination": decontam.ORACLE_SQL,
+}
