@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, toxicity
+from . import bpe, decontam, langid, simhash, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op3_simhash": simhash.op3_simhash,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op10_decontamination": decontam.op10_decontamination,
