@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, simhash, toxicity
+from . import bpe, decontam, langid, licenses, simhash, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_simhash": simhash.op3_simhash,
+    "op5_licenses": licenses.op5_licenses,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op10_decontamination": decontam.op10_decontamination,
