@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, licenses, simhash, toxicity
+from . import bpe, decontam, langid, licenses, simhash, toxicity, wrappers
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_simhash": simhash.op3_simhash,
+    "op4_wrappers": wrappers.op4_wrappers,
     "op5_licenses": licenses.op5_licenses,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_bpe": bpe.op8_bpe,
