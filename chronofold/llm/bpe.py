@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 from array import array
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -146,33 +147,32 @@ def load(spec: str) -> RankArrayBpe:
     return _LOADED[key]
 
 
-def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode ``text_col``; ``vocabulary`` is a tokenizer file on the driver (a few MB, broadcast).
 
-    ``keep_ids`` adds the ids as an array and the decoded text. One narrow stage, no shuffle.
+    ``carry`` columns stay; ``keep_ids`` adds the ids as an array and the decoded text. No shuffle.
     """
     spark = df.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    id_type = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    source = df.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).cast("string").alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    made = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>", "decoded string"] * keep_ids]
 
     def run(batches):
         bpe, sha = load(spec.value), hashlib.sha256
         for batch in batches:
-            ids, rows = batch.column(0), [[] for _ in range(5)]
-            for text in batch.column(1):
-                packed = bpe.encode(text.as_py() or "")
-                decoded = bpe.decode(packed)
-                for out, value in zip(rows, (len(packed) // 4, sha(packed).hexdigest(), sha(decoded.encode()).hexdigest(), packed if keep_ids else None, decoded if keep_ids else None), strict=True):
-                    out.append(value)
-            made = [ids, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
+            last = batch.num_columns - 1
+            packed = [bpe.encode(t.as_py() or "") for t in batch.column(last)]
+            decoded = [bpe.decode(p) for p in packed]
+            cols = [batch.column(i) for i in range(last)]
+            cols += [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha(p).hexdigest() for p in packed]), pa.array([sha(t.encode()).hexdigest() for t in decoded])]
             if keep_ids:
-                made += [pa.array([array("i", p).tolist() for p in rows[3]], pa.list_(pa.int32())), pa.array(rows[4], pa.string())]
-            yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(made)])
+                ends = pa.array([0, *accumulate(len(p) // 4 for p in packed)], pa.int32())
+                cols += [pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(packed))])), pa.array(decoded)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *carry, *(m.split()[0] for m in made)])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, f"{kinds}, {', '.join(made)}")
 
 
 def default_vocabulary() -> str:

@@ -124,6 +124,12 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["hit"])
 
 
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text) of the documents that hold a phrase of an item."""
+    docs, items = docs.select("doc_id", F.col("text").cast("string").alias("text")), items.select("item_id", F.col("text").cast("string").alias("text"))
+    return Index(docs, items, window).exact().select("doc_id", "text_hash").distinct()
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     docs, items = docs.select("doc_id", F.col("text").cast("string").alias("text")), items.select("item_id", F.col("text").cast("string").alias("text"))

@@ -143,8 +143,8 @@ def train(documents: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, word
 _PARSERS: dict[int, CrossParser] = {}
 
 
-def identify(df: DataFrame, model: list[tuple[str, list[str]]], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns of each row plus lang_pred, score, phrase_rate. One narrow stage, no shuffle."""
+def identify(df: DataFrame, model: list[tuple[str, list[str]]], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "phrase_rate")) -> DataFrame:
+    """``carry`` columns of each row plus language, score and phrases per letter as ``names``. No shuffle."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
     source = df.select(*carry, F.col(text_col).cast("string").alias("__text"))
@@ -160,9 +160,9 @@ def identify(df: DataFrame, model: list[tuple[str, list[str]]], text_col: str =
             made = [parser.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             cols += [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, [*carry, "lang_pred", "score", "phrase_rate"])
+            yield pa.RecordBatch.from_arrays(cols, [*carry, *names])
 
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double, phrase_rate double")
+    return source.mapInArrow(run, f"{kinds}, {names[0]} string, {names[1]} double, {names[2]} double")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, licenses, simhash, toxicity, wrappers
+from . import bpe, decontam, katz, langid, licenses, simhash, toxicity, wrappers
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_wrappers": wrappers.op4_wrappers,
     "op5_licenses": licenses.op5_licenses,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_katz": katz.op7_katz,
     "op8_bpe": bpe.op8_bpe,
     "op10_decontamination": decontam.op10_decontamination,
 }

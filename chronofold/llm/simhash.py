@@ -27,22 +27,33 @@ from .components import components
 RADIUS = 3
 SHINGLE = 3
 TILE_ROWS = 4096
+WIDE_TILE_ROWS = 32_768
+BROADCAST_IDS = 1_000_000
 BLOCK = 512
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of word shingles, repeats included."""
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle, repeats included; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else [b" ".join(words)]
+        return np.empty(0, np.uint64)
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(words) - shingle + 1)
+
+
+def _majority(h: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(grams), CHUNK):
-        part = grams[at : at + CHUNK]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(42)), np.uint64, len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(ones * 2 > len(grams), bitorder="little").view(np.int64)[0])
+    for at in range(0, len(h), CHUNK):
+        ones += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash: a bit is 1 if over half of the shingle hashes have it; 0 without words."""
+    return _majority(shingles(text, shingle))
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -57,23 +68,22 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def joins(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, out: list[tuple[int, int]]) -> np.ndarray:
+    """Add to ``out`` pairs that connect what ``a``-``b`` connects beyond ``label``, nearest first; the new labels."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        # Each greater label hooks onto one smaller label, so no cycle can close.
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        out += zip(a[first].tolist(), b[first].tolist(), strict=True)
+        to = np.arange(len(label))
+        to[high] = np.minimum(x, y)[first]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
 
 
 def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -87,21 +97,21 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS)
     side = np.zeros(len(fps), bool)
     side[len(left) :] = True
     order = np.argsort(np.bitwise_count(fps), kind="stable")
-    fps, side, pops = fps[order], side[order], np.bitwise_count(fps[order]).astype(np.int64)
-    forest, out = _Forest(len(fps)), []
+    fps, side = fps[order], side[order]
+    pops, label, out = np.bitwise_count(fps).astype(np.int64), np.arange(len(fps)), []
     for i in range(0, len(fps), BLOCK):
         for j in range(i, len(fps), BLOCK):
             if pops[j] - pops[min(i + BLOCK, len(fps)) - 1] > radius:
                 break
-            near = np.bitwise_count(fps[i : i + BLOCK, None] ^ fps[None, j : j + BLOCK]) <= radius
-            a, b = np.nonzero(np.triu(near, 1) if i == j else near)
-            if not own:
-                cross = side[a + i] != side[b + j]
-                a, b = a[cross], b[cross]
-            for x, y in zip((a + i).tolist(), (b + j).tolist(), strict=True):
-                if forest.joins(x, y):
-                    out.append((int(order[x]), int(order[y])))
-    return out
+            apart = np.bitwise_count(fps[i : i + BLOCK, None] ^ fps[None, j : j + BLOCK])
+            a, b = np.nonzero(apart <= radius)
+            if i == j or not own:
+                real = (a + i < b + j) & (own | (side[a + i] != side[b + j]))
+                a, b = a[real], b[real]
+            if len(a):
+                nearest = np.argsort(apart[a, b], kind="stable")
+                label = _forest(label, a[nearest] + i, b[nearest] + j, out)
+    return [(int(order[x]), int(order[y])) for x, y in out]
 
 
 def _runs(batches, radius: int, node_type: pa.DataType):
@@ -170,6 +180,87 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
     return cold.unionByName(work.mapInArrow(compare, schema))
 
 
+def tiled_links(nodes: DataFrame, radii: tuple[int, ...], ratio: float, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
+    """Links (a, b) of ``nodes`` (node, fp, size): a spanning forest for each radius and pair of tiles.
+
+    For radii too wide for segments: fingerprints are tiled by size, since sets whose similarity is at
+    least ``ratio`` differ in size by no more, so only tiles of one size class or of neighbouring classes meet.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = nodes.schema["node"].dataType
+    node_type, schema = to_arrow_type(kind), f"a {kind.simpleString()}, b {kind.simpleString()}"
+    classed = nodes.withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-np.log(ratio).item())).cast("int"))
+    cuts = classed.groupBy("band").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("cuts"))
+    # A size class for each power of 1 / ratio: a few hundred rows at most, whatever the input.
+    cut = classed.join(F.broadcast(cuts), "band").withColumn("tile", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cuts")).cast("int"))
+    tiles = written(cut.groupBy("band", "tile").agg(F.collect_list("fp").alias("fp"), F.collect_list("node").alias("node")), "tiles")
+    partners = tiles.select("band", "tile", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band2")).join(F.broadcast(cuts.select(F.col("band").alias("band2"), F.col("cuts").alias("cuts2"))), "band2")
+    pairs = partners.select("band", "tile", "band2", F.explode(F.sequence(F.lit(0), F.col("cuts2") - 1)).alias("tile2")).where("band2 > band or tile2 >= tile")
+    right = tiles.select(F.col("band").alias("band2"), F.col("tile").alias("tile2"), F.col("fp").alias("fp2"), F.col("node").alias("node2"))
+    work = pairs.repartition("band", "tile", "band2", "tile2").join(tiles, ["band", "tile"]).join(right, ["band2", "tile2"])
+    work = work.select(((F.col("band") == F.col("band2")) & (F.col("tile") == F.col("tile2"))).alias("own"), "fp", "node", "fp2", "node2")
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, left, right = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(3)[i].values
+                nodes = batch.column(2)[i].values if own else pa.concat_arrays([batch.column(2)[i].values, batch.column(4)[i].values])
+                for radius in radii:
+                    found = tile_links(left.to_numpy().view(np.uint64), None if own else right.to_numpy().view(np.uint64), radius)
+                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array([p[k] for p in found], pa.int64())) for k in (0, 1)], schema=pa.schema([("a", node_type), ("b", node_type)]))
+
+    return work.mapInArrow(compare, schema).distinct()
+
+
+def _sets(df: DataFrame, shingle: int, keep: bool) -> DataFrame:
+    """doc_id, fp, size (distinct shingles) and, with ``keep``, their sorted hashes."""
+    source = df.select("doc_id", F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            made = [shingles(t.as_py(), shingle) for t in batch.column(1)]
+            sets = [np.unique(h) for h in made]
+            cols = [batch.column(0), pa.array([_majority(h) for h in made], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            if keep:
+                cols.append(pa.array([s.tobytes() for s in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "size", "hashes"][: len(cols)])
+
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long, size long" + ", hashes binary" * keep)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radii: tuple[int, ...] = (8, 14)) -> DataFrame:
+    """doc_id, component_id: groups of texts linked by a Jaccard similarity of word shingles of ``similarity`` or more.
+
+    Fingerprints of ``shingle`` words within the wide radius are candidates, found by tiled comparison, and
+    every link is then checked on the exact shingle sets. Equal fingerprints of equal size are one node.
+    Rows whose id is null have no component.
+    """
+    docs = docs.where(F.col("doc_id").isNotNull())
+    fps = written(_sets(docs, shingle, False), "fingerprints")
+    nodes = written(fps.groupBy("fp", "size").agg(F.min("doc_id").alias("node")), "nodes")
+    found = written(tiled_links(nodes, radii, similarity), "candidates")
+    ends = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    n = ends.count()
+    sets = docs.join(F.broadcast(ends) if n <= BROADCAST_IDS else ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(_sets(sets, shingle, True).select("doc_id", "hashes"), "shingle-sets")
+    pairs = found.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def check(batches):
+        for batch in batches:
+            good = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    linked = components(pairs.mapInArrow(check, f"a {kind}, b {kind}"))
+    named = nodes.join(linked, "node", "left").select("fp", "size", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(named, ["fp", "size"]).select("doc_id", "component_id")
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs`` (doc_id, text)."""
     fps = written(fingerprints(docs, shingle), "fingerprints")
