@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import queries
+
+QUERIES: dict = dict(queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(queries.ORACLE_SQL)
