@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Full-width ASCII and its plain form, the part of NFKC that a character map can do.
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
@@ -25,13 +26,13 @@ def narrow(text: Column) -> Column:
     return F.when(text.rlike("[！-～　]"), F.translate(text, WIDE, NARROW)).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC and strip, for stored terms; the hot paths use :func:`narrow`."""
     return text.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFKC, casefold, single spaces: the key under which terms and entities are equal."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))

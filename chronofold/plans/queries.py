@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions import times as tm
-from ..operators import catalog, compaction, intervals, lineage, retrieval, settlement
+from ..functions import documents, embedding, speech
+from ..operators import catalog, compaction, intervals, lineage, projection, retrieval, settlement
 from ..operators import timeline as tl
 from ..sources import adapters as src
+from ..streaming import turns
 from . import filters as flt
 
 TZ = "Asia/Shanghai"
@@ -427,3 +429,59 @@ def semantic_batch(spark, sf_dir):
 def contiguity_check(spark, sf_dir):
     _, e, _ = _tiers(spark, sf_dir)
     return intervals.contiguous(e, ["user_id"], ["timestamp", "summary_id"], (F.col("period_start_ts") >= LO) & (F.col("period_start_ts") < HI))
+
+
+# Projection, rendering, documents, embeddings, streams.
+@query(f"with {T} select conversation_id, count(*) as n_messages, min(position) as first_position from (select conversation_id, row_number() over (partition by conversation_id order by seq_no) - 1 as position from timeline where content is not null) group by 1")
+def projected_messages(spark, sf_dir):
+    t = src.timeline(spark, sf_dir).withColumnRenamed("content", "text").withColumns({"correlation_id": F.lit(None).cast("string"), "tool_name": F.lit(None).cast("string"), "arguments": F.lit(None).cast("string")})
+    out = projection.project(t, "openai_chat", ["conversation_id"], "seq_no")
+    return out.groupBy("conversation_id").agg(F.count("*").alias("n_messages"), F.min("position").alias("first_position"))
+
+
+@query(f"with {T} select conversation_id, sha256(string_agg('[' || strftime(make_timestamp((timestamp + 28800) * 1000000), '%Y-%m-%d') || ' ' || (['周一', '周二', '周三', '周四', '周五', '周六', '周日'])[isodow(make_timestamp((timestamp + 28800) * 1000000))] || ' ' || strftime(make_timestamp((timestamp + 28800) * 1000000), '%H:%M') || '] ' || role || ': ' || coalesce(content, ''), chr(10) order by seq_no)) as text_sha256 from timeline group by 1")
+def rendered_conversations(spark, sf_dir):
+    return projection.chat_lines(src.timeline(spark, sf_dir), ["conversation_id"], TZ).select("conversation_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"with {T}, h as (select conversation_id, seq_no as position, sha256(content) as h from timeline) select conversation_id, case when count(*) > 2 then 'append' else 'current' end as status, case when count(*) > 2 then 3 end as from_position from h group by 1")
+def frozen_ledger(spark, sf_dir):
+    fresh = src.timeline(spark, sf_dir).select("conversation_id", F.col("seq_no").alias("position"), F.sha2("content", 256).alias("h"))
+    return projection.frozen(fresh.where("position <= 2"), fresh, ["conversation_id"])
+
+
+@query()
+def canonical_props(spark, sf_dir):
+    e = src.table(spark, sf_dir, "events")
+    return e.select("event_id", documents.canonical_json(F.col("props")).alias("canonical"), documents.json_hash(F.col("props")).alias("hash"))
+
+
+@query()
+def sentence_segments(spark, sf_dir):
+    c = src.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(speech.sentence_array(F.col("text"))).alias("pos", "sentence"))
+
+
+@query()
+def hashed_embeddings(spark, sf_dir):
+    c = src.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return embedding.embed(c, "text").select("conv_id", "turn", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda x, y: x + y * y), 6).alias("norm"))
+
+
+@query()
+def turn_replay(spark, sf_dir):
+    e = _trace_events(spark, sf_dir)
+    return turns.replay(e)
+
+
+def _trace_events(spark, sf_dir) -> DataFrame:
+    """Conversations as turn events: a user message begins a turn, an assistant message completes it."""
+    t = src.timeline(spark, sf_dir)
+    event = F.when(F.col("turn_role") == "stimulus", "begin").when(F.col("turn_role") == "final", "complete").otherwise("abort")
+    return t.select(F.col("turn_id").alias("turn_key"), event.alias("event"), F.lit("").alias("correlation_id"), F.lit("").alias("status"), "timestamp", F.col("seq_no").alias("seq"))
+
+
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def hourly_activity(spark, sf_dir):
+    e = src.table(spark, sf_dir, "events")
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
