@@ -86,11 +86,12 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, out: list[tuple[int
         label = to[label]
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, more: np.ndarray | None = None, both: int = 128) -> list[tuple[int, int]]:
     """A spanning forest of the pairs within ``radius``; right None compares the tile with itself.
 
     Positions in the result count through left, then right. Blocks are cut in order of population count,
-    and block pairs whose counts differ beyond the radius are not compared.
+    and block pairs whose counts differ beyond the radius are not compared. With ``more``, second words of
+    the fingerprints in the same positions, a pair must also differ in at most ``both`` bits of the two.
     """
     own = right is None
     fps = left if own else np.concatenate([left, right])
@@ -98,6 +99,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS)
     side[len(left) :] = True
     order = np.argsort(np.bitwise_count(fps), kind="stable")
     fps, side = fps[order], side[order]
+    more = None if more is None else more[order]
     pops, label, out = np.bitwise_count(fps).astype(np.int64), np.arange(len(fps)), []
     for i in range(0, len(fps), BLOCK):
         for j in range(i, len(fps), BLOCK):
@@ -109,7 +111,11 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS)
                 real = (a + i < b + j) & (own | (side[a + i] != side[b + j]))
                 a, b = a[real], b[real]
             if len(a):
-                nearest = np.argsort(apart[a, b], kind="stable")
+                bits = apart[a, b]
+                if more is not None:
+                    bits = bits + np.bitwise_count(more[a + i] ^ more[b + j])
+                    a, b, bits = (x[bits <= both] for x in (a, b, bits))
+                nearest = np.argsort(bits, kind="stable")
                 label = _forest(label, a[nearest] + i, b[nearest] + j, out)
     return [(int(order[x]), int(order[y])) for x, y in out]
 
@@ -180,11 +186,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
     return cold.unionByName(work.mapInArrow(compare, schema))
 
 
-def tiled_links(nodes: DataFrame, radii: tuple[int, ...], ratio: float, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
-    """Links (a, b) of ``nodes`` (node, fp, size): a spanning forest for each radius and pair of tiles.
+def tiled_links(nodes: DataFrame, radii: tuple[tuple[int, int], ...], ratio: float, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
+    """Links (a, b) of ``nodes`` (node, fp, fp2, size): a spanning forest for each radius and pair of tiles.
 
     For radii too wide for segments: fingerprints are tiled by size, since sets whose similarity is at
     least ``ratio`` differ in size by no more, so only tiles of one size class or of neighbouring classes meet.
+    A radius is (bits of the first word, bits of both words).
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -194,56 +201,68 @@ def tiled_links(nodes: DataFrame, radii: tuple[int, ...], ratio: float, tile_row
     cuts = classed.groupBy("band").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("cuts"))
     # A size class for each power of 1 / ratio: a few hundred rows at most, whatever the input.
     cut = classed.join(F.broadcast(cuts), "band").withColumn("tile", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cuts")).cast("int"))
-    tiles = written(cut.groupBy("band", "tile").agg(F.collect_list("fp").alias("fp"), F.collect_list("node").alias("node")), "tiles")
+    lists = [F.collect_list(c).alias(c) for c in ("fp", "fp2", "node")]
+    tiles = written(cut.groupBy("band", "tile").agg(*lists), "tiles")
     partners = tiles.select("band", "tile", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band2")).join(F.broadcast(cuts.select(F.col("band").alias("band2"), F.col("cuts").alias("cuts2"))), "band2")
     pairs = partners.select("band", "tile", "band2", F.explode(F.sequence(F.lit(0), F.col("cuts2") - 1)).alias("tile2")).where("band2 > band or tile2 >= tile")
-    right = tiles.select(F.col("band").alias("band2"), F.col("tile").alias("tile2"), F.col("fp").alias("fp2"), F.col("node").alias("node2"))
+    right = tiles.select(F.col("band").alias("band2"), F.col("tile").alias("tile2"), *[F.col(c).alias(f"r_{c}") for c in ("fp", "fp2", "node")])
     work = pairs.repartition("band", "tile", "band2", "tile2").join(tiles, ["band", "tile"]).join(right, ["band2", "tile2"])
-    work = work.select(((F.col("band") == F.col("band2")) & (F.col("tile") == F.col("tile2"))).alias("own"), "fp", "node", "fp2", "node2")
+    work = work.select(((F.col("band") == F.col("band2")) & (F.col("tile") == F.col("tile2"))).alias("own"), "fp", "fp2", "node", "r_fp", "r_fp2", "r_node")
 
     def compare(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                own, left, right = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(3)[i].values
-                nodes = batch.column(2)[i].values if own else pa.concat_arrays([batch.column(2)[i].values, batch.column(4)[i].values])
-                for radius in radii:
-                    found = tile_links(left.to_numpy().view(np.uint64), None if own else right.to_numpy().view(np.uint64), radius)
+                own, *lists = (batch.column(k)[i] for k in range(7))
+                fp, fp2, nodes, fp_r, fp2_r, nodes_r = (x.values for x in lists)
+                words = lambda x: x.to_numpy().view(np.uint64)
+                left, right, more = words(fp), None, words(fp2)
+                if not own.as_py():
+                    right, more, nodes = words(fp_r), np.concatenate([more, words(fp2_r)]), pa.concat_arrays([nodes, nodes_r])
+                for first, both in radii:
+                    found = tile_links(left, right, first, more, both)
                     yield pa.RecordBatch.from_arrays([nodes.take(pa.array([p[k] for p in found], pa.int64())) for k in (0, 1)], schema=pa.schema([("a", node_type), ("b", node_type)]))
 
     return work.mapInArrow(compare, schema).distinct()
 
 
+def second(h: np.ndarray) -> np.ndarray:
+    """Independent hashes out of hashes, for a second fingerprint word."""
+    x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(29))
+
+
 def _sets(df: DataFrame, shingle: int, keep: bool) -> DataFrame:
-    """doc_id, fp, size (distinct shingles) and, with ``keep``, their sorted hashes."""
+    """doc_id and fp, fp2, size (distinct shingles), or with ``keep`` their sorted hashes."""
     source = df.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             made = [shingles(t.as_py(), shingle) for t in batch.column(1)]
             sets = [np.unique(h) for h in made]
-            cols = [batch.column(0), pa.array([_majority(h) for h in made], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
             if keep:
-                cols.append(pa.array([s.tobytes() for s in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "size", "hashes"][: len(cols)])
+                cols = {"hashes": pa.array([s.tobytes() for s in sets], pa.binary())}
+            else:
+                cols = {"fp": pa.array([_majority(h) for h in made], pa.int64()), "fp2": pa.array([_majority(second(h)) for h in made], pa.int64()), "size": pa.array([len(s) for s in sets], pa.int64())}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols.values()], ["doc_id", *cols])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long, size long" + ", hashes binary" * keep)
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, " + ("hashes binary" if keep else "fp long, fp2 long, size long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radii: tuple[int, ...] = (8, 14)) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radii: tuple[tuple[int, int], ...] = ((10, 16), (20, 30))) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of word shingles of ``similarity`` or more.
 
-    Fingerprints of ``shingle`` words within the wide radius are candidates, found by tiled comparison, and
-    every link is then checked on the exact shingle sets. Equal fingerprints of equal size are one node.
+    Two-word fingerprints of ``shingle`` words within a wide radius are candidates, found by tiled comparison,
+    and every link is then checked on the exact shingle sets. Equal fingerprints of equal size are one node.
     Rows whose id is null have no component.
     """
     docs = docs.where(F.col("doc_id").isNotNull())
     fps = written(_sets(docs, shingle, False), "fingerprints")
-    nodes = written(fps.groupBy("fp", "size").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = written(fps.groupBy("fp", "fp2", "size").agg(F.min("doc_id").alias("node")), "nodes")
     found = written(tiled_links(nodes, radii, similarity), "candidates")
     ends = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     n = ends.count()
     sets = docs.join(F.broadcast(ends) if n <= BROADCAST_IDS else ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(_sets(sets, shingle, True).select("doc_id", "hashes"), "shingle-sets")
+    sets = written(_sets(sets, shingle, True), "shingle-sets")
     pairs = found.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -257,8 +276,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     linked = components(pairs.mapInArrow(check, f"a {kind}, b {kind}"))
-    named = nodes.join(linked, "node", "left").select("fp", "size", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, ["fp", "size"]).select("doc_id", "component_id")
+    named = nodes.join(linked, "node", "left").select("fp", "fp2", "size", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(named, ["fp", "fp2", "size"]).select("doc_id", "component_id")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
