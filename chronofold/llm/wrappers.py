@@ -27,6 +27,7 @@ from .common import read_table, written
 
 PAGES_PER_HOST = 12
 BROADCAST_BYTES = 4_000_000
+BROADCAST_HOSTS = 100_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -227,10 +228,10 @@ def host_of(url) -> F.Column:
 def wrappers(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
     """host, wrapper (JSON) from about ``pages_per_host`` pages of each host."""
     rows = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("h"), "html")
-    sizes = rows.groupBy("host").count()
-    # Thin out by hash before any html moves; twice the wanted number, then the least hashes of each host.
+    sizes = written(rows.groupBy("host").count(), "host-sizes")
+    # Thin out by hash before any html moves: twice the wanted number, then the least hashes of each host.
     chance = F.pmod(F.col("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    thin = rows.join(sizes, "host").where(chance < F.lit(2.0 * pages_per_host) / F.col("count"))
+    thin = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes, "host").where(chance < F.lit(2.0 * pages_per_host) / F.col("count"))
     ranked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("h", "html"))).where(F.col("rank") <= pages_per_host)
     grouped = ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "html"))), lambda x: x["html"]).alias("pages"))
 
