@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +29,8 @@ from .common import read_table, written
 PAGES_PER_HOST = 12
 BROADCAST_BYTES = 4_000_000
 BROADCAST_HOSTS = 100_000
+#: Elements nested deeper only break text.
+DEEPEST = 120
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -73,7 +76,8 @@ def _framed(tag: str, attrs: dict[str, str], inside: bool) -> bool:
 
 def parse(page: str) -> Node:
     root = Node("", "", False, None)
-    at, pos, links, inside, raw_end = root, 0, 0, 0, None
+    at, pos, links, raw_end, depth = root, 0, 0, None, 0
+    beyond: Counter[str] = Counter()  # open elements below DEEPEST, which only break text
 
     def add(text: str) -> None:
         if text:
@@ -95,12 +99,15 @@ def parse(page: str) -> Node:
         if m[1] or m[4]:
             if tag == "a":
                 links = max(0, links - 1)
+            elif beyond[tag]:
+                beyond[tag] -= 1
+                at.items.append(Node(tag, tag, False, at))
             elif tag in BLOCKS:
-                node = at
+                node, up = at, 1
                 while node is not None and node.tag != tag:
-                    node = node.up
+                    node, up = node.up, up + 1
                 if node is not None and node.up is not None:
-                    at = node.up
+                    at, depth = node.up, depth - up
             continue
         if tag in RAW and not (m[3] or m[6] or "").endswith("/"):
             raw_end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
@@ -114,15 +121,19 @@ def parse(page: str) -> Node:
             continue
         links = 0
         while at.tag in ENDS and tag in ENDS[at.tag]:
-            at = at.up
+            at, depth = at.up, depth - 1
         attrs = _attrs(m[3] or m[6] or "")
         node, within = at, False
         while node is not None and not within:
             within, node = node.tag in ("article", "main"), node.up
         new = Node(tag, tag + "".join("." + c for c in sorted(attrs.get("class", "").split())), _framed(tag, attrs, within), at)
         at.items.append(new)
-        if tag not in VOID:
-            at = new
+        if tag in VOID:
+            continue
+        if depth < DEEPEST:
+            at, depth = new, depth + 1
+        else:
+            beyond[tag] += 1
 
 
 def clean(text: str) -> str:

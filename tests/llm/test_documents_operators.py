@@ -35,7 +35,7 @@ def test_alignment_is_union_free():
 
 
 def test_frames_without_article():
-    pages = [f'<body><div class="top">Site name</div><div><p>Body {i} text</p><p>Same line</p></div><div><a href=1>a</a> <a href=2>b</a></div></body>' for i in range(5)]
+    pages = [f'<body><div class="top">Site name</div><div><p>Body {i} text</p></div><h5>Same line</h5><div><a href=1>a</a> <a href=2>b</a></div></body>' for i in range(5)]
     wrapper = wrappers.infer(pages)
     assert wrappers.extract(pages[2], wrapper) == "Body 2 text"
 

@@ -17,7 +17,7 @@ def test_stages(spark, sf_dir):
 
 
 def test_edges(spark, tmp_path, sf_dir):
-    labels = spark.createDataFrame([(4, 0)], "doc_id long, quality int, toxic int").selectExpr("doc_id", "quality", "quality as toxic")
+    labels = spark.createDataFrame([(4, 0)], "doc_id long, quality int").selectExpr("doc_id", "quality", "quality as toxic")
     bench = spark.createDataFrame([(1, "zzz yyy")], "item_id long, text string")
     for docs in (edge_docs(spark), edge_docs(spark).limit(0)):
         save(docs, tmp_path, "documents")
