@@ -30,6 +30,7 @@ PATCH = 7
 LEAST_VOTES = 4
 ALL_PAIRS = 16
 SHIFT_BIN = 6.0
+BROADCAST_KEYS = 500_000
 
 _RNG = np.random.default_rng(20)
 #: 128 pairs of points inside the patch, drawn once from a fixed seed.
@@ -126,14 +127,19 @@ def corners(images: DataFrame) -> DataFrame:
 def matches(points: DataFrame) -> DataFrame:
     """Matched corners (p from one image, q from another, p.id < q.id) through the descriptor tables."""
     point = F.struct("id", "x", "y", "scale", "angle")
+    key = lambda i: F.lit(i << 32) + F.col(f"t{i}").cast("long") + F.lit(1 << 31)
+    keys = F.explode(F.array(*map(key, range(4)))).alias("key")
+    # Nearly all entries belong to one image, so only keys and ids are dealt out to find the others.
+    common = written(points.select("id", keys).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "media-keys")
+    shared_keys = F.broadcast(common) if common.count() <= BROADCAST_KEYS else common
     # An image once per entry, by its first corner there.
-    entries = points.select(point.alias("p"), F.posexplode(F.array("t0", "t1", "t2", "t3")).alias("t", "key")).groupBy("t", "key", "p.id").agg(F.min("p").alias("p")).drop("id")
-    sizes = entries.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("p").alias("first")).where("n > 1")
-    shared = written(entries.join(sizes, ["t", "key"]), "media-entries")
+    entries = points.select(point.alias("p"), keys).join(shared_keys, "key", "left_semi").groupBy("key", "p.id").agg(F.min("p").alias("p")).drop("id")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("first")).where("n > 1")
+    shared = written(entries.join(sizes, "key"), "media-entries")
     few = shared.where(F.col("n") <= ALL_PAIRS)
-    pairs = few.alias("a").join(few.alias("b"), ["t", "key"]).where("a.p.id < b.p.id").select(F.col("a.p").alias("p"), F.col("b.p").alias("q"))
+    pairs = few.alias("a").join(few.alias("b"), "key").where("a.p.id < b.p.id").select(F.col("a.p").alias("p"), F.col("b.p").alias("q"))
     many = shared.where(F.col("n") > ALL_PAIRS)
-    before = F.lag("p").over(Window.partitionBy("t", "key").orderBy("p.id"))
+    before = F.lag("p").over(Window.partitionBy("key").orderBy("p.id"))
     linked = many.withColumn("before", before).withColumn("q", F.explode(F.array_distinct(F.array("first", "before")))).where("q is not null and q.id <> p.id").select(F.col("q").alias("p"), F.col("p").alias("q"))
     return pairs.unionByName(linked).distinct()
 
