@@ -28,6 +28,7 @@ _WS = r"\t-\r \x85\xa0  -     　"
 #: The byte-level split of the public tokenizers (fixed value), with white space spelled out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 SHORT = 160
+SLICE = 200
 NONE = 1 << 30
 DEFAULT_FILE = "byte_bpe_50k.json"
 
@@ -150,18 +151,19 @@ def load(spec: str) -> RankArrayBpe:
 def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode ``text_col``; ``vocabulary`` is a tokenizer file on the driver (a few MB, broadcast).
 
-    ``carry`` columns stay; ``keep_ids`` adds the ids as an array and the decoded text. No shuffle.
+    ``carry`` columns stay; ``keep_ids`` adds the ids as an array. No shuffle.
     """
     spark = df.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     source = df.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    made = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>", "decoded string"] * keep_ids]
+    made = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * keep_ids]
 
     def run(batches):
         bpe, sha = load(spec.value), hashlib.sha256
-        for batch in batches:
+        # Small slices, so that ids and texts of a whole batch are never held together.
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             last = batch.num_columns - 1
             packed = [bpe.encode(t.as_py() or "") for t in batch.column(last)]
             decoded = [bpe.decode(p) for p in packed]
@@ -169,7 +171,7 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
             cols += [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha(p).hexdigest() for p in packed]), pa.array([sha(t.encode()).hexdigest() for t in decoded])]
             if keep_ids:
                 ends = pa.array([0, *accumulate(len(p) // 4 for p in packed)], pa.int32())
-                cols += [pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(packed))])), pa.array(decoded)]
+                cols.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(packed))])))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *carry, *(m.split()[0] for m in made)])
 
     return source.mapInArrow(run, f"{kinds}, {', '.join(made)}")
