@@ -61,7 +61,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"))
-    return bpe.encode_decode(docs, bpe.default_vocabulary(), keep_ids=True, carry=carry).drop("decoded")
+    return bpe.encode_decode(docs, bpe.default_vocabulary(), keep_ids=True, carry=carry)
 
 
 STAGES = [
