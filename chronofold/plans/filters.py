@@ -79,13 +79,13 @@ class FilterCompiler:
             usable = [i for i in items if self._comparable(kind.elementType, i)]
             return F.coalesce(F.arrays_overlap(value, F.array(*map(F.lit, usable))), F.lit(False)) if usable else F.lit(False)
         usable = [i for i in items if self._comparable(kind, i)]
-        found = F.coalesce(value.isin(*usable), F.lit(False)) if usable else F.lit(False)
+        found = value.isNotNull() & value.isin(*usable) if usable else F.lit(False)
         return found | value.isNull() if None in items else found
 
     def _operator(self, value: Column, kind, op: str, expected) -> Column:
         ranges = {"$gt": lambda a, b: a > b, "$gte": lambda a, b: a >= b, "$lt": lambda a, b: a < b, "$lte": lambda a, b: a <= b}
         if op in ranges:
-            return F.coalesce(ranges[op](value, F.lit(expected)), F.lit(False)) if self._comparable(kind, expected) else F.lit(False)
+            return value.isNotNull() & ranges[op](value, F.lit(expected)) if self._comparable(kind, expected) else F.lit(False)
         if op == "$in":
             return self._member(value, kind, expected)
         if op == "$nin":
