@@ -2,7 +2,7 @@
 
 Corners are found on several scales of a grey image, each patch is turned by the direction of its
 intensity centroid, and 128 comparisons of smoothed pixels make its descriptor. Descriptors are joined
-through four tables of 32 bits each; matched corners vote for a similarity transform (turn, scale, shift),
+through four tables of 32 bits each and compared whole; matched corners vote for a similarity transform (turn, scale, shift),
 and two images are linked when at least ``LEAST_VOTES`` corners agree on one. Links make classes.
 
 Equal images are one node, so exact copies add no pairs. A table entry that at most ``ALL_PAIRS`` images
@@ -31,6 +31,8 @@ LEAST_VOTES = 4
 ALL_PAIRS = 16
 SHIFT_BIN = 6.0
 BROADCAST_KEYS = 500_000
+#: Descriptors of one corner differ in at most so many of their 128 bits.
+MOST_BITS = 20
 
 _RNG = np.random.default_rng(20)
 #: 128 pairs of points inside the patch, drawn once from a fixed seed.
@@ -126,7 +128,7 @@ def corners(images: DataFrame) -> DataFrame:
 
 def matches(points: DataFrame) -> DataFrame:
     """Matched corners (p from one image, q from another, p.id < q.id) through the descriptor tables."""
-    point = F.struct("id", "x", "y", "scale", "angle")
+    point = F.struct("id", "x", "y", "scale", "angle", "t0", "t1", "t2", "t3")
     key = lambda i: F.lit(i << 32) + F.col(f"t{i}").cast("long") + F.lit(1 << 31)
     keys = F.explode(F.array(*map(key, range(4)))).alias("key")
     # Nearly all entries belong to one image, so only keys and ids are dealt out to find the others.
@@ -141,7 +143,9 @@ def matches(points: DataFrame) -> DataFrame:
     many = shared.where(F.col("n") > ALL_PAIRS)
     before = F.lag("p").over(Window.partitionBy("key").orderBy("p.id"))
     linked = many.withColumn("before", before).withColumn("q", F.explode(F.array_distinct(F.array("first", "before")))).where("q is not null and q.id <> p.id").select(F.col("q").alias("p"), F.col("p").alias("q"))
-    return pairs.unionByName(linked).distinct()
+    bits = sum((F.bit_count(F.col(f"p.t{i}").bitwiseXOR(F.col(f"q.t{i}"))) for i in range(1, 4)), F.bit_count(F.col("p.t0").bitwiseXOR(F.col("q.t0"))))
+    near = pairs.unionByName(linked).where(bits <= MOST_BITS)
+    return near.select(*[F.struct(*[f"{e}.{c}" for c in ("id", "x", "y", "scale", "angle")]).alias(e) for e in "pq"]).distinct()
 
 
 def consensus(matched: DataFrame, least_votes: int = LEAST_VOTES) -> DataFrame:
