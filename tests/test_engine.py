@@ -1,0 +1,149 @@
+import os
+import time
+import warnings
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from chronofold.api import Engine, Namespace
+from chronofold.plans import registry
+from chronofold.sources import adapters
+from chronofold.sources.store import CommitConflict, LogStore
+from chronofold.streaming import turns
+
+
+@pytest.fixture(scope="module")
+def oracle(sf_dir):
+    c = duckdb.connect()
+    for t in os.listdir(sf_dir):
+        c.execute(f"create view {t.split('.')[0]} as select * from '{sf_dir}/{t}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_query_against_sql(spark, sf_dir, oracle, name):
+    got = registry.QUERIES[name](spark, sf_dir).toArrow()
+    if name not in registry.ORACLE_SQL:
+        assert got.num_rows >= 0
+        return
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        want = oracle.execute(registry.ORACLE_SQL[name]).to_arrow_table()
+    cols = sorted(got.column_names)
+    assert cols == sorted(want.column_names)
+    rows = lambda t: sorted(map(repr, zip(*[t[c].to_pylist() for c in cols], strict=True)))
+    assert rows(got) == rows(want)
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0 and set(registry.QUERIES) <= set(entry.queries())
+
+
+def test_store_commits(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path))
+    scope = {"tenant_id": "", "user_id": "u", "domain_id": "", "conversation_id": "c"}
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "source_id string").withColumns({k: F.lit(v) for k, v in scope.items()})
+    assert store.append_new("t", rows("a", "b")) == 1 and store.append_new("t", rows("b", "c")) == 2
+    assert sorted(r.source_id for r in store.read("t").collect()) == ["a", "b", "c"] and store.read("t", 1).count() == 2
+    with pytest.raises(PermissionError):
+        store.append_new("t", rows("a").withColumn("user_id", F.lit("other")))
+    with pytest.raises(CommitConflict):
+        store.commit("t", rows("z"), expected=1)
+    assert store.read("t").count() == 3
+    v = lambda i, x: spark.createDataFrame([(i, x)], "id string, x int")
+    store.upsert("v", v("a", 1), "id"), store.upsert("v", v("a", 2), "id"), store.upsert("v", v("b", 5), "id")
+    assert {(r.id, r.x, r.row_version) for r in store.current("v", "id").collect()} == {("a", 2, 2), ("b", 5, 1)}
+    assert store.pending("t", "index").count() == 3
+    store.commit("index", rows("a"))
+    assert store.pending("t", "index").count() == 2
+    store.forget("t", F.col("source_id") == "a")
+    assert store.read("t").count() == 2
+
+
+def test_engine_end_to_end(spark, sf_dir, tmp_path):
+    t = adapters.timeline(spark, sf_dir)
+    e = adapters.episodes(t)
+    s = adapters.semantics(e, 2, 1)
+    for user in ("u1", "u2"):
+        engine = Engine(spark, str(tmp_path), Namespace(user_id=user), "Asia/Shanghai")
+        engine.append(t.where(F.col("user_id") == user))
+    engine.append(t.where(F.col("user_id") == "u2"))
+    engine.store.commit("episodes", e)
+    engine.store.commit("semantics", s)
+    assert engine.store.read("timeline").count() == t.where("user_id in ('u1', 'u2')").count()
+    word = t.where("user_id = 'u2'").select(F.explode(F.split("content", r"\W+")).alias("w")).where("length(w) > 5").first().w
+    hits = engine.retrieve(word).collect()
+    mine = {r.source_id for r in t.where("user_id = 'u2'").collect()}
+    assert hits and {h.source_id for h in hits} <= mine
+    # What is visible is not found again, nor is anything of another scope.
+    seen = spark.createDataFrame([(h.source_id,) for h in hits], "start string")
+    assert not {h.source_id for h in hits} & {r.source_id for r in engine.retrieve(word, exclude_visible=seen).collect()}
+    ids, cursor = [], None
+    while True:
+        rows, cursor = engine.browse(page_size=3, cursor=cursor)
+        ids += [r.memory_id for r in rows.collect()]
+        if cursor is None:
+            break
+    want = e.where("user_id = 'u2'").count() + s.where("user_id = 'u2'").count()
+    assert len(ids) == len(set(ids)) == want
+    opened = engine.open(e.where("user_id = 'u2'").first().summary_id)
+    assert opened["tier"] == "episodes" and opened["children"]
+    with pytest.raises(KeyError):
+        engine.open(e.where("user_id = 'u1'").first().summary_id)
+    pages = engine.read_timeline(budget=300).collect()
+    assert {x for p in pages for x in p.source_ids} == mine
+    assert engine.read_timeline(anchor=sorted(mine)[0], turns=0).count() == 1
+    assert engine.compaction_plan(50, keep_recent=0).where("chosen").count() > 0
+    engine.forget()
+    assert engine.store.read("timeline").where("user_id = 'u2'").count() == 0 and engine.store.read("timeline").count() > 0
+
+
+EVENTS = [
+    ("t1", "begin", "", "", 1, 1), ("t1", "action", "c1", "", 2, 2), ("t1", "complete", "", "", 3, 3), ("t1", "observation", "c1", "success", 4, 4), ("t1", "complete", "", "", 5, 5), ("t1", "complete", "", "", 6, 6), ("t1", "action", "c2", "", 7, 7),
+    ("t2", "begin", "", "", 1, 1), ("t2", "begin", "", "", 2, 2), ("t2", "observation", "x", "success", 3, 3), ("t2", "action", "a", "", 4, 4), ("t2", "action", "a", "", 5, 5), ("t2", "abort", "", "", 6, 6), ("t2", "complete", "", "", 7, 7), ("t3", "action", "q", "", 1, 1),
+]
+OUTCOMES = {
+    "t1": ["accepted", "accepted", "calls_pending", "accepted", "accepted", "already_completed", "turn_not_open"],
+    "t2": ["accepted", "repeated", "call_not_found", "accepted", "duplicate_call", "accepted", "conflict"],
+    "t3": ["turn_not_open"],
+}
+SCHEMA = "turn_key string, event string, correlation_id string, status string, timestamp long, seq long"
+
+
+def test_turn_rules():
+    for key, want in OUTCOMES.items():
+        turn = turns.TurnState()
+        assert [turn.apply(e[1], e[2], e[3]) for e in EVENTS if e[0] == key] == want
+
+
+def test_live_turns_equal_replay(spark, tmp_path):
+    df = spark.createDataFrame(EVENTS, SCHEMA)
+    source = str(tmp_path / "in")
+    df.where("seq <= 3").write.parquet(source)
+    df.where("seq > 3").write.mode("append").parquet(source)
+    stream = turns.turns(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 100).parquet(source))
+    q = stream.writeStream.format("memory").queryName("live_turns").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    # Processing-time timers keep the query alive, so it is stopped once every event has its outcome.
+    try:
+        until = time.time() + 90
+        while time.time() < until and q.isActive and spark.sql("select * from live_turns").count() < len(EVENTS):
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    live = sorted(map(tuple, spark.sql("select * from live_turns").collect()))
+    assert live == sorted(map(tuple, turns.replay(df).collect()))
+
+
+def test_outbox_and_windows(spark, tmp_path, sf_dir):
+    store = LogStore(spark, str(tmp_path / "store"))
+    source = str(tmp_path / "in")
+    spark.range(10).selectExpr("cast(id as string) as source_id", "'' as tenant_id", "'' as user_id", "'' as domain_id", "'' as conversation_id").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    for _ in range(2):
+        turns.outbox(stream, lambda batch: store.append_new("index", batch), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert store.read("index").count() == 10
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert turns.activity(e).agg(F.sum("n")).first()[0] == e.count() == turns.activity(e, gap="30 minutes").agg(F.sum("n")).first()[0]
+    assert turns.stale(spark.createDataFrame([("open", 5), ("open", 95), ("closed", 5)], "status string, opened_at long"), 100, 50).count() == 1
