@@ -81,7 +81,7 @@ def test_engine_end_to_end(spark, sf_dir, tmp_path):
     seen = spark.createDataFrame([(h.source_id,) for h in hits], "start string")
     assert not {h.source_id for h in hits} & {r.source_id for r in engine.retrieve(word, exclude_visible=seen).collect()}
     ids, cursor = [], None
-    while True:
+    for _ in range(100):
         rows, cursor = engine.browse(page_size=3, cursor=cursor)
         ids += [r.memory_id for r in rows.collect()]
         if cursor is None:
