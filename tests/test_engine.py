@@ -95,7 +95,7 @@ def test_engine_end_to_end(spark, sf_dir, tmp_path):
     pages = engine.read_timeline(budget=300).collect()
     assert {x for p in pages for x in p.source_ids} == mine
     assert engine.read_timeline(anchor=sorted(mine)[0], turns=0).count() == 1
-    assert engine.compaction_plan(50, keep_recent=0).where("chosen").count() > 0
+    assert engine.compaction_plan(50, keep_recent=0).count() > 0
     engine.forget()
     assert engine.store.read("timeline").where("user_id = 'u2'").count() == 0 and engine.store.read("timeline").count() > 0
 
