@@ -86,12 +86,11 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, out: list[tuple[int
         label = to[label]
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, more: np.ndarray | None = None, both: int = 128) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within ``radius``; right None compares the tile with itself.
+def _within(left: np.ndarray, right: np.ndarray | None, radius: int, more: np.ndarray | None, both: int):
+    """Arrays (a, b, bits) of the pairs within ``radius``, block by block; positions count through left, then right.
 
-    Positions in the result count through left, then right. Blocks are cut in order of population count,
-    and block pairs whose counts differ beyond the radius are not compared. With ``more``, second words of
-    the fingerprints in the same positions, a pair must also differ in at most ``both`` bits of the two.
+    Blocks are cut in order of population count, and block pairs whose counts differ beyond the radius are
+    not compared.
     """
     own = right is None
     fps = left if own else np.concatenate([left, right])
@@ -100,7 +99,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS,
     order = np.argsort(np.bitwise_count(fps), kind="stable")
     fps, side = fps[order], side[order]
     more = None if more is None else more[order]
-    pops, label, out = np.bitwise_count(fps).astype(np.int64), np.arange(len(fps)), []
+    pops = np.bitwise_count(fps).astype(np.int64)
     for i in range(0, len(fps), BLOCK):
         for j in range(i, len(fps), BLOCK):
             if pops[j] - pops[min(i + BLOCK, len(fps)) - 1] > radius:
@@ -115,9 +114,20 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS,
                 if more is not None:
                     bits = bits + np.bitwise_count(more[a + i] ^ more[b + j])
                     a, b, bits = (x[bits <= both] for x in (a, b, bits))
-                nearest = np.argsort(bits, kind="stable")
-                label = _forest(label, a[nearest] + i, b[nearest] + j, out)
-    return [(int(order[x]), int(order[y])) for x, y in out]
+                yield order[a + i], order[b + j], bits
+
+
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, more: np.ndarray | None = None, both: int = 128) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within ``radius``; right None compares the tile with itself.
+
+    Positions in the result count through left, then right. With ``more``, second words of the fingerprints
+    in the same positions, a pair must also differ in at most ``both`` bits of the two.
+    """
+    label, out = np.arange(len(left) + (0 if right is None else len(right))), []
+    for a, b, bits in _within(left, right, radius, more, both):
+        nearest = np.argsort(bits, kind="stable")
+        label = _forest(label, a[nearest], b[nearest], out)
+    return out
 
 
 def _runs(batches, radius: int, node_type: pa.DataType):
@@ -189,6 +199,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
 def tiled_links(nodes: DataFrame, radii: tuple[tuple[int, int], ...], ratio: float, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
     """Links (a, b) of ``nodes`` (node, fp, fp2, size): a spanning forest for each radius and pair of tiles.
 
+    With a further column ``label``, all pairs of different labels are returned instead of forests.
+
     For radii too wide for segments: fingerprints are tiled by size, since sets whose similarity is at
     least ``ratio`` differ in size by no more, so only tiles of one size class or of neighbouring classes meet.
     A radius is (bits of the first word, bits of both words).
@@ -201,26 +213,32 @@ def tiled_links(nodes: DataFrame, radii: tuple[tuple[int, int], ...], ratio: flo
     cuts = classed.groupBy("band").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("cuts"))
     # A size class for each power of 1 / ratio: a few hundred rows at most, whatever the input.
     cut = classed.join(F.broadcast(cuts), "band").withColumn("tile", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cuts")).cast("int"))
-    lists = [F.collect_list(c).alias(c) for c in ("fp", "fp2", "node")]
-    tiles = written(cut.groupBy("band", "tile").agg(*lists), "tiles")
+    parts = ["fp", "fp2", "node", *(c for c in ("label",) if c in nodes.columns)]
+    tiles = written(cut.groupBy("band", "tile").agg(*[F.collect_list(c).alias(c) for c in parts]), "tiles")
     partners = tiles.select("band", "tile", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band2")).join(F.broadcast(cuts.select(F.col("band").alias("band2"), F.col("cuts").alias("cuts2"))), "band2")
     pairs = partners.select("band", "tile", "band2", F.explode(F.sequence(F.lit(0), F.col("cuts2") - 1)).alias("tile2")).where("band2 > band or tile2 >= tile")
-    right = tiles.select(F.col("band").alias("band2"), F.col("tile").alias("tile2"), *[F.col(c).alias(f"r_{c}") for c in ("fp", "fp2", "node")])
+    right = tiles.select(F.col("band").alias("band2"), F.col("tile").alias("tile2"), *[F.col(c).alias(f"r_{c}") for c in parts])
     work = pairs.repartition("band", "tile", "band2", "tile2").join(tiles, ["band", "tile"]).join(right, ["band2", "tile2"])
-    work = work.select(((F.col("band") == F.col("band2")) & (F.col("tile") == F.col("tile2"))).alias("own"), "fp", "fp2", "node", "r_fp", "r_fp2", "r_node")
+    work = work.select(((F.col("band") == F.col("band2")) & (F.col("tile") == F.col("tile2"))).alias("own"), *parts, *[f"r_{c}" for c in parts])
 
     def compare(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                own, *lists = (batch.column(k)[i] for k in range(7))
-                fp, fp2, nodes, fp_r, fp2_r, nodes_r = (x.values for x in lists)
+                own, *lists = (batch.column(k)[i] for k in range(batch.num_columns))
+                lists = [x.values for x in lists]
+                here, there = lists[: len(parts)], lists[len(parts) :]
                 words = lambda x: x.to_numpy().view(np.uint64)
-                left, right, more = words(fp), None, words(fp2)
-                if not own.as_py():
-                    right, more, nodes = words(fp_r), np.concatenate([more, words(fp2_r)]), pa.concat_arrays([nodes, nodes_r])
+                left, right = words(here[0]), None if own.as_py() else words(there[0])
+                _, more, nodes, *labels = here if own.as_py() else map(pa.concat_arrays, zip(here, there, strict=True))
+                more, label = words(more), labels[0].dictionary_encode().indices.to_numpy() if labels else None
                 for first, both in radii:
-                    found = tile_links(left, right, first, more, both)
-                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array([p[k] for p in found], pa.int64())) for k in (0, 1)], schema=pa.schema([("a", node_type), ("b", node_type)]))
+                    if label is None:
+                        found = tile_links(left, right, first, more, both)
+                        ends = [([p[0] for p in found], [p[1] for p in found])]
+                    else:
+                        ends = ((a[label[a] != label[b]], b[label[a] != label[b]]) for a, b, _ in _within(left, right, first, more, both))
+                    for pair in ends:
+                        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(at, pa.int64())) for at in pair], schema=pa.schema([("a", node_type), ("b", node_type)]))
 
     return work.mapInArrow(compare, schema).distinct()
 
@@ -252,7 +270,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of word shingles of ``similarity`` or more.
 
     Two-word fingerprints of ``shingle`` words within a wide radius are candidates, found by tiled comparison,
-    and every link is then checked on the exact shingle sets. Equal fingerprints of equal size are one node.
+    and every link is then checked on the exact shingle sets. A forest of candidates connects all that they
+    connect; where some of its links fail the check, all candidates between the parts that are left are
+    checked too, so no candidate counts only through another. Equal fingerprints of equal size are one node.
     Rows whose id is null have no component.
     """
     docs = docs.where(F.col("doc_id").isNotNull())
@@ -263,7 +283,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     n = ends.count()
     sets = docs.join(F.broadcast(ends) if n <= BROADCAST_IDS else ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = written(_sets(sets, shingle, True), "shingle-sets")
-    pairs = found.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def check(batches):
@@ -275,7 +294,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    linked = components(pairs.mapInArrow(check, f"a {kind}, b {kind}"))
+    def verified(links: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("doc_id").alias(e), F.col("hashes").alias(h)) for e, h in (("a", "x"), ("b", "y")))
+        pairs = links.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        return written(pairs.mapInArrow(check, f"a {kind}, b {kind}"), "verified")
+
+    good = verified(found)
+    linked = components(good)
+    trees = components(found).select("node", F.col("component").alias("tree"))
+    parts = written(trees.join(linked, "node", "left").select("node", "tree", F.coalesce("component", "node").alias("label")), "parts")
+    split = parts.groupBy("tree").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("tree")
+    rest = written(nodes.join(parts.join(split, "tree", "left_semi").select("node", "label"), "node"), "split-nodes")
+    if rest.limit(1).count():
+        linked = components(good.unionByName(verified(written(tiled_links(rest, radii, similarity), "candidates"))))
     named = nodes.join(linked, "node", "left").select("fp", "fp2", "size", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, ["fp", "fp2", "size"]).select("doc_id", "component_id")
 

@@ -214,3 +214,32 @@ def test_decontamination_edges_and_proximity(spark):
     found = decontam.Index(near, items).near(2)
     assert {r.doc_id for r in found.collect()} >= {3} and all(abs(r["shift"]) <= 2 for r in found.collect())
     assert {r.doc_id for r in decontam.Index(near, items).exact().collect()} == {3}
+
+
+def test_near_duplicates_miss_no_candidate(spark):
+    """Chains in which many candidates fail the check: as if every candidate pair had been checked."""
+    rng = random.Random(11)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    texts = []
+    for _ in range(6):
+        base = [word() for _ in range(160)]
+        for _ in range(12):
+            base = [w if rng.random() > 0.017 else word() for w in base]
+            texts.append(" ".join(base))
+    rows = list(enumerate(texts, 1))
+    made = [simhash.shingles(t, 5) for t in texts]
+    fps = [(simhash._majority(h) & (2**64 - 1), simhash._majority(simhash.second(h)) & (2**64 - 1)) for h in made]
+    edges = []
+    for i in range(len(rows)):
+        for j in range(i):
+            near = (fps[i][0] ^ fps[j][0]).bit_count()
+            both = near + (fps[i][1] ^ fps[j][1]).bit_count()
+            x, y = set(made[i].tolist()), set(made[j].tolist())
+            if any(near <= a and both <= b for a, b in ((10, 16), (20, 30))) and len(x & y) >= 0.8 * len(x | y):
+                edges.append((j + 1, i + 1))
+    want = {n + 1: n + 1 for n in range(len(rows))}
+    for _ in rows:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
