@@ -1,13 +1,13 @@
 """Operator 9: copies of images by local descriptors.
 
 Corners are found on several scales of a grey image, each patch is turned by the direction of its
-intensity centroid, and 128 comparisons of smoothed pixels make its descriptor. Descriptors are joined
-through four tables of 32 bits each and compared whole; matched corners vote for a similarity transform (turn, scale, shift),
-and two images are linked when at least ``LEAST_VOTES`` corners agree on one. Links make classes.
+intensity centroid, and 128 comparisons of smoothed pixels make its descriptor. Descriptors meet
+in four tables of 32 bits each and are compared whole; those that differ in at most ``MOST_BITS`` bits vote
+for a similarity transform (turn, scale, shift), and two images are linked when at least ``LEAST_VOTES`` corners agree on one. Links make classes.
 
-Equal images are one node, so exact copies add no pairs. A table entry that at most ``ALL_PAIRS`` images
-share gives all of its pairs; a larger one links each image to the first and to the next, which keeps its
-images connected with two rows an image. The descriptors keep the ``MOST_CORNERS`` strongest corners, which
+Equal images are one node, so exact copies add no pairs. Images are dealt into tiles and all pairs of tiles
+are compared, one to a task, so all pairs in a table entry are compared, however many images share it; the
+number of tile pairs is quadratic in the number of distinct images. A task returns a forest of its links and the number of links of each image. The descriptors keep the ``MOST_CORNERS`` strongest corners, which
 is part of the description. Null, broken and flat images have no corners and are linked to equal bytes
 only. Images are raw grey (width, height, pixels) or binary PGM/PPM.
 """
@@ -18,22 +18,30 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, written
 from .components import components
+from .simhash import _forest
 
 MOST_CORNERS = 24
 SCALES = (1.0, 0.75, 0.5)
 PATCH = 7
 LEAST_VOTES = 4
-ALL_PAIRS = 16
+#: Images to a tile, and corners if the images are large; all pairs of tiles are compared.
+ALL_PAIRS = 4096
+TILE_CORNERS = 80_000
+MOST_TASKS = 500
+#: Pairs of corners compared at once.
+BLOCK = 1_000_000
 SHIFT_BIN = 6.0
-BROADCAST_KEYS = 500_000
 #: Descriptors of one corner differ in at most so many of their 128 bits.
 MOST_BITS = 20
 
+#: A corner: place, direction, scale it was found on, descriptor.
+POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", (16,))])
+
 _RNG = np.random.default_rng(20)
 #: 128 pairs of points inside the patch, drawn once from a fixed seed.
 TESTS = np.clip(np.rint(_RNG.normal(0, PATCH / 2.2, (128, 4))), -PATCH + 1, PATCH - 1).astype(np.float32)
@@ -107,7 +115,7 @@ def describe(image: np.ndarray) -> list[tuple[float, float, float, float, bytes]
 
 
 def corners(images: DataFrame) -> DataFrame:
-    """id, x, y, scale, angle, t0..t3 (the four tables' keys) from images (id, image)."""
+    """id, n_corners, points (a packed array of ``POINT``) from images (id, image); images without corners have no row."""
     kind = images.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -118,47 +126,111 @@ def corners(images: DataFrame) -> DataFrame:
             out = []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 image = decode(raw.as_py())
-                if image is not None:
-                    out += [(key, *c[:4], *np.frombuffer(c[4], np.int32).tolist()) for c in describe(image)]
-            kinds = [arrow, *[pa.float64()] * 4, *[pa.int32()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["id", "x", "y", "scale", "angle", "t0", "t1", "t2", "t3"])
-
-    return images.select("id", "image").mapInArrow(run, f"id {kind.simpleString()}, x double, y double, scale double, angle double, t0 int, t1 int, t2 int, t3 int")
-
-
-def matches(points: DataFrame) -> DataFrame:
-    """Matched corners (p from one image, q from another, p.id < q.id) through the descriptor tables."""
-    point = F.struct("id", "x", "y", "scale", "angle", "t0", "t1", "t2", "t3")
-    key = lambda i: F.lit(i << 32) + F.col(f"t{i}").cast("long") + F.lit(1 << 31)
-    keys = F.explode(F.array(*map(key, range(4)))).alias("key")
-    # Nearly all entries belong to one image, so only keys and ids are dealt out to find the others.
-    common = written(points.select("id", keys).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "media-keys")
-    shared_keys = F.broadcast(common) if common.count() <= BROADCAST_KEYS else common
-    # An image once per entry, by its first corner there.
-    entries = points.select(point.alias("p"), keys).join(shared_keys, "key", "left_semi").groupBy("key", "p.id").agg(F.min("p").alias("p")).drop("id")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("first")).where("n > 1")
-    shared = written(entries.join(sizes, "key"), "media-entries")
-    few = shared.where(F.col("n") <= ALL_PAIRS)
-    pairs = few.alias("a").join(few.alias("b"), "key").where("a.p.id < b.p.id").select(F.col("a.p").alias("p"), F.col("b.p").alias("q"))
-    many = shared.where(F.col("n") > ALL_PAIRS)
-    before = F.lag("p").over(Window.partitionBy("key").orderBy("p.id"))
-    linked = many.withColumn("before", before).withColumn("q", F.explode(F.array_distinct(F.array("first", "before")))).where("q is not null and q.id <> p.id").select(F.col("q").alias("p"), F.col("p").alias("q"))
-    bits = sum((F.bit_count(F.col(f"p.t{i}").bitwiseXOR(F.col(f"q.t{i}"))) for i in range(1, 4)), F.bit_count(F.col("p.t0").bitwiseXOR(F.col("q.t0"))))
-    near = pairs.unionByName(linked).where(bits <= MOST_BITS)
-    return near.select(*[F.struct(*[f"{e}.{c}" for c in ("id", "x", "y", "scale", "angle")]).alias(e) for e in "pq"]).distinct()
-
-
-def consensus(matched: DataFrame, least_votes: int = LEAST_VOTES) -> DataFrame:
-    """Links (a, b, votes) whose corners agree on one turn, scale and shift."""
-    turn = F.col("q.angle") - F.col("p.angle")
-    m = matched.withColumn("grow", F.col("p.scale") / F.col("q.scale")).withColumn("c", F.cos(turn)).withColumn("s", F.sin(turn))
-    dx = F.col("q.x") - F.col("grow") * (F.col("c") * F.col("p.x") - F.col("s") * F.col("p.y"))
-    dy = F.col("q.y") - F.col("grow") * (F.col("s") * F.col("p.x") + F.col("c") * F.col("p.y"))
+                if image is not None and (found := describe(image)):
+                    out.append((key, len(found), np.array([(*c[:4], np.frombuffer(c[4], np.uint8)) for c in found], POINT).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((arrow, pa.int64(), pa.binary()))], ["id", "n_corners", "points"])
+
+    return images.select("id", "image").mapInArrow(run, f"id {kind.simpleString()}, n_corners long, points binary")
+
+
+def _blocks(first: np.ndarray, most: int):
+    """Runs (from, to) that hold at most ``most``, or one thing that holds more; thing i holds first[i] to first[i + 1]."""
+    i = 0
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _agreed(p: np.ndarray, q: np.ndarray, pair: np.ndarray, least_votes: int) -> np.ndarray:
+    """The values of ``pair`` under which at least ``least_votes`` matched corners p, q agree on one turn, scale and shift."""
+    turn, grow = q["angle"] - p["angle"], p["scale"] / q["scale"]
+    c, s = grow * np.cos(turn), grow * np.sin(turn)
+    dx, dy = (q["x"] - c * p["x"] + s * p["y"]) / SHIFT_BIN, (q["y"] - s * p["x"] - c * p["y"]) / SHIFT_BIN
+    turn, grow = np.mod(turn, np.float32(2 * np.pi)) / 0.5, np.rint(np.log2(grow) * 2)
+    good = []
     # Two sets of bins, half a bin apart, so that no agreement falls on a border of both.
-    bins = [F.struct(F.lit(k).alias("k"), F.floor(F.pmod(turn, F.lit(2 * np.pi)) / 0.5 + k / 2).alias("turn"), F.round(F.log2("grow") * 2).alias("grow"), F.floor(dx / SHIFT_BIN + k / 2).alias("dx"), F.floor(dy / SHIFT_BIN + k / 2).alias("dy")) for k in (0, 1)]
-    votes = m.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.struct("p.x", "p.y", "p.scale").alias("at"), F.explode(F.array(*bins)).alias("bin"))
-    counted = votes.groupBy("a", "b", "bin").agg(F.count_distinct("at").alias("votes")).groupBy("a", "b").agg(F.max("votes").alias("votes"))
-    return counted.where(F.col("votes") >= least_votes)
+    for k in (0, 0.5):
+        key = pair.astype(np.int64)
+        for part in (np.floor(turn + k), grow, np.floor(dx + k), np.floor(dy + k)):
+            part = part.astype(np.int64) - int(part.min())
+            key = key * (int(part.max()) + 1) + part
+        # Bins of fewer matches than votes go first, by a count of their hashes.
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+        some = np.flatnonzero(np.bincount(slot.view(np.int64), minlength=1 << 20)[slot] >= least_votes)
+        if not len(some):
+            continue
+        at = p[some]
+        rows = np.unique(np.rec.fromarrays([pair[some], key[some], at["x"], at["y"], at["scale"]]))
+        _, where, votes = np.unique(rows["f1"], return_index=True, return_counts=True)
+        good.append(rows["f0"][where[votes >= least_votes]])
+    return np.unique(np.concatenate(good)) if good else np.empty(0, np.int64)
+
+
+def linked_pairs(points: list[np.ndarray], right: np.ndarray, own: bool, least_votes: int = LEAST_VOTES) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of all linked images; ``points`` are in the order of the ids.
+
+    Images of one side (``right`` False) meet those of the other, or with ``own`` each other. All pairs of
+    corners that share an entry of a table are compared whole, however many share it.
+    """
+    sides = [np.arange(len(points))] * 2 if own else [np.flatnonzero(~right), np.flatnonzero(right)]
+    if not len(sides[0]) or not len(sides[1]):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    (x, x_of, n), (y, y_of, _) = ((np.concatenate([points[i] for i in side]), np.repeat(side, sizes := [len(points[i]) for i in side]), sizes) for side in sides)
+    x_words, y_words = (np.ascontiguousarray(e["bits"]).view(np.uint32) for e in (x, y))
+    orders = [np.argsort(y_words[:, w]) for w in range(4)]
+    from_to = [[np.searchsorted(y_words[o, w], x_words[:, w], side) for side in ("left", "right")] for w, o in enumerate(orders)]
+    x_first = np.concatenate([[0], np.cumsum(n)])
+    met = np.concatenate([[0], np.cumsum(sum(hi - lo for lo, hi in from_to))])
+    out = []
+    for i, i_end in _blocks(met[x_first], BLOCK):
+        found = []
+        for w, (order, (lo, hi)) in enumerate(zip(orders, from_to, strict=True)):
+            for k, k_end in _blocks(np.concatenate([[0], np.cumsum((hi - lo)[x_first[i] : x_first[i_end]])]), BLOCK):
+                rows = np.arange(x_first[i] + k, x_first[i] + k_end)
+                many = (hi - lo)[rows]
+                a = np.repeat(rows, many)
+                b = order[np.arange(len(a)) + np.repeat(lo[rows] - np.cumsum(many) + many, many)]
+                real = x_of[a] < y_of[b] if own else np.ones(len(a), bool)
+                for earlier in range(w):  # met there already
+                    real &= x_words[a, earlier] != y_words[b, earlier]
+                a, b = a[real], b[real]
+                near = np.bitwise_count(x_words[a] ^ y_words[b]).sum(axis=1, dtype=np.uint8) <= MOST_BITS
+                found.append((a[near], b[near]))
+        a, b = (np.concatenate([f[e] for f in found]) for e in (0, 1))
+        if not len(a):
+            continue
+        p, q, low, high = x[a], y[b], x_of[a], y_of[b]
+        back = low > high
+        p[back], q[back] = y[b[back]], x[a[back]]
+        out.append(_agreed(p, q, np.minimum(low, high) * len(points) + np.maximum(low, high), least_votes))
+    return np.divmod(np.concatenate(out) if out else np.empty(0, np.int64), len(points))
+
+
+def links(points: DataFrame, least_votes: int = LEAST_VOTES) -> DataFrame:
+    """(a, b, n) of corners: with b, a link of a forest that connects what the links connect; without, n links of a."""
+    kind = points.schema["id"].dataType.simpleString()
+    total = points.agg(F.count("*").alias("images"), F.sum("n_corners").alias("corners")).first()
+    n = max(-(-total["images"] // ALL_PAIRS), -(-(total["corners"] or 0) // TILE_CORNERS), 1)
+    tile = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(n))
+    dealt = points.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1))))
+    ends = [F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")]
+    dealt = dealt.select("id", "points", (F.col("tile") > F.col("other")).alias("right"), *ends).repartition(min(n * (n + 1) // 2, MOST_TASKS), "lo", "hi")
+
+    def compare(key, table):
+        table = table.sort_by("id")
+        ids = table.column("id").combine_chunks()
+        packed = [np.frombuffer(v.as_buffer(), POINT) for v in table.column("points")]
+        a, b = linked_pairs(packed, table.column("right").to_numpy(), key[0].as_py() == key[1].as_py(), least_votes)
+        forest: list[tuple[int, int]] = []
+        _forest(np.arange(len(packed)), a, b, forest)
+        degree = np.bincount(np.concatenate([a, b]), minlength=len(packed))
+        have = np.flatnonzero(degree)
+        at = np.concatenate([np.array([f[0] for f in forest], np.int64), have])
+        to = pa.array([f[1] for f in forest] + [None] * len(have), pa.int64())
+        return pa.table({"a": ids.take(pa.array(at)), "b": ids.take(to), "n": pa.array([0] * len(forest) + degree[have].tolist(), pa.int64())})
+
+    return dealt.groupBy("lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}, n long")
 
 
 def copies(images: DataFrame, least_votes: int = LEAST_VOTES) -> DataFrame:
@@ -166,10 +238,10 @@ def copies(images: DataFrame, least_votes: int = LEAST_VOTES) -> DataFrame:
     hashed = images.select("id", F.sha2(F.coalesce("image", F.lit(b"").cast("binary")), 256).alias("h"), "image")
     nodes = written(hashed.groupBy("h").agg(F.min("id").alias("node"), F.first("image").alias("image")), "media-nodes")
     points = written(corners(nodes.where("node is not null").select(F.col("node").alias("id"), "image")), "media-corners")
-    found = written(consensus(matches(points), least_votes), "media-links")
-    classes = components(found.select("a", "b"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    n = points.groupBy(F.col("id").alias("node")).agg(F.count("*").alias("n_corners"))
+    found = written(links(points, least_votes), "media-links")
+    classes = components(found.where("b is not null").select("a", "b"))
+    degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    n = points.select(F.col("id").alias("node"), "n_corners")
     named = nodes.select("h", "node").join(classes, "node", "left").join(degree, "node", "left").join(n, "node", "left")
     zero = F.lit(0).cast("long")
     return hashed.select("id", "h").join(named, "h").select("id", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_corners", zero).alias("n_corners"))

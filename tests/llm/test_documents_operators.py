@@ -116,3 +116,29 @@ def test_media_query_edges(spark, tmp_path):
     assert len(got) == len(rows) and {r.class_id for r in got if r.vec_id in (5, 6)} == {5}
     save(df.limit(0), tmp_path, "embeddings")
     assert media.op9_media(spark, str(tmp_path)).count() == 0
+
+
+def test_crowded_entries_lose_no_link(spark):
+    """40 edits of one picture share their entries: as many links as when all pairs of corners are compared."""
+    rng = np.random.default_rng(4)
+    b = media.resize(rng.uniform(0, 255, (10, 10)).astype(np.float32), 80, 80)
+    rows = [(i, bytearray(media.encode_pgm(b * (0.9 + i / 400) + rng.normal(0, 1, b.shape)))) for i in range(40)]
+    found = [media.describe(media.decode(bytes(raw))) for _, raw in rows]
+    linked = np.zeros((40, 40), bool)
+    for i in range(40):
+        for j in range(i + 1, 40):
+            votes = {}
+            for px, py, ps, pt, pd in found[i]:
+                for qx, qy, qs, qt, qd in found[j]:
+                    words = np.frombuffer(pd, np.uint32) ^ np.frombuffer(qd, np.uint32)
+                    if (words == 0).any() and np.bitwise_count(words).sum() <= media.MOST_BITS:
+                        turn, grow = qt - pt, ps / qs
+                        dx = qx - grow * (np.cos(turn) * px - np.sin(turn) * py)
+                        dy = qy - grow * (np.sin(turn) * px + np.cos(turn) * py)
+                        for k in (0, 1):
+                            key = (k, np.floor(turn % (2 * np.pi) / 0.5 + k / 2), np.rint(np.log2(grow) * 2), np.floor(dx / media.SHIFT_BIN + k / 2), np.floor(dy / media.SHIFT_BIN + k / 2))
+                            votes.setdefault(key, set()).add((px, py, ps))
+            linked[i, j] = linked[j, i] = any(len(v) >= media.LEAST_VOTES for v in votes.values())
+    assert linked.sum() > 40 * 30
+    got = {r.id: r.n_links for r in media.copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert [got[i] for i in range(40)] == linked.sum(axis=1).tolist()
