@@ -118,3 +118,15 @@ def test_licenses_equal_plain_search(spark, sf_dir):
         assert got.base_labels == ",".join(sorted({name for name, _ in base})) and got.labels == ",".join(labels)
         assert (got.score > 0) == bool(labels) and got.score <= 1
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_spelled_runs_are_cut_into_words():
+    noise = toxicity.Deobfuscator({"idiot": 50, "clown": 20, "you": 90, "are": 90, "such": 30, "station": 20})
+    for text in ("you are a c l o w n", "y o u a r e a c l o w n", "c.l.0.w.n y.o.u", "s t a t i o n " * 40 + "c l o w n"):
+        assert "clown" in noise.restored(text), text
+    for text in ("such a i d i o t", "y o u i d i o t", "y o u 1 d 1 0 t", "i i d d i o t y o u"):
+        assert "idiot" in noise.restored(text), text
+    assert sorted(noise.cut("y o u a r e a i d i o t")) == ["a", "are", "idiot", "you"]
+    assert "idiot" not in noise.restored("s t a t i o n")
+    model = {"words": noise.counts, "units": {"clown": 5.0}, "coef": [-4.0, 2.0]}
+    assert toxicity.Scorer(model).score("l e t t e r s " * 30 + "a c l o w n") > 0.5 > toxicity.Scorer(model).score("a t o w n")
