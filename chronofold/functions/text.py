@@ -17,8 +17,19 @@ NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 RELATIVE_TIME_WORDS = ("今天", "今日", "今晚", "今早", "明天", "明早", "明晚", "昨天", "昨晚", "前天", "后天", "上周", "下周", "本周", "这周", "周一", "周二", "周三", "周四", "周五", "周六", "周日", "星期一", "星期二", "星期三", "星期四", "星期五", "星期六", "星期日", "星期天", "礼拜一", "礼拜二", "礼拜三", "礼拜四", "礼拜五", "礼拜六", "礼拜日", "礼拜天", "上个月", "下个月", "去年", "今年", "最近", "这段时间", "当前", "现在", "刚才", "一会儿", "过几天")
 
 #: What a credential is called in running text.
-SECRET_NAMES = r"(?:api[_-]?key|authorization|auth[_-]?key|pt[_-]?key|access[_-]?token|refresh[_-]?token|password|passwd|secret|token)"
-SECRET_MARK = "[redacted]"
+#: Names of fields that hold credentials.
+CREDENTIALS = ("api[_-]?key", "authorization", "auth[_-]?key", "pt[_-]?key", "access[_-]?token", "refresh[_-]?token", "password", "passwd", "secret")
+#: Fixed value: what stands in for a credential.
+SECRET_MARK = "[secret value omitted]"
+_ASSIGNED = rf"((?<![A-Za-z0-9_])['\"]?(?:{'|'.join(CREDENTIALS)}|token)['\"]?\s*[:=]\s*)"
+#: Credentials inside running text, and what they become ($n is the nth group).
+CREDENTIAL_TEXT = (
+    (r"(?i)(\bBearer\s+)[A-Za-z0-9._~+/=-]{12,}", f"$1{SECRET_MARK}"),
+    (r"(?i)\bsk-[A-Za-z0-9_-]{12,}", SECRET_MARK),
+    (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", SECRET_MARK),
+    (rf"(?i){_ASSIGNED}(['\"])[^'\"\r\n]{{8,}}\2", f"$1$2{SECRET_MARK}$2"),
+    (rf"(?i){_ASSIGNED}[A-Za-z0-9_~+/=-]{{16,}}(?=$|[\s,;}}\]])", f"$1{SECRET_MARK}"),
+)
 
 
 def narrow(text: Column) -> Column:
@@ -71,13 +82,9 @@ def join_tags(tags: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Credential values replaced, what surrounds them kept: bearer values, keys, signed tokens, assignments."""
-    start = rf"(?i)((?<![A-Za-z0-9_])['\"]?{SECRET_NAMES}['\"]?\s*[:=]\s*)"
-    out = F.regexp_replace(text, r"(?i)(\bBearer\s+)[A-Za-z0-9._~+/=-]{12,}", rf"$1{SECRET_MARK}")
-    out = F.regexp_replace(out, r"(?i)\bsk-[A-Za-z0-9_-]{12,}", SECRET_MARK)
-    out = F.regexp_replace(out, r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", SECRET_MARK)
-    out = F.regexp_replace(out, start + r"(['\"])[^'\"\r\n]{8,}\2", rf"$1$2{SECRET_MARK}$2")
-    out = F.regexp_replace(out, start + r"[A-Za-z0-9_~+/=-]{16,}(?=$|[\s,;}\]])", rf"$1{SECRET_MARK}")
-    return F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
+    for pattern, to in CREDENTIAL_TEXT:
+        text = F.regexp_replace(text, pattern, to)
+    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
 
 
 def has_relative_time(text: Column) -> Column:

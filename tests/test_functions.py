@@ -26,10 +26,10 @@ def test_estimates_and_compaction(spark):
 
 def test_redaction(spark):
     cases = {
-        "Authorization: Bearer abcdefghijklmnop": "Authorization: Bearer [redacted]",
-        "key sk-abcdefghijklmnop done": "key [redacted] done",
-        'token = "0123456789abcdef"': 'token = "[redacted]"',
-        "password: 0123456789abcdef0": "password: [redacted]",
+        "Authorization: Bearer abcdefghijklmnop": "Authorization: Bearer [secret value omitted]",
+        "key sk-abcdefghijklmnop done": "key [secret value omitted] done",
+        'token = "0123456789abcdef"': 'token = "[secret value omitted]"',
+        "password: 0123456789abcdef0": "password: [secret value omitted]",
         "the token variable is fine": "the token variable is fine",
         "tokens = 5": "tokens = 5",
     }
@@ -74,8 +74,16 @@ def test_documents(spark):
     assert documents.canonical(value).startswith('{"a":["nan",{"binary_sha256":')
     dirty = {"api_key": "k", "file": {"type": "image", "data": "x"}, "note": "Bearer abcdefghijklmnop", "cache_path": "/tmp/x", "arguments": json.dumps({"password": "p", "n": 1}), "url": "data:image/png;base64,AAAA"}
     clean = documents.sanitised(dirty)
-    assert clean["api_key"] == "[redacted]" and clean["file"]["text"] == documents.MEDIA_MARK and "[redacted]" in clean["note"] and clean["cache_path"] == documents.PATH_MARK
-    assert json.loads(clean["arguments"]) == {"n": 1, "password": "[redacted]"} and clean["url"] == documents.MEDIA_MARK
+    assert clean["api_key"] == "[secret value omitted]" and clean["file"]["text"] == documents.MEDIA_MARK and "[secret value omitted]" in clean["note"] and clean["cache_path"] == documents.PATH_MARK
+    assert json.loads(clean["arguments"]) == {"n": 1, "password": "[secret value omitted]"} and clean["url"] == documents.MEDIA_MARK
+    for name in ("database_path", "db_path", "log_path", "run_log_path", "storage_relpath", "backing-path"):
+        assert documents.sanitised({name: "/x"}) == {name: documents.PATH_MARK}
+    assert documents.sanitised({"temp_path": "/x", "path": "/y", "list": [[{"a": []}], 1]}) == {"list": [[{"a": []}], 1], "path": "/y", "temp_path": "/x"}
+    call = {"content": [{"type": "tool_use", "input": {"local_path": "C:", "api_key": "s"}}, {"type": "text", "local_path": "C:"}]}
+    assert documents.sanitised_with_outcome(call) == ({"content": [{"input": {"api_key": documents.SECRET_MARK, "local_path": "C:"}, "type": "tool_use"}, {"local_path": documents.PATH_MARK, "type": "text"}]}, "skipped_unsafe")
+    assert documents.sanitised_with_outcome({"a": "x\x00y", "arguments": '{"local_path": "q"}'}) == ({"a": "x y", "arguments": '{"local_path": "q"}'}, "complete")
+    assert documents.sanitised_with_outcome([{"type": "image"}]) == ([{"type": "text", "text": documents.MEDIA_MARK}], "media_omitted")
+    assert documents.sanitised('{"status":"ok","pt_key":"abcdefghijklmnopqrstuvwxyz123456","count":2}') == '{"status":"ok","pt_key":"[secret value omitted]","count":2}'
     long = json.dumps({"q": "x" * 2000, "l": ["y" * 2000], "s": "short"})
     r = one(spark, documents.shortened_arguments(F.col("j"), F.lit("s1")), documents.canonical_json(F.lit('{"b": 1, "a": 2}')), documents.canonical_json(F.lit("{")), documents.opaque_signature(F.lit('{"x": {"signature": "z"}}')), documents.opaque_signature(F.lit('{"input": {"signature": "z"}}')), j=long)
     cut = json.loads(r[0])
@@ -92,6 +100,8 @@ def test_documents(spark):
         ("1. first item\n2. second item", ["1. first item", "2. second item"]),
         ("Use `a.b. c!` here. It's ok.", ["Use `a.b. c!` here.", "It's ok."]),
         ("Wait... what?!", ["Wait...", "what?!"]),
+        ("Done! 2. next one. A; b.", ["Done!", "2. next one.", "A; b."]),
+        ("A corp. is here.\n\n好……吧", ["A corp. is here.", "好……吧"]),
         ("", []),
     ],
 )
@@ -105,18 +115,37 @@ def test_long_sentences_cut_at_soft_marks():
     assert speech.sentences("x" * 300, most=60) == ["x" * 300]
 
 
-def test_replies_and_streams(spark):
-    assert speech.parse_reply('```json\n{"speech": "Hi. You?", "memory_metadata": {"a": 1}}\n```')["segments"] == ["Hi.", "You?"]
-    assert speech.parse_reply("plain words")["status"] == "plain" and speech.parse_reply('{"x": 1}')["status"] == "invalid_contract" and speech.parse_reply("{oops")["status"] == "output_unparsed"
-    whole = "Hello there. How are you today? I am fine, thanks. Bye"
-    stream, events = speech.SpeechStream(), []
-    for i in range(0, len(whole), 7):
-        events += stream.feed(whole[i : i + 7])
-    events += stream.finish()
-    assert [t for k, t in events if k == "speech_segment"] == speech.sentences(whole) and events[-1] == ("final", whole)
+def streamed(text, size, **options):
+    stream, events = speech.SpeechStream(**options), []
+    for i in range(0, len(text), size):
+        events += stream.feed(text[i : i + size])
+    return events + stream.finish()
+
+
+def test_replies(spark):
+    assert speech.parse_reply("plain words")["status"] == "plain_text" and speech.parse_reply("{oops")["reason"] == "invalid_json"
+    assert speech.parse_reply('{"x": 1}', "json")["status"] == "invalid_contract" and speech.parse_reply('{"x": 1}')["status"] == "output_unparsed" and speech.parse_reply("[1]")["reason"] == "json_not_object"
+    reply = speech.parse_reply('{"speech": "Hi. You?", "memory_metadata": {"a": 1}, "emotion": "glad", "other": 2}')
+    assert (reply["status"], reply["segments"], reply["metadata"], reply["presentation"], reply["extra"]) == ("parsed", ["Hi.", "You?"], {"a": 1}, {"emotion": "glad"}, {"other": 2})
+    assert speech.parse_reply('{"speech": "a", "memory_metadata": 3}')["metadata_status"] == "invalid"
     assert one(spark, speech.sentence_array(F.lit("A b. C d.")))[0] == ["A b.", "C d."]
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_streams(size):
+    whole = 'Hello there. Hello there. He said "Hi." Dr. No left… … Done! 2. item three. Bye'
+    events = streamed(whole, size)
+    assert [e["text"] for e in events if e["type"] == "speech_segment"] == speech.sentences(whole) and events[-1]["payload"]["speech"] == whole
+    raw = '{"a": {"speech": "no"}, "n": 1.5, "speech": "Hi \\u4f60\\ud83d\\ude00 you.\\nOk \\"q\\"!", "memory_metadata": {"x": [1]}}'
+    events = streamed(raw, size)
+    assert "".join(e["text"] for e in events if e["type"] == "speech_chunk") == 'Hi 你😀 you.\nOk "q"!' == events[-1]["payload"]["speech"]
+    assert [e["text"] for e in events if e["type"] == "speech_segment"] == ["Hi 你😀 you.", 'Ok "q"!'] and [e["type"] for e in events[-2:]] == ["metadata_ready", "final"]
+    with pytest.raises(ValueError):
+        stream = speech.SpeechStream()
+        stream.finish()
+        stream.feed("x")
+
+
 def test_hashed_embedding(spark):
     v = embedding.hashed("hello world 好天气")
     assert len(v) == 128 and abs(sum(x * x for x in v) - 1) < 1e-9 and embedding.hashed("") == [0.0] * 128
