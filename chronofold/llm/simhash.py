@@ -13,6 +13,7 @@ ties share a fingerprint and so a component. A null id never names a component i
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -21,16 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import read_table, written
 from .components import components
 
 RADIUS = 3
 SHINGLE = 3
 TILE_ROWS = 4096
-WIDE_TILE_ROWS = 32_768
-BROADCAST_IDS = 1_000_000
 BLOCK = 512
 CHUNK = 1 << 16
+#: Near duplicates: hashes of a sketch, the chance to miss a similar pair.
+SKETCH, MISS = 128, 1e-9
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -196,119 +198,183 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
     return cold.unionByName(work.mapInArrow(compare, schema))
 
 
-def tiled_links(nodes: DataFrame, radii: tuple[tuple[int, int], ...], ratio: float, tile_rows: int = WIDE_TILE_ROWS) -> DataFrame:
-    """Links (a, b) of ``nodes`` (node, fp, fp2, size): a spanning forest for each radius and pair of tiles.
-
-    With a further column ``label``, all pairs of different labels are returned instead of forests.
-
-    For radii too wide for segments: fingerprints are tiled by size, since sets whose similarity is at
-    least ``ratio`` differ in size by no more, so only tiles of one size class or of neighbouring classes meet.
-    A radius is (bits of the first word, bits of both words).
-    """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = nodes.schema["node"].dataType
-    node_type, schema = to_arrow_type(kind), f"a {kind.simpleString()}, b {kind.simpleString()}"
-    classed = nodes.withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-np.log(ratio).item())).cast("int"))
-    cuts = classed.groupBy("band").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("cuts"))
-    # A size class for each power of 1 / ratio: a few hundred rows at most, whatever the input.
-    cut = classed.join(F.broadcast(cuts), "band").withColumn("tile", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cuts")).cast("int"))
-    parts = ["fp", "fp2", "node", *(c for c in ("label",) if c in nodes.columns)]
-    tiles = written(cut.groupBy("band", "tile").agg(*[F.collect_list(c).alias(c) for c in parts]), "tiles")
-    partners = tiles.select("band", "tile", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band2")).join(F.broadcast(cuts.select(F.col("band").alias("band2"), F.col("cuts").alias("cuts2"))), "band2")
-    pairs = partners.select("band", "tile", "band2", F.explode(F.sequence(F.lit(0), F.col("cuts2") - 1)).alias("tile2")).where("band2 > band or tile2 >= tile")
-    right = tiles.select(F.col("band").alias("band2"), F.col("tile").alias("tile2"), *[F.col(c).alias(f"r_{c}") for c in parts])
-    work = pairs.repartition("band", "tile", "band2", "tile2").join(tiles, ["band", "tile"]).join(right, ["band2", "tile2"])
-    work = work.select(((F.col("band") == F.col("band2")) & (F.col("tile") == F.col("tile2"))).alias("own"), *parts, *[f"r_{c}" for c in parts])
-
-    def compare(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own, *lists = (batch.column(k)[i] for k in range(batch.num_columns))
-                lists = [x.values for x in lists]
-                here, there = lists[: len(parts)], lists[len(parts) :]
-                words = lambda x: x.to_numpy().view(np.uint64)
-                left, right = words(here[0]), None if own.as_py() else words(there[0])
-                _, more, nodes, *labels = here if own.as_py() else map(pa.concat_arrays, zip(here, there, strict=True))
-                more, label = words(more), labels[0].dictionary_encode().indices.to_numpy() if labels else None
-                for first, both in radii:
-                    if label is None:
-                        found = tile_links(left, right, first, more, both)
-                        ends = [([p[0] for p in found], [p[1] for p in found])]
-                    else:
-                        ends = ((a[label[a] != label[b]], b[label[a] != label[b]]) for a, b, _ in _within(left, right, first, more, both))
-                    for pair in ends:
-                        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(at, pa.int64())) for at in pair], schema=pa.schema([("a", node_type), ("b", node_type)]))
-
-    return work.mapInArrow(compare, schema).distinct()
-
-
 def second(h: np.ndarray) -> np.ndarray:
-    """Independent hashes out of hashes, for a second fingerprint word."""
+    """Independent hashes out of hashes."""
     x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
     return x ^ (x >> np.uint64(29))
 
 
-def _sets(df: DataFrame, shingle: int, keep: bool) -> DataFrame:
-    """doc_id and fp, fp2, size (distinct shingles), or with ``keep`` their sorted hashes."""
-    source = df.select("doc_id", F.col("text").cast("string").alias("text"))
-
-    def run(batches):
-        for batch in batches:
-            made = [shingles(t.as_py(), shingle) for t in batch.column(1)]
-            sets = [np.unique(h) for h in made]
-            if keep:
-                cols = {"hashes": pa.array([s.tobytes() for s in sets], pa.binary())}
-            else:
-                cols = {"fp": pa.array([_majority(h) for h in made], pa.int64()), "fp2": pa.array([_majority(second(h)) for h in made], pa.int64()), "size": pa.array([len(s) for s in sets], pa.int64())}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols.values()], ["doc_id", *cols])
-
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, " + ("hashes binary" if keep else "fp long, fp2 long, size long"))
+class Measure:
+    """When two shingle sets of sizes a, b with ``both`` in common count as similar."""
+
+    def __init__(self, name: str, least: float):
+        if name not in ("jaccard", "cosine") or not 0 < least <= 1:
+            raise ValueError((name, least))
+        self.name, self.least = name, least
+        #: The least Jaccard similarity, and ratio of sizes, that a similar pair can have.
+        self.ratio = least if name == "jaccard" else least * least
+
+    def needed(self, a, b):
+        """The least overlap; works on numbers and arrays."""
+        x = (a + b) * (self.least / (1 + self.least)) if self.name == "jaccard" else np.sqrt(a * b * 1.0) * self.least
+        return x - 1e-9 * (a + b)
+
+    def in_sketch(self, size: int) -> int:
+        """The least number of hashes that the sketch of a set of ``size`` has in common with a similar set's.
+
+        A small set's sketch and its partners' are whole. Else the shared hashes among the k smallest of the
+        union are in both sketches, and fewer of them than this come with a probability below ``MISS``.
+        """
+        if size <= self.ratio * SKETCH:
+            return max(1, math.ceil(self.ratio * size - 1e-9))
+        k, chance = min(size, SKETCH), 0.0
+        for q in range(k + 1):
+            chance += math.comb(k, q) * self.ratio**q * (1 - self.ratio) ** (k - q)
+            if chance > MISS:
+                return max(1, q)
+        return k
+
+    def load(self, payload) -> np.ndarray:
+        return np.frombuffer(payload, np.uint64)
+
+    def same(self, x: np.ndarray, y: np.ndarray) -> bool:
+        return _overlap(x, y) >= self.needed(len(x), len(y))
+
+    def forest(self, sets: list[np.ndarray], label: np.ndarray, own: int) -> list[tuple[int, int]]:
+        """Pairs that connect all similar sets beyond what ``label`` connects; the first ``own`` sets meet the rest, or
+        with ``own`` = all of them each other.
+
+        Parity words are compared by exclusive-or and bit counts, block by block in the order of their population
+        counts; block pairs whose counts differ by more than any similar pair of theirs may are skipped. What is
+        left and not yet connected is compared as a set.
+        """
+        n = len(sets)
+        sizes = np.array([len(x) for x in sets], np.int64)
+        # Twice as many bits as members keep the words of unlike sets apart.
+        bits = max(64, 1 << int(2 * sizes.max(initial=1) - 1).bit_length())
+        words = np.array([parity(x, bits) for x in sets]).reshape(n, bits // 64)
+        pops = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        side = np.arange(n) >= own
+        order = np.argsort(pops, kind="stable")
+        label, out = label.copy(), []
+        for i in range(0, n, BLOCK):
+            x = order[i : i + BLOCK]
+            for j in range(i, n, BLOCK):
+                y = order[j : j + BLOCK]
+                most = sizes[x].max() + sizes[y].max()
+                if pops[y[0]] - pops[x[-1]] > most - 2 * self.needed(sizes[x].min(), sizes[y].min()):
+                    continue
+                apart = np.zeros((len(x), len(y)), np.int32)
+                for w in range(bits // 64):
+                    apart += np.bitwise_count(words[x, w][:, None] ^ words[y, w][None])
+                room = sizes[x][:, None] + sizes[y][None] - 2 * self.needed(sizes[x][:, None], sizes[y][None])
+                ok = (apart <= room) & (label[x][:, None] != label[y][None])
+                ok &= (np.arange(len(x))[:, None] < np.arange(len(y))[None]) if i == j else True
+                if own < n:
+                    ok &= side[x][:, None] != side[y][None]
+                a, b = np.nonzero(ok)
+                near = np.argsort(apart[a, b], kind="stable")
+                for p, q in zip(x[a[near]].tolist(), y[b[near]].tolist(), strict=True):
+                    if label[p] != label[q] and self.same(sets[p], sets[q]):
+                        out.append((p, q))
+                        label[label == max(label[p], label[q])] = min(label[p], label[q])
+        return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radii: tuple[tuple[int, int], ...] = ((10, 16), (20, 30))) -> DataFrame:
-    """doc_id, component_id: groups of texts linked by a Jaccard similarity of word shingles of ``similarity`` or more.
+def _sets(df: DataFrame, shingle: int, keep: bool) -> DataFrame:
+    """doc_id, text_hash and the text's shingle set.
 
-    Two-word fingerprints of ``shingle`` words within a wide radius are candidates, found by tiled comparison,
-    and every link is then checked on the exact shingle sets. A forest of candidates connects all that they
-    connect; where some of its links fail the check, all candidates between the parts that are left are
-    checked too, so no candidate counts only through another. Equal fingerprints of equal size are one node.
-    Rows whose id is null have no component.
+    The set is digest, size, fp (SimHash of the distinct shingles) and low (its ``SKETCH`` smallest hashes), or
+    with ``keep`` all hashes, sorted.
     """
-    docs = docs.where(F.col("doc_id").isNotNull())
-    fps = written(_sets(docs, shingle, False), "fingerprints")
-    nodes = written(fps.groupBy("fp", "fp2", "size").agg(F.min("doc_id").alias("node")), "nodes")
-    found = written(tiled_links(nodes, radii, similarity), "candidates")
-    ends = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    n = ends.count()
-    sets = docs.join(F.broadcast(ends) if n <= BROADCAST_IDS else ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(_sets(sets, shingle, True), "shingle-sets")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def check(batches):
+    source = df.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    kinds = {"hashes": pa.binary()} if keep else {"digest": pa.binary(), "size": pa.int64(), "fp": pa.int64(), "low": pa.list_(pa.int64())}
+
+    def run(batches):
         for batch in batches:
-            good = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    def verified(links: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("doc_id").alias(e), F.col("hashes").alias(h)) for e, h in (("a", "x"), ("b", "y")))
-        pairs = links.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return written(pairs.mapInArrow(check, f"a {kind}, b {kind}"), "verified")
-
-    good = verified(found)
-    linked = components(good)
-    trees = components(found).select("node", F.col("component").alias("tree"))
-    parts = written(trees.join(linked, "node", "left").select("node", "tree", F.coalesce("component", "node").alias("label")), "parts")
-    split = parts.groupBy("tree").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("tree")
-    rest = written(nodes.join(parts.join(split, "tree", "left_semi").select("node", "label"), "node"), "split-nodes")
-    if rest.limit(1).count():
-        linked = components(good.unionByName(verified(written(tiled_links(rest, radii, similarity), "candidates"))))
-    named = nodes.join(linked, "node", "left").select("fp", "fp2", "size", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, ["fp", "fp2", "size"]).select("doc_id", "component_id")
+            rows = []
+            for t in batch.column(2):
+                h = np.unique(shingles(t.as_py(), shingle))
+                if keep:
+                    rows.append((h.tobytes(),))
+                else:
+                    spread = np.partition(second(h), SKETCH)[:SKETCH] if len(h) > SKETCH else second(h)
+                    rows.append((xxhash.xxh128_digest(h.tobytes()), len(h), _majority(h), spread.view(np.int64)))
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text_hash", *kinds])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, text_hash long, " + ("hashes binary" if keep else "digest binary, size long, fp long, low array<long>"))
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x))
+
+
+def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits, each the parity of the members that hash to it: two sets differ in at least as many members
+    as their words differ in bits, whatever the sets."""
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, measure: str = "jaccard", few: int = blocks.FEW, tile_hashes: int = blocks.TILE_WEIGHT) -> DataFrame:
+    """doc_id, text_hash, component_id, component_text: groups of texts whose sets of word shingles are similar.
+
+    ``measure`` is "jaccard", or "cosine" (shared shingles by the geometric mean of the sizes, which is what SimHash
+    estimates). Texts of one shingle set are one node. A set's sketch is its ``SKETCH`` smallest hashes; two similar
+    sets have a known least number of them in common (``Measure.in_sketch``), so a pair shares one of the rarest
+    hashes that each posts: all but that number less one, rarest first, and those of no other node need no post.
+    Links are sought in four ways, each checked on the whole sets before it counts: SimHash fingerprints within
+    ``RADIUS`` bits; of the nodes that post a hash each with the one among them whose hashes are shared most; all
+    pairs of different groups that post a hash of at most ``few`` nodes; and, for hashes of more nodes, all their
+    nodes of different groups, tile against tile by exclusive-or and bit counts (``Measure.forest``). A similar
+    pair is missed with a probability below ``MISS`` and for no other reason. No step lists the pairs of a large group.
+
+    Null and empty texts have one empty set and are copies of each other. Rows whose id is null have no
+    component. Rows of one id with different texts are told apart by ``text_hash`` (xxhash64); a group is named by
+    its least (doc_id, text_hash). Other columns are ignored.
+    """
+    test = Measure(measure, similarity)
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = written(_sets(docs, shingle, False), "shingle-sketches")
+    nodes = rows.groupBy(F.col("digest").alias("node")).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash", "size", "fp", "low")).alias("first"))
+    nodes = written(nodes.select("node", "copies", "first.*"), "nodes")
+    # 1. SimHash fingerprints.
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(prints, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = same.unionByName(links(prints.select("fp", F.col("first").alias("node"))))
+    # 2. Sketch hashes that several nodes share; a node and the hashes it posts are one row.
+    posts = nodes.select("node", "size", F.explode("low").alias("h"))
+    total = nodes.agg(F.sum(F.size("low"))).first()[0] or 0
+    shared, hot = blocks.shared_keys(posts, total)
+    held = blocks.by_key(posts, shared, "h", hot).groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "h"))).alias("hs"))
+    least = F.get(F.array(*[F.lit(test.in_sketch(n)) for n in range(SKETCH + 1)]), F.least("size", F.lit(SKETCH)).cast("int"))
+    # The first places of the rarest go to hashes of no other node.
+    room = F.size("hs") - least + 1
+    held = written(held.where(room > 0).select("node", "size", F.slice("hs", F.lit(1), room).alias("hs")), "sharing-nodes")
+    pairs = written(pairs.unionByName(blocks.star(held, test, hot)).distinct(), "candidates")
+    ends = held.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = blocks.small(written(nodes.join(ends, "node").select("doc_id", "text_hash", "node"), "wanted"))
+    texts = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(wanted.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
+    if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc_id", "text_hash"])
+    sets = written(_sets(texts, shingle, True).join(wanted, ["doc_id", "text_hash"]).select("node", F.col("hashes").alias("payload")), "shingle-sets")
+    good = written(blocks.verified(pairs, sets, test, total), "similar")
+    linked = blocks.connected(held, good, sets, test, hot, total, few, tile_hashes)
+    named = nodes.select("node", "doc_id", "text_hash").join(linked, "node", "left").select("node", "doc_id", "text_hash", F.coalesce("component", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    named = written(named.select("node", "label").join(least, "label").select(F.col("node").alias("digest"), F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text")), "named")
+    n_rows = nodes.agg(F.sum("copies")).first()[0] or 0
+    often = nodes.where(F.col("copies") > blocks.hot_limit(n_rows)).select(F.col("node").alias("digest"))
+    return blocks.by_key(rows.select("doc_id", "text_hash", "digest"), named, "digest", often).select("doc_id", "text_hash", "component_id", "component_text")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:

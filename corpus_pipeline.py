@@ -4,10 +4,11 @@ Each stage reads what the one before it wrote. ``documents`` may have further co
 stage return exactly the columns they got. Rows are only ever removed by a stage's own decision:
 ``language_id`` drops texts without a letter and texts that no language explains (more than
 ``MOST_PHRASES`` cross-parsing phrases per letter over at least ``LEAST_PHRASES`` phrases), ``toxicity`` drops
-scores of 0.5 or more, ``near_duplicates`` keeps the smallest id of each group, ``decontamination`` drops
+scores of 0.5 or more, ``near_duplicates`` keeps the smallest id of each group of texts whose sets of five-word shingles have a cosine
+similarity of 0.8 or more (what SimHash estimates), ``decontamination`` drops
 documents that hold ten consecutive words of a benchmark item, and ``bpe`` adds token ids.
 Rows with a null id are judged on their text alone and are never called duplicates; of rows that repeat an
-id one stays.
+id and its text one stays.
 """
 
 from __future__ import annotations
@@ -44,13 +45,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = written(simhash.near_duplicates(docs), "groups")
-    extra = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(_small(extra), "doc_id", "left_anti").select(*docs.columns)
-    if not groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
+    groups = written(simhash.near_duplicates(docs, measure="cosine"), "groups")
+    copies = groups.where("doc_id <> component_id or text_hash <> component_text").select("doc_id", "text_hash").distinct()
+    copies = _small(written(copies, "copies"))
+    kept = docs.alias("d").join(copies.alias("c"), F.expr("d.doc_id = c.doc_id and xxhash64(coalesce(cast(d.text as string), '')) = c.text_hash"), "left_anti").select(*docs.columns)
+    if not groups.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         return kept
     named = F.col("doc_id").isNotNull()
-    return kept.where(named).dropDuplicates(["doc_id"]).unionByName(kept.where(~named))
+    return kept.where(named).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~named))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

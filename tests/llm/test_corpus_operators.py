@@ -216,30 +216,70 @@ def test_decontamination_edges_and_proximity(spark):
     assert {r.doc_id for r in decontam.Index(near, items).exact().collect()} == {3}
 
 
-def test_near_duplicates_miss_no_candidate(spark):
-    """Chains in which many candidates fail the check: as if every candidate pair had been checked."""
+def chains():
+    """Texts whose groups hang together by chains, by a hub, or not at all although they share most lines."""
     rng = random.Random(11)
     word = lambda: "w%d" % rng.randrange(10**6)
     texts = []
-    for _ in range(6):
+    for _ in range(5):
         base = [word() for _ in range(160)]
         for _ in range(12):
             base = [w if rng.random() > 0.017 else word() for w in base]
             texts.append(" ".join(base))
+    hub = [word() for _ in range(120)]
+    texts += [" ".join(w if rng.random() > 0.03 else word() for w in hub) for _ in range(60)] + [" ".join(hub)]
+    lines = [[word() for _ in range(12)] for _ in range(16)]
+    texts += [" ".join(w for line in rng.sample(lines, 9) for w in line) for _ in range(60)]
+    texts += [" ".join(hub[:3]), " ".join(hub[:3]), "one", "", ""]
+    return texts
+
+
+@pytest.mark.parametrize(("measure", "few", "tile_hashes"), [("jaccard", 16, 1_000_000), ("cosine", 2, 3_000), ("jaccard", 0, 3_000)])
+def test_near_duplicates_equal_brute_force(spark, measure, few, tile_hashes):
+    texts = chains()
     rows = list(enumerate(texts, 1))
-    made = [simhash.shingles(t, 5) for t in texts]
-    fps = [(simhash._majority(h) & (2**64 - 1), simhash._majority(simhash.second(h)) & (2**64 - 1)) for h in made]
-    edges = []
+    made = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    want = list(range(1, len(rows) + 1))
+
+    def similar(x, y):
+        both = len(x & y)
+        return x == y or both >= 0.8 * (len(x | y) if measure == "jaccard" else (len(x) * len(y)) ** 0.5) > 0
+
     for i in range(len(rows)):
         for j in range(i):
-            near = (fps[i][0] ^ fps[j][0]).bit_count()
-            both = near + (fps[i][1] ^ fps[j][1]).bit_count()
-            x, y = set(made[i].tolist()), set(made[j].tolist())
-            if any(near <= a and both <= b for a, b in ((10, 16), (20, 30))) and len(x & y) >= 0.8 * len(x | y):
-                edges.append((j + 1, i + 1))
-    want = {n + 1: n + 1 for n in range(len(rows))}
-    for _ in rows:
-        for a, b in edges:
-            want[a] = want[b] = min(want[a], want[b])
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
+            if want[i] != want[j] and similar(made[i], made[j]):
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), measure=measure, few=few, tile_hashes=tile_hashes).collect()}
+    assert [got[n + 1] for n in range(len(rows))] == want
+
+
+def test_parity_words_never_reject_a_similar_pair():
+    rng = np.random.default_rng(2)
+    for measure in (simhash.Measure("jaccard", 0.8), simhash.Measure("cosine", 0.8)):
+        for size in (1, 7, 90, 3000):
+            base = rng.integers(0, 2**63, size, dtype=np.uint64)
+            sets = [np.unique(np.concatenate([base[: size - size // k], rng.integers(0, 2**63, e, dtype=np.uint64)])) for k in (2, 3, 5, 9, 20) for e in (0, size // 8, size // 4)]
+            pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= measure.needed(len(sets[a]), len(sets[b]))]
+            found = measure.forest(sets, np.arange(len(sets)), len(sets))
+            groups = lambda edges: {frozenset(g) for g in _groups(len(sets), edges)}
+            assert groups(found) == groups(pairs)
+
+
+def test_least_shared_hashes_of_a_sketch():
+    rng = np.random.default_rng(4)
+    for measure in (simhash.Measure("jaccard", 0.8), simhash.Measure("cosine", 0.8)):
+        assert [measure.in_sketch(n) for n in (1, 5, 10)] == [1, 4, 8 if measure.ratio == 0.8 else 7]
+        for size in (60, 90, 128, 400):
+            for _ in range(100):
+                x = rng.integers(0, 2**63, size, dtype=np.uint64)
+                y = np.unique(x[: int(np.ceil(measure.ratio * size))])
+                low = lambda a: np.sort(a)[: simhash.SKETCH]
+                assert len(np.intersect1d(low(x), low(y))) >= measure.in_sketch(size)
+
+
+def _groups(n, edges):
+    of = list(range(n))
+    for a, b in edges:
+        of = [of[a] if x == of[b] else x for x in of]
+    return [[i for i in range(n) if of[i] == g] for g in set(of)]

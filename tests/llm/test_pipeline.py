@@ -34,6 +34,9 @@ def test_decisions_take_effect(spark, sf_dir):
     text = "some fairly long english text about the weather of the day and what the people of the town think of it"
     docs = spark.createDataFrame([(1, text), (2, text.upper()), (3, "the other document of the day has some different words in it"), (1, text)], "doc_id long, text string")
     assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, sf_dir).collect()) == [1, 3]
+    other = "an entirely different text under an id that another row has got as well"
+    docs = spark.createDataFrame([(1, text), (2, text.upper()), (2, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, sf_dir).collect()) == [(1, text), (2, other)]
     leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
     docs = spark.createDataFrame([(1, f"before {leak} after"), (2, "nothing of it here")], "doc_id long, text string")
     assert [r.doc_id for r in pipeline.decontamination(spark, docs, sf_dir).collect()] == [2]
