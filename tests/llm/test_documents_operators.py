@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import save
 
 from chronofold.llm import media, quotes, wrappers
@@ -102,10 +103,51 @@ def test_edited_pictures_share_a_class(spark):
     assert all(got[k] % 100 == k % 100 for k in got if k < 900) and all(got[k] == k for k in (900, 901, 902))
 
 
-def test_pictures_with_one_very_common_entry(spark, monkeypatch):
-    monkeypatch.setattr(media, "ALL_PAIRS", 1)
-    got = {r.id: r.class_id for r in media.copies(spark.createDataFrame(pictures(), "id long, image binary")).collect()}
-    assert sum(got[k] == k % 100 for k in got) >= 0.95 * 100
+def described(rows):
+    return {k: media.describe(media.decode(bytes(raw))[None])[0] for k, raw in rows}
+
+
+def crowd():
+    """Edits of one picture, which crowd its table entries, among pictures that share a corner with it."""
+    rng = np.random.default_rng(4)
+    b = media.resize(rng.uniform(0, 255, (10, 10)).astype(np.float32), 80, 80)
+    out = [(i, b * (0.9 + i / 400) + rng.normal(0, 3, b.shape)) for i in range(40)]
+    for i in range(40, 70):
+        other = media.resize(rng.uniform(0, 255, (10, 10)).astype(np.float32), 80, 80)
+        other[:32, :32] = b[20:52, 20:52]
+        out.append((i, other))
+    return [(i, bytearray(media.encode_pgm(image))) for i, image in out]
+
+
+@pytest.mark.parametrize(("few", "tile_weight"), [(16, 1_000_000), (0, 3_000)])
+def test_crowded_entries_lose_no_link(spark, few, tile_weight):
+    """The classes are those of all pairs that meet in a table, however many images share an entry."""
+    rows = crowd()
+    points, test = described(rows), media.Copies()
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if want[i] != want[j] and len(np.intersect1d(media.words(points[i]), media.words(points[j]))) and test.same(points[i], points[j]):
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    assert len(set(want)) > 5
+    got = {r.id: r.class_id for r in media.copies(spark.createDataFrame(rows, "id long, image binary"), few=few, tile_weight=tile_weight).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+def test_tables_find_what_comparing_all_pairs_finds():
+    """Recall of the tables against comparing every pair of pictures, on crops, noise, light, turns and sizes."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(0, 1, (60, 64))
+    images = [media.decode(raw) for raw in media.render(list(vectors))]
+    edits = [lambda a: a[6:58, 6:58] * 0.9 + rng.normal(0, 5, (52, 52)), lambda a: a + rng.normal(0, 8, a.shape), lambda a: a * 0.7 + 20, lambda a: np.rot90(a), lambda a: media.resize(a, 48, 48), lambda a: a[12:52, 12:52]]
+    points = described([(i, media.encode_pgm(a)) for i, a in enumerate([*images, *(e(a) for a in images for e in edits)])])
+    test = media.Copies()
+    true = [(i, j) for i in points for j in range(i) if test.same(points[i], points[j])]
+    met = sum(bool(len(np.intersect1d(media.words(points[i]), media.words(points[j])))) for i, j in true)
+    source = lambda i: i if i < 60 else (i - 60) // len(edits)
+    assert met >= 0.9 * len(true) and all(source(i) == source(j) for i, j in true)
+    assert sum(i >= 60 and j == source(i) for i, j in true) >= 0.9 * 60 * len(edits)
 
 
 def test_media_query_edges(spark, tmp_path):
@@ -116,29 +158,3 @@ def test_media_query_edges(spark, tmp_path):
     assert len(got) == len(rows) and {r.class_id for r in got if r.vec_id in (5, 6)} == {5}
     save(df.limit(0), tmp_path, "embeddings")
     assert media.op9_media(spark, str(tmp_path)).count() == 0
-
-
-def test_crowded_entries_lose_no_link(spark):
-    """40 edits of one picture share their entries: as many links as when all pairs of corners are compared."""
-    rng = np.random.default_rng(4)
-    b = media.resize(rng.uniform(0, 255, (10, 10)).astype(np.float32), 80, 80)
-    rows = [(i, bytearray(media.encode_pgm(b * (0.9 + i / 400) + rng.normal(0, 1, b.shape)))) for i in range(40)]
-    found = [media.describe(media.decode(bytes(raw))) for _, raw in rows]
-    linked = np.zeros((40, 40), bool)
-    for i in range(40):
-        for j in range(i + 1, 40):
-            votes = {}
-            for px, py, ps, pt, pd in found[i]:
-                for qx, qy, qs, qt, qd in found[j]:
-                    words = np.frombuffer(pd, np.uint32) ^ np.frombuffer(qd, np.uint32)
-                    if (words == 0).any() and np.bitwise_count(words).sum() <= media.MOST_BITS:
-                        turn, grow = qt - pt, ps / qs
-                        dx = qx - grow * (np.cos(turn) * px - np.sin(turn) * py)
-                        dy = qy - grow * (np.sin(turn) * px + np.cos(turn) * py)
-                        for k in (0, 1):
-                            key = (k, np.floor(turn % (2 * np.pi) / 0.5 + k / 2), np.rint(np.log2(grow) * 2), np.floor(dx / media.SHIFT_BIN + k / 2), np.floor(dy / media.SHIFT_BIN + k / 2))
-                            votes.setdefault(key, set()).add((px, py, ps))
-            linked[i, j] = linked[j, i] = any(len(v) >= media.LEAST_VOTES for v in votes.values())
-    assert linked.sum() > 40 * 30
-    got = {r.id: r.n_links for r in media.copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
-    assert [got[i] for i in range(40)] == linked.sum(axis=1).tolist()
