@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +60,35 @@ def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def added(df: DataFrame, text_col: str, carry: tuple[str, ...], names: tuple[str, ...], kinds: tuple, make, rows: int = 10_000) -> DataFrame:
+    """``carry`` columns of ``df`` and new ones called ``names``, made out of the text. One narrow stage, no shuffle.
+
+    ``make()`` is called once a task and returns a function from a list of at most ``rows`` texts to a list of tuples
+    or to one Arrow array for each new column; ``kinds`` are pairs of an SQL and an Arrow type. Columns go by place,
+    so no name of ``df`` can clash with one used inside.
+    """
+    source = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string"))
+    n = len(carry)
+    schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:n])] + [f"c{n + i} {kind}" for i, (kind, _) in enumerate(kinds)])
+
+    def run(batches):
+        of = make()
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+            made = of(batch.column(n).to_pylist())
+            if not made or not isinstance(made[0], pa.Array):
+                made = [pa.array([m[i] for m in made], kind) for i, (_, kind) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *made], [f"c{i}" for i in range(n + len(kinds))])
+
+    return source.toDF(*[f"c{i}" for i in range(n + 1)]).mapInArrow(run, schema).toDF(*carry, *names)
+
+
 class WordCache(dict):
     """A word -> value cache of at most ``2 * limit`` entries: when full, the older half goes.
 
     Values are pure functions of the word, so the cache changes speed, never results.
     """
 
-    def __init__(self, compute, limit: int = 150_000, longest: int = 256):
+    def __init__(self, compute, limit: int = 40_000, longest: int = 256):
         super().__init__()
         self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
