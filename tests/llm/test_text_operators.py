@@ -40,20 +40,41 @@ def test_bpe_query_digests(spark):
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
 
 
-def test_suffix_automaton_counts_longest_matches():
-    a = langid.SuffixAutomaton(["banana", "bandana"])
-
-    def plain(word):
-        text, pool, i, n = f" {word} ", [" banana ", " bandana "], 0, 0
-        while i < len(text):
-            j = i
-            while j < len(text) and any(text[i : j + 1] in p for p in pool):
-                j += 1
-            n, i = n + 1, max(j, i + 1)
-        return n
-
-    for word in ("banana", "ananas", "dan", "xyz", "nanband", "b", "bandbandana"):
-        assert a.phrases(word) == plain(word), word
+def plain_phrases(text, pool):
+    """Longest matches that cover the text, by plain search."""
+    i = n = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and any(text[i : j + 1] in p for p in pool):
+            j += 1
+        n, i = n + 1, max(j, i + 1)
+    return n
+
+
+def test_cross_parsing_equals_plain_search(monkeypatch):
+    """Phrases, winner and score of texts in three languages; matches run across words and pieces start anew."""
+    pools = {"a": ["the cat sat on the mat and the dog ", "a bandana for banana "], "b": [" der hund und die katze ", "die banane "], "c": ["xyzzy plugh "]}
+    parser = langid.CrossParser(list(pools.items()))
+    texts = ["the cat sat on the dog", "Die Katze, und der Hund!", "banana", "ananas 12 ÿÿ", "z", "x" * 50, "the mat and die katze " * 9]
+    for piece in (7, 1000):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        bare = [langid.running(t) for t in texts]
+        want = [[sum(plain_phrases(t[i : i + piece], pool) for i in range(0, len(t), piece)) for pool in pools.values()] for t in bare]
+        assert parser.phrases(bare).tolist() == want
+        for (name, score, rate), row, t in zip(parser.predict(texts), want, bare, strict=True):
+            bits = [n * c for n, c in zip(row, parser.cost, strict=True)]
+            assert name == "abc"[bits.index(min(bits))] and rate == row[bits.index(min(bits))] / len(t.replace(" ", ""))
+            assert abs(score - 1 / sum(2 ** -(b - min(bits)) for b in bits)) < 1e-9
+    assert "the cat sat" in pools["a"][0] and parser.phrases(["the cat sat"])[0][0] == 1
+    assert parser.predict([None, "", "12 !"]) == [("und", 0.0, 0.0)] * 3
+
+
+def test_langid_learns_every_language_and_doubts_short_texts(spark):
+    rng = __import__("random").Random(1)
+    rows = [(i, "".join(chr(0x4E00 + 40 * (i % 300) + rng.randrange(40)) for _ in range(30)), f"l{i % 300}") for i in range(900)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.names) == 300 and 0 < model.most < 1
+    assert [p[0] for p in model.predict([t for _, t, _ in rows[:50]])] == [lang for _, _, lang in rows[:50]]
 
 
 def test_langid_accuracy_and_contract(spark, sf_dir):
@@ -68,8 +89,10 @@ def test_langid_edges(spark):
     docs = edge_docs(spark)
     got = langid.identify(docs, langid.train(docs), carry=tuple(docs.columns), names=("p", "s", "r")).collect()
     assert len(got) == len(EDGES) and {r.p for r in got if r.doc_id in (1, 2, 3)} == {"und"}
-    assert langid.train(docs.limit(0)) == []
-    assert {r.lang_pred for r in langid.identify(docs, []).collect()} == {"und"}
+    assert langid.train(docs.limit(0)).names == []
+    assert {r.lang_pred for r in langid.identify(docs, langid.CrossParser([])).collect()} == {"und"}
+    clash = docs.select("doc_id", "text", F.col("lang").alias("__text"), F.col("lang").alias("c0"))
+    assert langid.identify(clash, langid.train(docs), carry=tuple(clash.columns)).columns == ["doc_id", "text", "__text", "c0", "lang_pred", "score", "phrase_rate"]
     assert langid.identify(docs.limit(0), langid.train(docs)).count() == 0
 
 
@@ -128,5 +151,68 @@ def test_spelled_runs_are_cut_into_words():
         assert "idiot" in noise.restored(text), text
     assert sorted(noise.cut("y o u a r e a i d i o t")) == ["a", "are", "idiot", "you"]
     assert "idiot" not in noise.restored("s t a t i o n")
-    model = {"words": noise.counts, "units": {"clown": 5.0}, "coef": [-4.0, 2.0]}
+    for text in ("y o u  a r e  a n  i d i o t", "y  o  u    a  r  e    a  n    i  d  i  o  t", "c-l-o-w-n--y-o-u"):
+        assert noise.spelled(text) & {"idiot", "clown"} and "you" in noise.spelled(text), text
+    model = {"words": {"idiot": 50, "clown": 20, "you": 90}, "units": {"clown": 5.0}, "coef": [-4.0, 2.0, 0.0, 0.0, 0.0]}
     assert toxicity.Scorer(model).score("l e t t e r s " * 30 + "a c l o w n") > 0.5 > toxicity.Scorer(model).score("a t o w n")
+
+
+def readings(token):
+    """All (letters, channel cost) that a disguised token may stand for."""
+    out = [("", 0.0)]
+    for m in toxicity.RUN.finditer(token):
+        c, n = m[1], len(m[0])
+        if c.isalpha():
+            options = [(c, toxicity.LOG_KEEP if n == 1 else toxicity.LOG_RUN if n > 2 else toxicity.LOG_KEEP + toxicity.LOG_SUB)] + ([(c + c, toxicity.LOG_KEEP if n == 2 else toxicity.LOG_RUN)] if n > 1 else [])
+        else:
+            options = [(to * k, toxicity.LOG_SUB) for to in toxicity.LEET.get(c, "") for k in (1, 2)[: 1 + (n > 1)]] + ([("", toxicity.LOG_DROP)] if not c.isalnum() else [])
+            options = options or [("", toxicity.LOG_ODD * n)]
+        out = [(word + to, cost + log) for word, cost in out for to, log in options]
+    return out
+
+
+@pytest.mark.parametrize("token", ["1d10t", "!d!!0oot", "c|0w--n", "a$$ho|e", "2x", "s*t*u*p*i*d", "lll1110oo", "--", "m0r0n5!"])
+def test_viterbi_equals_trying_all_readings(token):
+    noise = toxicity.Deobfuscator({"idiot": 50, "clown": 20, "stupid": 9, "moron": 5, "hole": 3, "well": 7})
+
+    def cost(word, channel):
+        padded = f"^^{word}$"
+        return channel + sum(noise.lm.log(padded[i - 2 : i], padded[i]) for i in range(2, len(padded)))
+
+    best = max(cost(*r) for r in readings(token))
+    assert max(cost(w, c) for w, c in readings(token) if w == noise.decode(token)) == pytest.approx(best)
+
+
+def test_long_tokens_and_long_runs_are_decoded():
+    noise = toxicity.Deobfuscator({"idiot": 50, "you": 20, "abcd": 9})
+    assert noise.decode("1d10t" + "z-y" * 20_000).startswith("idiot")
+    assert "idiot" in noise.spelled("a b c d " * 300 + "i d i o t")
+
+
+def test_cut_equals_trying_all_cuts():
+    words = {"idiot": 50, "clown": 20, "you": 90, "are": 30, "a": 10, "own": 4}
+    noise, total = toxicity.Deobfuscator(words), 204
+
+    def best(run):
+        if not run:
+            return 0.0
+        out = toxicity.LOG_LETTER + best(run[1:])
+        for w, n in words.items():
+            if run.startswith(w):
+                out = max(out, len(w) * toxicity.LOG_KEEP + __import__("math").log(n / total) + best(run[len(w) :]))
+        return out
+
+    for run in ("youareaclown", "idiotyou", "xyzyou", "clownown", "ridiot"):
+        found, cost = noise.cut(" ".join(run)), 0.0
+        assert "".join(sorted("".join(found))) == "".join(sorted(run))
+        cost = sum(len(w) * toxicity.LOG_KEEP + __import__("math").log(words[w] / total) if w in words else len(w) * toxicity.LOG_LETTER for w in found)
+        assert cost == pytest.approx(best(run)), run
+
+
+def test_toxicity_carries_any_columns_and_repeats(spark):
+    rows = [(i % 200, "calm words " * 5 + ("idiot" if i % 4 == 0 else "friend"), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    clash = df.selectExpr("doc_id", "text", "toxic as `__text`", "toxic as half")
+    out = toxicity.score(clash, model, carry=tuple(clash.columns), name="s")
+    assert out.columns == [*clash.columns, "s"] and out.where("(s >= 0.5) = (`__text` = 1)").count() == 400
