@@ -19,9 +19,8 @@ from itertools import accumulate
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import WordCache, read_table
+from .common import WordCache, added, read_table
 
 #: White space as the pre-tokenizer's regular expression engine has it.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -153,28 +152,28 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
 
     ``carry`` columns stay; ``keep_ids`` adds the ids as an array. No shuffle.
     """
-    spark = df.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
-    source = df.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).cast("string").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    made = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>"] * keep_ids]
+        spec = df.sparkSession.sparkContext.broadcast(f.read())
+    names = ("n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids)
+    kinds = (("long", pa.int64()), ("string", pa.string()), ("string", pa.string()), *[("array<int>", pa.list_(pa.int32()))] * keep_ids)
 
-    def run(batches):
+    def make():
         bpe, sha = load(spec.value), hashlib.sha256
-        # Small slices, so that ids and texts of a whole batch are never held together.
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            last = batch.num_columns - 1
-            packed = [bpe.encode(t.as_py() or "") for t in batch.column(last)]
+
+        def columns(texts: list[str | None]) -> list[pa.Array]:
+            packed = [bpe.encode(t or "") for t in texts]
             decoded = [bpe.decode(p) for p in packed]
-            cols = [batch.column(i) for i in range(last)]
-            cols += [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha(p).hexdigest() for p in packed]), pa.array([sha(t.encode()).hexdigest() for t in decoded])]
+            cols = [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha(p).hexdigest() for p in packed]), pa.array([sha(t.encode()).hexdigest() for t in decoded])]
             if keep_ids:
                 ends = pa.array([0, *accumulate(len(p) // 4 for p in packed)], pa.int32())
                 cols.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(packed))])))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *carry, *(m.split()[0] for m in made)])
+            return cols
+
+        return columns
 
-    return source.mapInArrow(run, f"{kinds}, {', '.join(made)}")
+    # Small slices, so that ids and texts of a whole batch are never held together.
+    out = added(df, text_col, (id_col, *carry), names, kinds, make, SLICE)
+    return out if id_col == "doc_id" else out.withColumnRenamed(id_col, "doc_id")
 
 
 def default_vocabulary() -> str:

@@ -29,19 +29,28 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"{name}_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(crc_fold(F.col("doc_id")) != 0))
-    found = langid.identify(docs, model, carry=tuple(docs.columns), names=("__lang", "__score", "__rate"))
     letters = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[^\p{L}]", ""))
-    if not model:
+    if not model.names:
         return docs.where(letters > 0)
-    odd = (F.col("__rate") > MOST_PHRASES) & (F.col("__rate") * letters > LEAST_PHRASES)
-    return found.where((F.col("__lang") != "und") & ~odd).select(*docs.columns)
+    lang, score, rate = (_unused(docs, f"found_{name}") for name in ("lang", "score", "rate"))
+    found = langid.identify(docs, model, carry=tuple(docs.columns), names=(lang, score, rate))
+    odd = (F.col(rate) > MOST_PHRASES) & (F.col(rate) * letters > LEAST_PHRASES)
+    return found.where((F.col(lang) != "und") & ~odd).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, carry=tuple(docs.columns), name="__toxic").where(F.col("__toxic") < 0.5).select(*docs.columns)
+    name = _unused(docs, "toxic_score")
+    return toxicity.score(docs, model, carry=tuple(docs.columns), name=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,13 @@ def test_decisions_take_effect(spark, sf_dir):
     assert [r.doc_id for r in pipeline.decontamination(spark, docs, sf_dir).collect()] == [2]
 
 
+def test_columns_of_any_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "doc_id as `__text`", "lang as `__lang`", "1 as found_rate", "2 as toxic_score", "3 as text_hash", "4 as c", "5 as node")
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf_dir).columns == docs.columns, name
+    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).limit(1).count() == 1
+
+
 def test_registered():
     names = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")} and "pipeline" in names
