@@ -151,3 +151,10 @@ def connected(held: DataFrame, good: DataFrame, payloads: DataFrame, test: Test,
     if crowd.limit(1).count():
         good = good.unionByName(tiled(crowd, test, tile_weight))
     return components(good)
+
+
+def named(nodes: DataFrame, linked: DataFrame, first: Column, rows: int) -> DataFrame:
+    """``nodes`` (node, ...) with ``first``, an aggregate of the columns of each component's nodes (a lone node is one)."""
+    labelled = nodes.join(linked, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    least = written(labelled.groupBy("label").agg(first.alias("first"), F.count("*").alias("n")), "component-names")
+    return by_key(labelled, least.select("label", "first"), "label", least.where(F.col("n") > hot_limit(rows)))

@@ -2,14 +2,17 @@
 
 Every run of ``window`` consecutive words of a test item is a phrase (an item with fewer words, but not
 none, is one phrase). The terms of each phrase are ranked by their count over all training documents, and
-the index stores the postings of the two rarest terms of every phrase: term, document, position and the
-words around it. The two lists of a phrase, each moved back by the term's offset, are intersected on
-document and start, and the survivors are compared word by word. Phrases with a term that no document has
-are dropped unread. A posting of a reserved term holds each document's length.
-
-Only DataFrame functions run on the main path. Null texts have no words; rows without hits get zeros;
-repeated rows get equal results; a test item that is null or has no words has no phrases. Items that share
-a phrase are all reported. Test terms are broadcast only below ``BROADCAST_TERMS`` rows, else joined.
+the index stores the postings (term, document, position) of the two rarest terms of every phrase. The two
+lists of a phrase, each moved back by its term's offset, are intersected on document and start; what is left is
+compared word by word with the stored tokens of its document, of which only documents with a candidate are read.
+Proximity matches are starts of the two lists that differ by at most a slop. Phrases with a term that no document
+has are dropped unread.
+
+Only DataFrame functions run on the main path. Null texts have no words; rows without hits get zeros; very long
+texts are indexed whole; repeated rows get equal results; rows of one id with different texts are told apart by the
+texts' hash; a test item that is null or has no words has no phrases. Items that share a phrase are all reported.
+Further columns, whatever their names, are not read. Tables made of the test items are broadcast only below
+``BROADCAST_ROWS`` rows, else joined, and then a term's postings move without the text around them.
 """
 
 from __future__ import annotations
@@ -20,14 +23,18 @@ from pyspark.sql import functions as F
 from .common import plain_words, read_table, written
 
 WINDOW = 10
-BROADCAST_TERMS = 100_000
-#: No word can contain a space, so this term stands for document lengths.
-LENGTH_TERM = " "
+SLOP = 3
+BROADCAST_ROWS = 100_000
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only behind the row count."""
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast only behind its row count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _key(x: str, y: str) -> Column:
+    """One row's document is the other's, null ids alike."""
+    return F.expr(f"{x}.doc_id <=> {y}.doc_id and {x}.text_hash = {y}.text_hash")
 
 
 def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -37,80 +44,62 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return words.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i + 1, window))).alias("phrase")).distinct()
 
 
-def ranked_phrases(docs: DataFrame, phrase: DataFrame) -> DataFrame:
-    """phrase, n, and its two rarest terms with their offsets (equal for one-word phrases)."""
-    vocabulary = phrase.select(F.explode("phrase").alias("term")).distinct()
-    rows = vocabulary.count()
-    tokens = docs.select(F.explode(plain_words(F.col("text"))).alias("term"))
-    if rows <= BROADCAST_TERMS:
-        counts = tokens.join(F.broadcast(vocabulary), "term").groupBy("term").count()
-    else:
-        counts = tokens.groupBy("term").count().join(vocabulary, "term")
-    places = phrase.select("phrase", F.posexplode("phrase").alias("off", "term")).join(_small(counts, rows), "term", "left")
+def ranked_phrases(words: DataFrame, phrase: DataFrame) -> DataFrame:
+    """phrase, ph (its hash), n, and its two rarest terms with their offsets (equal for one-word phrases)."""
+    vocabulary = written(phrase.select(F.explode("phrase").alias("term")).distinct(), "decontam-vocabulary")
+    counts = written(words.select(F.explode("w").alias("term")).join(_small(vocabulary), "term").groupBy("term").count(), "decontam-counts")
+    places = phrase.select("phrase", F.posexplode("phrase").alias("off", "term")).join(_small(counts), "term", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "off", "term")))
     ranked = places.groupBy("phrase").agg(order.alias("order")).where(F.col("order")[0]["count"] > 0)
     second = F.coalesce(F.get("order", F.lit(1)), F.col("order")[0])
     return ranked.select("phrase", F.size("phrase").alias("n"), F.col("order")[0].alias("rarest"), second.alias("next")).select(
-        "phrase", "n", F.col("rarest.term").alias("term1"), F.col("rarest.off").alias("off1"), F.col("next.term").alias("term2"), F.col("next.off").alias("off2")
-    )
-
-
-def postings(docs: DataFrame, terms: DataFrame, rows: int, window: int = WINDOW) -> DataFrame:
-    """term, doc_id, text_hash, pos, lead (words before it in ``around``), around, n_words.
-
-    One scan of the texts; ``around`` holds the words at most ``window - 1`` places away.
-    """
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), plain_words(F.col("text")).alias("w"))
-    tokens = words.select("doc_id", "text_hash", "w", F.posexplode(F.concat(F.array(F.lit(LENGTH_TERM)), F.col("w"))).alias("at", "term"))
-    known = terms.unionByName(docs.sparkSession.createDataFrame([(LENGTH_TERM,)], "term string"))
-    real, pos = F.col("at") > 0, F.col("at") - 1
-    start = F.greatest(pos - (window - 1), F.lit(0))
-    return tokens.join(_small(known, rows), "term").select(
-        "term", "doc_id", "text_hash", pos.alias("pos"), (pos - start).alias("lead"),
-        F.when(real, F.slice("w", start + 1, pos - start + window)).alias("around"), F.when(~real, F.size("w").cast("long")).alias("n_words"),
+        "phrase", F.xxhash64("phrase").alias("ph"), "n", F.col("rarest.term").alias("term1"), F.col("rarest.off").alias("off1"), F.col("next.term").alias("term2"), F.col("next.off").alias("off2")
     )
 
 
 class Index:
-    """The postings of the terms that ``items`` need, written to the shared folder."""
+    """The documents' tokens, and the postings of the terms that ``items`` need, in the shared folder."""
 
     def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW):
-        spark = docs.sparkSession
-        self.window = window
+        docs, items = docs.select("doc_id", F.col("text").cast("string").alias("text")), items.select("item_id", F.col("text").cast("string").alias("text"))
+        self.words = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), plain_words(F.col("text")).alias("w")), "decontam-words")
         self.items = written(phrases(items, window), "decontam-phrases")
-        self.ranked = written(ranked_phrases(docs, self.items.select("phrase").distinct()), "decontam-ranked")
-        self.rows = self.ranked.count()
-        terms = self.ranked.select(F.explode(F.array("term1", "term2")).alias("term")).distinct()
-        self.postings = written(postings(docs, terms, self.rows * 2, window), "decontam-postings")
-        self.spark = spark
-
-    def _moved(self, which: int, *carry: str | Column) -> DataFrame:
-        """The list of each phrase's term ``which``, moved back by its offset."""
-        plan = self.ranked.select("phrase", "n", F.col(f"term{which}").alias("term"), F.col(f"off{which}").alias("off"))
-        live = self.postings.where(F.col("term") != LENGTH_TERM)
-        return live.join(_small(plan, self.rows), "term").select("doc_id", "text_hash", "phrase", "n", (F.col("pos") - F.col("off")).alias("start"), *carry)
+        self.ranked = written(ranked_phrases(self.words, self.items.select("phrase").distinct()), "decontam-ranked")
+        terms = written(self.ranked.select(F.explode(F.array("term1", "term2")).alias("term")).distinct(), "decontam-terms")
+        tokens = self.words.select("doc_id", "text_hash", F.posexplode("w").alias("pos", "term"))
+        self.postings = written(tokens.join(_small(terms), "term"), "decontam-postings")
+
+    def _moved(self, which: int) -> DataFrame:
+        """The list of each phrase's term ``which``, moved back by its offset: doc_id, text_hash, ph, start."""
+        plan = written(self.ranked.select("ph", F.col(f"term{which}").alias("term"), F.col(f"off{which}").alias("off")), "decontam-plan")
+        return self.postings.join(_small(plan), "term").select("doc_id", "text_hash", "ph", (F.col("pos") - F.col("off")).alias("start"))
+
+    def meetings(self) -> DataFrame:
+        """doc_id, text_hash, ph, start where the lists of a phrase's two rarest terms intersect."""
+        a, b = self._moved(1).where("start >= 0").distinct().alias("a"), self._moved(2).distinct().alias("b")
+        return a.join(b, _key("a", "b") & F.expr("a.ph = b.ph and a.start = b.start"), "left_semi")
 
     def exact(self) -> DataFrame:
         """doc_id, text_hash, phrase, n, start of every occurrence."""
-        first = self._moved(1, F.slice("around", F.col("lead") - F.col("off") + 1, F.col("n")).alias("found"), (F.col("lead") >= F.col("off")).alias("inside"))
-        # The comparison needs the first list alone, so it goes before the shuffle of the intersection.
-        first = first.where("inside").where(F.col("found") == F.col("phrase")).select("doc_id", "text_hash", F.xxhash64("phrase").alias("ph"), "phrase", "n", "start")
-        second = self._moved(2).select("doc_id", "text_hash", F.xxhash64("phrase").alias("ph"), "start").distinct()
-        a, b = first.distinct().alias("a"), second.alias("b")
-        same = F.expr("a.doc_id <=> b.doc_id and a.text_hash = b.text_hash and a.ph = b.ph and a.start = b.start")
-        return a.join(b, same, "left_semi").drop("ph")
-
-    def near(self, slop: int) -> DataFrame:
-        """Proximity matches: the two rarest terms of a phrase stand within ``slop`` places of their order."""
-        keys = ("doc_id", "text_hash", "phrase")
+        met = self.meetings().join(_small(self.ranked.select("ph", "phrase", "n")), "ph")
+        # A document's starts are bounded by its length and the phrases.
+        met = written(met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("met")), "decontam-met")
+        tokens = self.words.alias("w").join(_small(met).alias("m"), _key("w", "m")).select("m.doc_id", "m.text_hash", "w", "met")
+        same = F.filter("met", lambda s: F.slice("w", s["start"] + 1, s["n"]) == s["phrase"])
+        return tokens.select("doc_id", "text_hash", F.explode(same).alias("s")).select("doc_id", "text_hash", "s.phrase", "s.n", "s.start").distinct()
+
+    def near(self, slop: int = SLOP) -> DataFrame:
+        """Proximity matches: doc_id, text_hash, ph, start, shift where the two rarest terms of a phrase stand within
+        ``slop`` places of the distance that they have in it; a start may lie before the document."""
         # Starts that differ by at most slop share a bucket or stand in neighbouring ones.
         width = max(1, slop)
-        a = self._moved(1).select(*keys, F.col("start").alias("start1"), F.explode(F.array(*[F.floor(F.col("start") / width) + d for d in (-1, 0, 1)])).alias("bucket"))
-        b = self._moved(2).select(*keys, F.col("start").alias("start2"), F.floor(F.col("start") / width).alias("bucket"))
-        return a.join(b, [*keys, "bucket"]).where(F.abs(F.col("start1") - F.col("start2")) <= slop).select(*keys, F.col("start1").alias("start"), (F.col("start2") - F.col("start1")).alias("shift")).distinct()
+        a = self._moved(1).distinct().select("*", F.explode(F.array(*[F.floor(F.col("start") / width) + d for d in (-1, 0, 1)])).alias("bucket")).alias("a")
+        b = self._moved(2).distinct().withColumn("bucket", F.floor(F.col("start") / width)).alias("b")
+        close = _key("a", "b") & F.expr(f"a.ph = b.ph and a.bucket = b.bucket and abs(a.start - b.start) <= {int(slop)}")
+        return a.join(b, close).select("a.doc_id", "a.text_hash", "a.ph", "a.start", (F.col("b.start") - F.col("a.start")).alias("shift"))
 
     def lengths(self) -> DataFrame:
-        return self.postings.where(F.col("term") == LENGTH_TERM).select("doc_id", "text_hash", "n_words")
+        return self.words.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
 
 
 def covered(spans: Column) -> Column:
@@ -126,22 +115,19 @@ def covered(spans: Column) -> Column:
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text) of the documents that hold a phrase of an item."""
-    docs, items = docs.select("doc_id", F.col("text").cast("string").alias("text")), items.select("item_id", F.col("text").cast("string").alias("text"))
     return Index(docs, items, window).exact().select("doc_id", "text_hash").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    docs, items = docs.select("doc_id", F.col("text").cast("string").alias("text")), items.select("item_id", F.col("text").cast("string").alias("text"))
     index = Index(docs, items, window)
-    hits = index.exact()
+    hits = written(index.exact(), "decontam-hits")
     # A document's starts and items are bounded by its length and the phrases, and both are sets.
-    spans = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.collect_set("phrase").alias("phrases"))
-    named = spans.select("doc_id", "text_hash", F.explode("phrases").alias("phrase")).join(_small(index.items, index.rows), "phrase")
+    spans = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    named = hits.select("doc_id", "text_hash", "phrase").distinct().join(_small(index.items), "phrase")
     names = named.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("names"))
-    on = lambda a, b: F.expr(f"{a}.doc_id <=> {b}.doc_id and {a}.text_hash = {b}.text_hash")
-    found = spans.select("doc_id", "text_hash", covered(F.col("spans")).alias("n_hit")).alias("s").join(names.alias("t"), on("s", "t")).select("s.doc_id", "s.text_hash", "n_hit", "names")
-    out = index.lengths().alias("d").join(found.alias("f"), on("d", "f"), "left")
+    found = spans.select("doc_id", "text_hash", covered(F.col("spans")).alias("n_hit")).alias("s").join(names.alias("t"), _key("s", "t")).select("s.doc_id", "s.text_hash", "n_hit", "names")
+    out = index.lengths().alias("d").join(_small(written(found, "decontam-found")).alias("f"), _key("d", "f"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "d.doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
@@ -153,6 +139,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document with proximity matches: how many, of how many phrases, and how many of them are not in place."""
+    near = Index(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).near()
+    counts = near.groupBy("doc_id").agg(F.count("*").alias("n_near"), F.count_distinct("ph").alias("n_phrases"), F.count_if(F.col("shift") != 0).alias("n_shifted"))
+    return counts
+
+
 _DUCK_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE_SQL = f"""
@@ -170,3 +163,26 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join cov using (doc_id) left join its using (doc_id)
 """
+
+PROXIMITY_SQL = f"""
+with d as (select doc_id, {_DUCK_WORDS} as w from documents),
+b as (select item_id, {_DUCK_WORDS} as w from benchmark),
+win as (
+  select distinct list_slice(w, i + 1, i + {WINDOW}) as p from b, unnest(range(greatest(len(w) - {WINDOW}, 0) + 1)) as t(i) where len(w) > 0
+),
+tok as (select doc_id, w[i + 1] as term, i as pos from d, unnest(range(len(w))) as t(i)),
+cnt as (select term, count(*) as c from tok group by term),
+terms as (
+  select p, i as off, p[i + 1] as term, row_number() over (partition by p order by coalesce(c, 0), i) as r, coalesce(c, 0) as c
+  from win, unnest(range(len(p))) as t(i) left join cnt on cnt.term = p[i + 1]
+),
+ranked as (
+  select a.p, a.term as t1, a.off as o1, coalesce(b.term, a.term) as t2, coalesce(b.off, a.off) as o2
+  from terms a left join terms b on a.p = b.p and b.r = 2 where a.r = 1 and a.c > 0
+),
+m1 as (select distinct doc_id, p, pos - o1 as start from tok join ranked on term = t1),
+m2 as (select distinct doc_id, p, pos - o2 as start from tok join ranked on term = t2)
+select m1.doc_id, count(*) as n_near, count(distinct m1.p) as n_phrases, count(*) filter (where m1.start <> m2.start) as n_shifted
+from m1 join m2 on m1.doc_id = m2.doc_id and m1.p = m2.p and abs(m1.start - m2.start) <= {SLOP}
+group by m1.doc_id
+"""

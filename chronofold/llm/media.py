@@ -244,9 +244,8 @@ def copies(images: DataFrame, least_votes: int = LEAST_VOTES, few: int = blocks.
     payloads = nodes.select("node", F.col("points").alias("payload"))
     good = written(blocks.verified(written(blocks.star(held, test, hot), "media-candidates"), payloads, test, total), "media-links")
     linked = blocks.connected(held, good, payloads, test, hot, total, few, tile_weight)
-    named = nodes.select("node", "id", "n_corners").join(linked, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    least = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    named = written(named.join(least, "label").select(F.col("node").alias("digest"), "class_id"), "media-classes")
+    named = blocks.named(nodes.select("node", "id"), linked, F.min("id"), n_rows)
+    named = written(named.select(F.col("node").alias("digest"), F.col("first").alias("class_id")), "media-classes")
     often = nodes.where(F.col("copies") > blocks.hot_limit(n_rows)).select(F.col("node").alias("digest"))
     return blocks.by_key(rows.select("id", "digest", "n_corners"), named, "digest", often).select("id", "class_id", "n_corners")
 

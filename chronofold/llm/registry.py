@@ -15,8 +15,10 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_media": media.op9_media,
     "op10_decontamination": decontam.op10_decontamination,
+    "benchmark_proximity": decontam.benchmark_proximity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_decontamination": decontam.ORACLE_SQL,
+    "benchmark_proximity": decontam.PROXIMITY_SQL,
 }

@@ -369,10 +369,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     sets = written(_sets(texts, shingle, True).join(wanted, ["doc_id", "text_hash"]).select("node", F.col("hashes").alias("payload")), "shingle-sets")
     good = written(blocks.verified(pairs, sets, test, total), "similar")
     linked = blocks.connected(held, good, sets, test, hot, total, few, tile_hashes)
-    named = nodes.select("node", "doc_id", "text_hash").join(linked, "node", "left").select("node", "doc_id", "text_hash", F.coalesce("component", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    named = written(named.select("node", "label").join(least, "label").select(F.col("node").alias("digest"), F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text")), "named")
     n_rows = nodes.agg(F.sum("copies")).first()[0] or 0
+    named = blocks.named(nodes.select("node", "doc_id", "text_hash"), linked, F.min(F.struct("doc_id", "text_hash")), n_rows)
+    named = written(named.select(F.col("node").alias("digest"), F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text")), "named")
     often = nodes.where(F.col("copies") > blocks.hot_limit(n_rows)).select(F.col("node").alias("digest"))
     return blocks.by_key(rows.select("doc_id", "text_hash", "digest"), named, "digest", often).select("doc_id", "text_hash", "component_id", "component_text")
 

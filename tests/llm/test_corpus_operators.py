@@ -200,20 +200,48 @@ def test_decontamination_equals_plain_search(spark, sf_dir):
 
 
 def test_decontamination_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_TERMS", -1)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", -1)
     items, docs = [(1, "one two three four five six seven eight nine ten eleven")], [(1, "zero one two three four five six seven eight nine ten"), (2, "one two")]
     got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()) == brute_leaks(docs, items)
 
 
-def test_decontamination_edges_and_proximity(spark):
+def test_decontamination_edges(spark):
     docs, items = edge_docs(spark), spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     assert decontam.decontaminate(docs.limit(0), items).count() == 0
     assert decontam.decontaminate(docs, items.limit(0)).where("contaminated").count() == 0
-    near = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha a b c d e f g h beta gamma"), (3, "alpha beta gamma")], "doc_id long, text string")
-    found = decontam.Index(near, items).near(2)
-    assert {r.doc_id for r in found.collect()} >= {3} and all(abs(r["shift"]) <= 2 for r in found.collect())
-    assert {r.doc_id for r in decontam.Index(near, items).exact().collect()} == {3}
+    clash = docs.selectExpr("doc_id", "text", "1 as w", "2 as text_hash", "3 as term", "4 as n_words")
+    assert decontam.decontaminate(clash, items.selectExpr("*", "'x' as phrase", "1 as doc_id")).count() == len(EDGES)
+
+
+def test_lists_meet_before_words_are_compared(spark):
+    """Only documents in which both rarest terms stand in place are compared, and comparing still decides."""
+    texts = ["alpha b c d e f g h i omega", "alpha b c d x f g h i omega", "alpha omega", "omega b c d e f g h i alpha", "b c d e f g h i " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = decontam.Index(docs, spark.createDataFrame([(1, texts[0])], "item_id long, text string"))
+    assert {(r.doc_id, r.start) for r in index.meetings().collect()} == {(0, 0), (1, 0)}
+    assert [(r.doc_id, r.start, r.n) for r in index.exact().collect()] == [(0, 0, 10)]
+
+
+def test_proximity_equals_plain_search(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(40)]
+    items = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(5)] + ["q z", "k"]
+    count = {c: sum(t.split().count(c) for t in texts) for c in "abcdefghijklmnopqrstuvwxyz"}
+    want = set()
+    for item in items:
+        w = item.split()
+        for i in range(max(len(w) - 10, 0) + 1):
+            phrase = w[i : i + 10]
+            order = sorted(range(len(phrase)), key=lambda k: (count[phrase[k]], k))
+            first, second = order[0], order[min(1, len(order) - 1)]
+            for n, text in enumerate(texts):
+                t = text.split()
+                starts = [[p - off for p, x in enumerate(t) if x == phrase[off]] for off in (first, second)]
+                want |= {(n, tuple(phrase), x, y - x) for x in starts[0] for y in starts[1] if abs(y - x) <= 2}
+    index = decontam.Index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    name = {r.ph: tuple(r.phrase) for r in index.ranked.collect()}
+    assert {(r.doc_id, name[r.ph], r.start, r["shift"]) for r in index.near(2).collect()} == want and want
 
 
 def chains():
