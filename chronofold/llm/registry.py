@@ -16,9 +16,11 @@ QUERIES = {
     "op9_media": media.op9_media,
     "op10_decontamination": decontam.op10_decontamination,
     "benchmark_proximity": decontam.benchmark_proximity,
+    "license_base": licenses.license_base,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_decontamination": decontam.ORACLE_SQL,
     "benchmark_proximity": decontam.PROXIMITY_SQL,
+    "license_base": licenses.BASE_SQL,
 }
