@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries
+from . import queries, read_queries
 
 QUERIES: dict = dict(queries.QUERIES)
 ORACLE_SQL: dict[str, str] = dict(queries.ORACLE_SQL)

@@ -59,6 +59,53 @@ def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trace_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a timeline with turns: a click opens a user's turn, views are calls, signups results, a purchase ends it.
+
+    State columns (summarised, visible to the prompt, index status, result status) come from the number in props.
+    """
+    e = event_entries(spark, sf_dir).drop("seq_no", "turn_role", "kind")
+    order = Window.partitionBy("conversation_id").orderBy("timestamp", "event_id")
+    e = e.withColumn("event_id", F.substring("source_id", 2, 20).cast("long"))
+    no = F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).over(order)
+    pick = lambda *pairs: F.element_at(F.create_map(*[F.lit(x) for x in pairs]), F.col("event_type"))
+    k = F.coalesce("k", F.lit(0))
+    return e.withColumn("no", no).select(
+        "tenant_id", "user_id", "domain_id", "conversation_id", "source_id", F.row_number().over(order).cast("long").alias("seq_no"), "timestamp",
+        pick("click", "message.user", "view", "tool.view.call", "signup", "tool.view.result", "purchase", "message.assistant", "error", "event.error").alias("kind"),
+        pick("click", "user", "view", "assistant", "signup", "environment", "purchase", "assistant", "error", "environment").alias("origin"),
+        pick("click", "stimulus", "view", "action", "signup", "observation", "purchase", "final", "error", "").alias("turn_role"),
+        F.when(F.col("no") > 0, F.concat(F.lit("x"), "conversation_id", F.lit(":"), F.col("no"))).otherwise("").alias("turn_id"),
+        F.when(F.col("event_type").isin("view", "signup"), F.concat(F.lit("k"), k % 4)).otherwise("").alias("correlation_id"),
+        F.when(F.col("event_type") == "signup", F.when(k % 5 == 0, "pending").otherwise("completed")).otherwise("").alias("status"),
+        F.concat(F.lit("user:"), "actor_id").alias("actor_id"), F.concat(F.lit("User "), F.col("actor_id"), F.when(k % 2 == 0, "").otherwise(" B")).alias("actor_display_name"),
+        F.when(F.col("event_type") == "view", "tool:view").otherwise("").alias("target_actor_id"), F.lit("").alias("target_actor_display_name"),
+        F.col("value"), k.alias("k"), (k % 3 == 0).alias("is_summarized"), (k % 5 != 0).alias("prompt_visible"),
+        F.when(k % 7 == 0, "pending").when(k % 7 == 1, "skipped").otherwise("indexed").alias("index_status"),
+        F.concat(F.lit("{\"k\":"), k, F.lit("}")).alias("content"),
+    )
+
+
+def trace_episodes(timeline: DataFrame, size: int = 8) -> DataFrame:
+    """Runs of ``size`` entries of a conversation as episodes with state columns."""
+    scope = ("tenant_id", "user_id", "domain_id", "conversation_id")
+    rows = timeline.withColumn("batch", F.floor((F.col("seq_no") - 1) / size))
+    made = rows.groupBy(*scope, "batch").agg(F.min("timestamp").alias("period_start_ts"), F.max("timestamp").alias("period_end_ts"), F.array_sort(F.collect_list(F.struct("seq_no", "source_id"))).alias("rows"), F.sum("k").alias("k"))
+    return made.select(
+        *scope, F.concat(F.lit("xe"), "conversation_id", F.lit(":"), "batch").alias("summary_id"), "period_start_ts", "period_end_ts", F.col("period_end_ts").alias("timestamp"),
+        F.transform("rows", lambda r: r["source_id"]).alias("source_ids"), F.lit("memory.episode_summary").alias("kind"), (F.col("k") % 3 == 0).alias("is_semanticized"),
+        F.when(F.col("k") % 11 == 0, "invalid").otherwise("valid").alias("lineage_status"), F.when(F.col("k") % 5 == 0, "explicit").otherwise("default").alias("retrieval_visibility"),
+        F.when(F.col("k") % 7 == 0, "pending").otherwise("indexed").alias("index_status"), (F.col("k") % 100 / 100).alias("importance"),
+    )
+
+
+def trace_semantics(episodes: DataFrame, size: int = 5) -> DataFrame:
+    """Runs of ``size`` episodes of a user, most recently reinforced by their last one."""
+    rank = F.row_number().over(Window.partitionBy("tenant_id", "user_id", "domain_id").orderBy("timestamp", "summary_id")) - 1
+    made = episodes.withColumn("batch", F.floor(rank / size)).groupBy("tenant_id", "user_id", "domain_id", "batch").agg(F.max("timestamp").alias("timestamp"), F.min("period_start_ts").alias("period_start_ts"), F.array_sort(F.collect_list(F.struct("timestamp", "summary_id"))).alias("rows"), F.round(F.avg("importance"), 6).alias("importance"))
+    return made.select("tenant_id", "user_id", "domain_id", F.concat(F.lit("xs"), "user_id", F.lit(":"), "batch").alias("semantic_id"), "timestamp", "period_start_ts", F.col("timestamp").alias("last_reinforced_ts"), "importance", F.transform("rows", lambda r: r["summary_id"]).alias("source_summary_ids"), F.lit("indexed").alias("index_status"))
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as index entries: the source is the namespace, low quality is found only when asked for."""
     quality = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
