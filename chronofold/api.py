@@ -33,7 +33,8 @@ class Engine:
 
     def _scoped(self, table: str, cross: bool = True) -> DataFrame:
         n = self.namespace
-        return self.store.read(table).where(filters.scope(n.tenant_id, n.user_id, n.domain_id, None if cross else n.conversation_id))
+        rows = self.store.read(table, scope=(n.tenant_id, n.user_id, n.domain_id))
+        return rows if cross or n.conversation_id is None else rows.where(F.col("conversation_id") == n.conversation_id)
 
     def append(self, rows: DataFrame) -> int:
         """Append entries of this namespace; a repeated id is skipped, one of another namespace is an error."""

@@ -1,8 +1,12 @@
 """A versioned append log over Parquet with optimistic commits.
 
-Every commit writes immutable files and then one manifest, created by a rename that fails if the generation
-exists. Readers see the files of the manifests up to a generation, so a read is a snapshot, a failed writer
-leaves only files that no manifest names, and of two writers one wins and the other reads again.
+Every commit writes immutable files and then one manifest, which comes into being under its name in one step that
+fails if the generation exists. Readers see the files of the manifests up to a generation, so a read is a snapshot, a
+failed writer leaves only files that no manifest names, and of two writers one wins and the other reads again. A
+manifest names what its commit added; every ``CHECKPOINT`` generations one names all files.
+
+Tables that have the columns of a scope are laid out in ``BUCKETS`` folders by its hash, so a read of one scope lists
+and scans one folder of each commit.
 """
 
 from __future__ import annotations
@@ -10,14 +14,23 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+SCOPE = ("tenant_id", "user_id", "domain_id")
+BUCKET, BUCKETS = "scope_bucket", 64
+CHECKPOINT = 16
+
 
 class CommitConflict(RuntimeError):
     """Another writer committed the generation first."""
 
 
+def bucket(tenant_id: Column, user_id: Column, domain_id: Column) -> Column:
+    """The folder of a scope; of three literals a literal, so the scan is pruned."""
+    return F.pmod(F.xxhash64(tenant_id, user_id, domain_id), F.lit(BUCKETS)).cast("int")
+
+
 class LogStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -25,47 +38,90 @@ class LogStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _manifests(self, table: str) -> list[str]:
-        folder = self._path(f"{self.root}/{table}/_manifests")
+    def _manifest(self, table: str, name: str = ""):
+        return self._path(f"{self.root}/{table}/_manifests/{name}" if name else f"{self.root}/{table}/_manifests")
+
+    def _generations(self, table: str) -> list[int]:
+        folder = self._manifest(table)
         if not self._fs.exists(folder):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        names = (s.getPath().getName() for s in self._fs.listStatus(folder))
+        return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json") and not n.startswith("."))
 
     def generation(self, table: str) -> int:
-        names = self._manifests(table)
-        return int(names[-1].split(".")[0]) if names else 0
+        return (self._generations(table) or [0])[-1]
 
     def _entry(self, table: str, generation: int) -> dict:
-        stream = self._fs.open(self._path(f"{self.root}/{table}/_manifests/{generation:012d}.json"))
+        path = self._manifest(table, f"{generation:012d}.json")
+        if not self._fs.exists(path):
+            raise FileNotFoundError(f"{table} has no generation {generation}")
+        stream = self._fs.open(path)
         try:
             return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
 
-    def commit(self, table: str, rows: DataFrame, expected: int | None = None, replace: bool = False) -> int:
-        """Append (or replace by) ``rows``; with ``expected`` the commit holds only on that generation."""
-        base = self.generation(table) if expected is None else expected
-        folder = f"{self.root}/{table}/data-{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
-        old = [] if replace or not base else self._entry(table, base)["files"]
-        manifests = self._path(f"{self.root}/{table}/_manifests")
-        self._fs.mkdirs(manifests)
-        temporary = self._path(f"{self.root}/{table}/_manifests/.{uuid.uuid4().hex}")
+    def _files(self, table: str, generation: int) -> list[str]:
+        out: list[str] = []
+        while generation:
+            entry = self._entry(table, generation)
+            out = [*entry["add"], *out]
+            if entry["whole"]:
+                break
+            generation -= 1
+        return out
+
+    def _create(self, path, text: str) -> bool:
+        """``path`` with its whole text, or False if it exists: one step, whoever else tries."""
+        temporary = self._path(path.getParent(), f".{uuid.uuid4().hex}")
         out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps({"files": [*old, folder]}).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        target = self._path(f"{self.root}/{table}/_manifests/{base + 1:012d}.json")
-        if self._fs.exists(target) or not self._fs.rename(temporary, target):
+        jvm = self.spark._jvm
+        try:
+            if self._fs.getScheme() == "file":
+                # A rename replaces its target here; a second name for a file does not.
+                link, of = (jvm.java.nio.file.Path.of(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for p in (path, temporary))
+                jvm.java.nio.file.Files.createLink(link, of)
+            else:
+                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self.spark._jsc.hadoopConfiguration()).rename(temporary, path, options)
+        except Exception as error:
+            if not self._fs.exists(path):
+                raise
+            del error
+            return False
+        finally:
             self._fs.delete(temporary, False)
+        return True
+
+    def commit(self, table: str, rows: DataFrame, expected: int | None = None, replace: bool = False) -> int:
+        """Append (or replace by) ``rows``; with ``expected`` the commit holds only on that generation."""
+        base = self.generation(table) if expected is None else expected
+        folder = f"{self.root}/{table}/commit=c{uuid.uuid4().hex}"
+        if set(SCOPE) <= set(rows.columns):
+            rows.withColumn(BUCKET, bucket(*map(F.col, SCOPE))).write.partitionBy(BUCKET).parquet(folder)
+        else:
+            rows.write.parquet(folder)
+        whole = replace or not base or (base + 1) % CHECKPOINT == 0
+        old = [] if replace or not base or not whole else self._files(table, base)
+        self._fs.mkdirs(self._manifest(table))
+        if not self._create(self._manifest(table, f"{base + 1:012d}.json"), json.dumps({"add": [*old, folder], "whole": whole})):
             self._fs.delete(self._path(folder), True)
             raise CommitConflict(f"{table} is beyond generation {base}")
         return base + 1
 
-    def read(self, table: str, generation: int | None = None) -> DataFrame:
+    def read(self, table: str, generation: int | None = None, scope: tuple[str, str, str] | None = None) -> DataFrame:
+        """A generation's rows, the latest by default; of one scope, only its folders are read."""
         at = self.generation(table) if generation is None else generation
         if not at:
             raise FileNotFoundError(table)
-        return self.spark.read.option("mergeSchema", "true").parquet(*self._entry(table, at)["files"])
+        out = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.root}/{table}").parquet(*self._files(table, at)).drop("commit")
+        if scope is not None and BUCKET in out.columns:
+            out = out.where(F.col(BUCKET) == bucket(*map(F.lit, scope)))
+            for name, value in zip(SCOPE, scope, strict=True):
+                out = out.where(F.col(name) == value)
+        return out.drop(BUCKET)
 
     def append_new(self, table: str, rows: DataFrame, key: str = "source_id", scope: tuple[str, ...] = ("tenant_id", "user_id", "domain_id", "conversation_id")) -> int:
         """Idempotent append: rows whose key is known are skipped; a key of another scope is an error."""
@@ -93,9 +149,26 @@ class LogStore:
         return ranked.where("__r = 1").drop("__r")
 
     def forget(self, table: str, predicate) -> int:
-        """Rewrite the table without the rows of a scope, all of their versions included."""
+        """Rewrite the table without the rows of a scope, all of their versions included.
+
+        Once the new generation stands, the generations before it and their files are deleted: a read of one of
+        them fails, and nothing of the scope is left in the folder.
+        """
         base = self.generation(table)
-        return self.commit(table, self.read(table, base).where(~F.coalesce(predicate, F.lit(False))), base, replace=True)
+        new = self.commit(table, self.read(table, base).where(~F.coalesce(predicate, F.lit(False))), base, replace=True)
+        for old in self._generations(table):
+            if old < new:
+                self._fs.delete(self._manifest(table, f"{old:012d}.json"), False)
+        self.sweep(table)
+        return new
+
+    def sweep(self, table: str) -> list[str]:
+        """Delete data that no manifest names: what failed writers and forgotten generations left. No writer may be at work."""
+        named = {self._path(f).getName() for g in self._generations(table) for f in self._entry(table, g)["add"]}
+        gone = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.root}/{table}")) if s.getPath().getName().startswith("commit=") and s.getPath().getName() not in named]
+        for path in gone:
+            self._fs.delete(path, True)
+        return [p.getName() for p in gone]
 
     def pending(self, table: str, index: str, key: str = "source_id") -> DataFrame:
         """Rows that the index table lacks: the outbox, derived instead of marked."""

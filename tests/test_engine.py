@@ -62,6 +62,39 @@ def test_store_commits(spark, tmp_path):
     assert store.read("t").count() == 2
 
 
+def test_forget_leaves_nothing(spark, tmp_path):
+    """Neither old generations nor files keep what was forgotten; commits go on after it."""
+    store = LogStore(spark, str(tmp_path))
+    rows = lambda user, *ids: spark.createDataFrame([("", user, "", i, f"secret of {i}") for i in ids], "tenant_id string, user_id string, domain_id string, source_id string, text string")
+    for i in range(20):
+        store.commit("t", rows("u1" if i % 2 else "u2", f"s{i}"))
+    assert store.read("t", 7).count() == 7 and store.read("t").count() == 20
+    new = store.forget("t", F.col("user_id") == "u1")
+    assert {r.user_id for r in store.read("t").collect()} == {"u2"} and store.read("t").count() == 10
+    for generation in range(1, new):
+        with pytest.raises(FileNotFoundError):
+            store.read("t", generation)
+    kept = [p for p in (tmp_path / "t").rglob("*.parquet")]
+    assert kept and spark.read.parquet(*map(str, kept)).where("user_id = 'u1'").count() == 0
+    assert store.commit("t", rows("u3", "z")) == new + 1 and store.read("t").count() == 11
+    store._fs.mkdirs(store._path(f"{tmp_path}/t/commit=cabandoned"))
+    assert store.sweep("t") == ["commit=cabandoned"] and store.read("t").count() == 11
+
+
+def test_scoped_reads_prune_folders_and_manifests_are_created_once(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path))
+    rows = spark.range(200).selectExpr("'' as tenant_id", "concat('u', id % 50) as user_id", "'' as domain_id", "id as source_id")
+    store.commit("t", rows)
+    one = store.read("t", scope=("", "u7", ""))
+    assert one.count() == 4 and one.columns == rows.columns
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(scope_bucket" in plan and "xxhash64" not in plan
+    path = store._manifest("t", "000000000002.json")
+    assert [store._create(path, "a"), store._create(path, "b")] == [True, False]
+    with pytest.raises(CommitConflict):
+        store.commit("t", rows, expected=1)
+
+
 def test_engine_end_to_end(spark, sf_dir, tmp_path):
     t = adapters.timeline(spark, sf_dir)
     e = adapters.episodes(t)
