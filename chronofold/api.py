@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import embedding
 from .functions.text import token_estimate
 from .functions.times import time_range
 from .operators import catalog, compaction, lineage, retrieval
@@ -25,6 +28,17 @@ class Namespace:
     conversation_id: str | None = None
 
 
+@dataclass(frozen=True)
+class RetrievalResult:
+    """Ranked matches, which layers were searched without the entities, the filters applied, and where to go on."""
+
+    status: str
+    matches: list[dict]
+    relaxed: dict[str, bool]
+    applied: dict
+    next_actions: list[dict]
+
+
 class Engine:
     """Tables live in a :class:`LogStore`: ``timeline``, ``episodes``, ``semantics``."""
 
@@ -47,16 +61,70 @@ class Engine:
             stamped = tl.sequence_numbers(stamped, known).withColumn("seq_no", F.col("seq_no").cast("long"))
         return self.store.append_new("timeline", stamped)
 
-    def retrieve(self, query: str, entities: list[str] = (), topics: list[str] = (), where: dict | None = None, limit: int = 6, exclude_visible: DataFrame | None = None, selector: dict | None = None) -> DataFrame:
-        """Best entries by keyword score under scope, time and filters; what is visible, or above it, is left out."""
-        rows = filters.where(self._scoped("timeline"), where)
+    def _pool(self, layer: str, where: dict | None, selector: dict | None, within: DataFrame | None, excluded: DataFrame | None) -> DataFrame:
+        """The candidates of one layer: source_id, content, and what hits are shown with."""
+        table, key, text = {"raw": ("timeline", "source_id", "content"), "summary": ("episodes", "summary_id", "summary")}[layer]
+        rows = filters.where(self._scoped(table), where if layer == "raw" else None)
         if selector:
             rows = rows.where(time_range(selector, self.timezone).predicate(F.col("timestamp"), self.timezone))
-        if exclude_visible is not None:
-            rows = lineage.exclude(rows, lineage.visible_exclusion(exclude_visible, self.edges()))
-        hits = retrieval.bm25_topk(rows, "content", retrieval.query_terms(query, list(entities), list(topics)), max(10, 10 * limit))
-        # Bodies join after the ranking.
-        return rows.join(F.broadcast(hits.limit(limit)), "source_id").select("source_id", "conversation_id", "timestamp", "role", "content", "tag_score").orderBy(F.desc("tag_score"), "source_id")
+        columns = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("conversation_id", "role", "turn_id")]
+        rows = rows.select(F.col(key).alias("source_id"), F.col(text).alias("content"), "timestamp", *columns, F.lit(layer).alias("layer"))
+        if within is not None:
+            rows = rows.join(within.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+        return rows if excluded is None else lineage.exclude(rows, excluded)
+
+    def _ranked(self, pool: DataFrame, query: str, entities: list[str], topics: list[str], k: int) -> DataFrame:
+        """Both channels over a pool, fused: source_id, rrf_score, semantic_score, tag_score, dual_hit."""
+        keyword = retrieval.bm25_topk(pool, "content", retrieval.query_terms(query, entities, topics), k)
+        vectors = embedding.embed(pool.select("source_id", "content"), "content")
+        return retrieval.rrf(retrieval.dense_topk(vectors, "embedding", embedding.hashed(query), k), keyword)
+
+    def retrieve(self, query: str, entities: list[str] = (), topics: list[str] = (), where: dict | None = None, limit: int = 6, exclude_visible: DataFrame | None = None, selector: dict | None = None, within: str | None = None, layers: tuple[str, ...] = ("raw", "summary"), budget: int | None = None) -> RetrievalResult:
+        """The best entries and summaries by meaning and keywords, under scope, time and filters.
+
+        Entities are a soft filter: where no candidate of a layer has one, all are searched (``relaxed``). Raw hits come
+        first; a summary goes if one of its sources is a hit; raw hits of one turn are one match. What is visible, or
+        above it, is left out, as is what lies outside ``within``. With a ``budget`` of tokens matches are taken as
+        they fit, and the first may be cut.
+        """
+        if not query.strip() or limit < 1 or not set(layers) <= {"raw", "summary"}:
+            raise ValueError("invalid_retrieval_request")
+        layers = [la for la in layers if la == "raw" or self.store.generation("episodes")]
+        edges = self.edges() if self.store.generation("episodes") and self.store.generation("semantics") else None
+        excluded = lineage.visible_exclusion(exclude_visible, edges) if exclude_visible is not None and edges is not None else exclude_visible and exclude_visible.select(F.col("start").alias("id"))
+        inside = lineage.descendants(self.spark.createDataFrame([(within,)], "root string"), edges).select("id") if within and edges is not None else None
+        found, relaxed = None, {}
+        for tier, layer in enumerate(layers):
+            pool = self._pool(layer, where, selector, inside, excluded)
+            if entities:
+                names = [F.lower(F.col("content")).contains(e.lower()) for e in entities]
+                strict = pool.where(reduce(or_, names))
+                relaxed[layer] = not strict.limit(1).count()
+                pool = pool if relaxed[layer] else strict
+            hits = self._ranked(pool, query, list(entities), list(topics), max(10, 10 * limit)).limit(max(10, 10 * limit))
+            # Bodies join after the ranking.
+            one = pool.join(F.broadcast(hits), "source_id").withColumn("tier", F.lit(tier))
+            found = one if found is None else found.unionByName(one)
+        rows = [r.asDict() for r in found.orderBy("tier", F.desc("rrf_score"), F.desc("semantic_score"), F.desc("tag_score"), "source_id").collect()]
+        raw = {r["source_id"] for r in rows if r["layer"] == "raw"}
+        covered = set()
+        if edges is not None and raw:
+            starts = self.spark.createDataFrame([(i,) for i in raw], "start string")
+            covered = {r.id for r in lineage.ancestors(starts, edges).where("depth > 0").collect()}
+        matches, groups = [], set()
+        for r in rows:
+            group = r["turn_id"] or r["source_id"]
+            if r["source_id"] not in covered and group not in groups:
+                groups.add(group)
+                matches.append(r)
+        matches = matches[:limit]
+        if budget is not None:
+            by_id = {r["source_id"]: r for r in matches}
+            fits = retrieval.fits_budget([(r["source_id"], r["content"]) for r in matches], budget, lambda t: max(1, (len(t.encode()) + 3) // 4))
+            matches = [by_id[key] | {"content": text, "truncated": cut} for key, text, cut in fits]
+        status = "found" if matches else "empty"
+        actions = [{"action": "read_timeline", "anchor": m["source_id"]} if m["layer"] == "raw" else {"action": "open", "memory_id": m["source_id"]} for m in matches]
+        return RetrievalResult(status, matches, relaxed, {"entities": list(entities), "topics": list(topics), "where": where, "time": selector, "within": within, "layers": layers}, actions)
 
     def edges(self) -> DataFrame:
         return lineage.edges(self._scoped("episodes"), self._scoped("semantics"))

@@ -51,12 +51,15 @@ def folded(text: pd.Series) -> pd.Series:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of Latin letters and digits, then single and paired characters of each Chinese run."""
-    low = F.lower(narrow(F.coalesce(text, F.lit(""))))
-    latin = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+    latin = lambda low: F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+    low = F.lower(narrow(text))
     runs = F.regexp_extract_all(low, F.lit("[一-鿿]+"), F.lit(0))
     ones = lambda run: F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.substr(run, i, F.lit(1)))
     pairs = lambda run: F.when(F.length(run) > 1, F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.when(low.rlike("[一-鿿]"), F.concat(latin, F.flatten(F.transform(runs, lambda r: F.concat(ones(r), pairs(r)))))).otherwise(latin)
+    wide = F.when(low.rlike("[一-鿿]"), F.concat(latin(low), F.flatten(F.transform(runs, lambda r: F.concat(ones(r), pairs(r)))))).otherwise(latin(low))
+    # Text of one byte a character has nothing to narrow and no Chinese.
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(plain, latin(F.lower(text))).otherwise(wide)
 
 
 def utf8_bytes(text: Column) -> Column:

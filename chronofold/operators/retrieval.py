@@ -50,24 +50,34 @@ def query_terms(text: str, entities: list[str] = (), topics: list[str] = ()) ->
 
 
 def bm25_topk(df: DataFrame, text: str, terms: dict[str, int], k: int, id_col: str = "source_id", least: float = 0.0) -> DataFrame:
-    """id and tag_score of the k best; an empty query finds nothing."""
+    """id and tag_score of the k best; an empty query finds nothing.
+
+    Each text is split once and thinned to the words of the query, among which the terms are counted.
+    """
     names = sorted(terms)
-    words = df.select(F.col(id_col), tokens(F.col(text)).alias("w"))
-    # Two mentions of w in one expression keep Spark from splitting the text once for every term.
-    rows = words.select(id_col, F.size("w").alias("dl"), *[(F.size("w") - F.size(F.array_remove("w", t))).alias(f"tf{i}") for i, t in enumerate(names)])
     if not names:
-        return rows.select(id_col, F.lit(0.0).alias("tag_score")).where(F.lit(False))
+        return df.select(F.col(id_col), F.lit(0.0).alias("tag_score")).where(F.lit(False))
+    words = df.select(F.col(id_col), tokens(F.col(text)).alias("w"))
+    # Two mentions of w, and of q below, keep Spark from splitting the text once for every term.
+    asked = words.select(id_col, F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(names)).alias("q"))
+    counts = [F.size("q") - F.size(F.array_remove("q", t)) for t in names]
+    rows = asked.select(id_col, "dl", *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(names))])
-    score = F.lit(0.0)
-    for i, t in enumerate(names):
-        tf, df_ = F.col(f"tf{i}"), F.greatest(F.col(f"df{i}"), F.lit(1))
-        idf = F.log(1 + (F.col("n") - df_ + 0.5) / (df_ + 0.5))
-        score = score + F.when(tf > 0, terms[t] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-6))))).otherwise(0.0)
     # One row of statistics.
-    scored = rows.crossJoin(F.broadcast(stats)).select(id_col, F.round(score, 6).alias("tag_score"))
+    scored = rows.crossJoin(F.broadcast(stats)).select(id_col, bm25_score(terms, lambda i, t: F.col(f"tf{i}"), lambda i, t: F.col(f"df{i}")).alias("tag_score"))
     return scored.where((F.col("tag_score") > 0) & (F.col("tag_score") >= least)).orderBy(F.desc("tag_score"), id_col).limit(k)
 
 
+def bm25_score(terms: dict[str, int], tf, df) -> Column:
+    """The score from columns n, avgdl, dl, and per term (place in the order of names, name) its tf and df."""
+    score = F.lit(0.0)
+    for i, t in enumerate(sorted(terms)):
+        f, d = tf(i, t), F.greatest(df(i, t), F.lit(1))
+        idf = F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5))
+        score = score + F.when(f > 0, terms[t] * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-6))))).otherwise(0.0)
+    return F.round(score, 6)
+
+
 def bm25_batch(df: DataFrame, text: str, queries: DataFrame, k: int, id_col: str = "source_id") -> DataFrame:
     """Many queries at once: query_id, id, tag_score, rank. ``queries``: (query_id, term, weight).
 

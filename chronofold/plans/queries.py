@@ -142,12 +142,12 @@ kw as (select id as source_id, round(sum(weight * ln(1 + (n - df + 0.5) / (df +
 top as (select * from kw where tag_score > 0 order by tag_score desc, source_id limit {k})"""
 
 
-_CAND = "select doc_id as id, text from documents where lang = 'en' and n_chars < 20000"
+_CAND = "select doc_id as id, text from documents where lang = 'en'"
 _TERMS = retrieval.query_terms(QUERY, ENTITIES)
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    return flt.where(src.entries(spark, sf_dir).drop("quality"), {"tag": "en", "n_chars": {"$lt": 20000}})
+    return flt.where(src.entries(spark, sf_dir).drop("quality"), {"tag": "en"})
 
 
 @query(f"with {_bm25_sql(_TERMS, _CAND, 20)} select * from top")
@@ -251,10 +251,10 @@ def lineage_validity(spark, sf_dir):
     return lineage.validity(e, t)
 
 
-@query(f"with {T}, hits as (select source_id, tokens as score from timeline where seq_no % 3 = 1), b as (select t.turn_id, max(score) as score, max_by(source_id, (score, source_id)) as hit from hits join timeline t using (source_id) group by 1) select hit, score, turn_id, string_agg(source_id, ',' order by seq_no) as source_ids from timeline join b using (turn_id) group by 1, 2, 3")
+@query(f"with {T}, hits as (select source_id, tokens as score from timeline), b as (select t.turn_id, max(score) as score, max_by(source_id, (score, source_id)) as hit from hits join timeline t using (source_id) group by 1) select hit, score, turn_id, string_agg(source_id, ',' order by seq_no) as source_ids from timeline join b using (turn_id) group by 1, 2, 3")
 def relation_expansion(spark, sf_dir):
     t = src.timeline(spark, sf_dir)
-    out = lineage.expand_hits(t.where("seq_no % 3 = 1").select("source_id", F.col("tokens").alias("score")), t)
+    out = lineage.expand_hits(t.select("source_id", F.col("tokens").alias("score")), t)
     return out.withColumn("source_ids", F.array_join("source_ids", ","))
 
 

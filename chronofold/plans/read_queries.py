@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import metadata, scans
 from ..sources import adapters as src
 
-from .queries import EV, query
+from ..operators.index import TextIndex
+from ..sources.store import LogStore, shared_root
+from .queries import EV, _bm25_sql, _candidates, _CAND, _TERMS, query
 
 TR = f"""{EV}, o as (select *, 'u' || (user_id % 10) as scope_user, cast(user_id as varchar) as conversation_id, coalesce(k, 0) as kk,
   sum(case when event_type = 'click' then 1 else 0 end) over (partition by user_id order by timestamp, event_id) as no, row_number() over (partition by user_id order by timestamp, event_id) as seq_no from ev),
@@ -89,14 +91,14 @@ def uncompacted_episodes(spark, sf_dir):
     return scans.uncompacted_episodes(_tiers(spark, sf_dir)[1]).select("summary_id", "timestamp")
 
 
-@query(f"with {TR} select source_id, seq_no, turn_role from tr where turn_id = 'x14:10' and turn_role in ('action', 'observation')")
+@query(f"with {TR} select source_id, seq_no, turn_role from tr where turn_id = 'x3:10' and turn_role in ('action', 'observation')")
 def turn_entries(spark, sf_dir):
-    return scans.turn_entries(src.trace_timeline(spark, sf_dir), "x14:10", ["action", "observation"]).select("source_id", "seq_no", "turn_role")
+    return scans.turn_entries(src.trace_timeline(spark, sf_dir), "x3:10", ["action", "observation"]).select("source_id", "seq_no", "turn_role")
 
 
-@query(f"with {TR} select turn_id, correlation_id, string_agg(source_id, ',' order by seq_no) as branch from tr where turn_id = 'x14:10' and correlation_id = 'k1' group by 1, 2")
+@query(f"with {TR} select turn_id, correlation_id, string_agg(source_id, ',' order by seq_no) as branch from tr where turn_id = 'x3:10' and correlation_id = 'k2' group by 1, 2")
 def correlation_branch(spark, sf_dir):
-    rows = scans.correlation_entries(src.trace_timeline(spark, sf_dir), "x14:10", "k1")
+    rows = scans.correlation_entries(src.trace_timeline(spark, sf_dir), "x3:10", "k2")
     return rows.groupBy("turn_id", "correlation_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq_no", "source_id"))), lambda x: x["source_id"]), ",").alias("branch"))
 
 
@@ -134,14 +136,14 @@ def relation_owners(spark, sf_dir):
     return scans.relation_owners(src.trace_timeline(spark, sf_dir)).select("turn_id", "user_id", "conversation_id")
 
 
-@query(f"""with {XE}, p as (select source_id as key, conversation_id, seq_no, timestamp from tr where seq_no % 10 = 0),
+@query(f"""with {XE}, p as (select source_id as key, conversation_id, seq_no, timestamp from tr),
 sp as (select summary_id, conversation_id, period_end_ts, unnest(source_ids) as source_id from xe where lineage_status = 'valid' and retrieval_visibility = 'default'),
 g as (select summary_id, sp.conversation_id, period_end_ts, max(seq_no) as last_seq, max(timestamp) as last_ts, count(*) filter (where seq_no is null) as missing from sp left join tr on sp.source_id = tr.source_id and sp.conversation_id = tr.conversation_id group by 1, 2, 3),
 m as (select key, summary_id, last_seq, row_number() over (partition by key order by last_seq desc, summary_id) as r from p join g using (conversation_id) where missing = 0 and last_seq < p.seq_no and last_ts <= p.timestamp and period_end_ts <= p.timestamp)
 select key, summary_id, last_seq from m where r = 1""")
 def previous_episodes(spark, sf_dir):
     t, e, _ = _tiers(spark, sf_dir)
-    before = t.where(F.col("seq_no") % 10 == 0).withColumn("key", F.col("source_id"))
+    before = t.withColumn("key", F.col("source_id"))
     return scans.previous_episodes(e, t, before).select("key", "summary_id", "last_seq")
 
 
@@ -237,3 +239,14 @@ def annotation_merge(spark, sf_dir):
     status = F.when(F.col("k") % 2 == 0, "pending").otherwise("accepted_host")
     kept = metadata.annotated(F.lit("prior"), F.lit("new"), status, F.col("kind"))
     return t.groupBy((F.col("kind") == "event.error").alias("is_event"), "kind").agg(F.count("*").alias("n"), F.sum(F.when(kept == "new", 1).otherwise(0)).alias("n_new"))
+
+
+@query(f"with {_bm25_sql(_TERMS, _CAND + ' and source <> $$src3$$', 20)} select * from top")
+def indexed_search(spark, sf_dir):
+    """The stored index after two versions of half of the documents and a source's deletion: as if built of what is left."""
+    docs = _candidates(spark, sf_dir).select(F.col("source_id").alias("id"), "text", "namespace")
+    index = TextIndex(LogStore(spark, shared_root(spark, "index")))
+    index.upsert(docs.withColumn("text", F.when(F.col("id") % 2 == 0, F.lit("the license token")).otherwise(F.col("text"))))
+    index.upsert(docs.where("id % 2 = 0"))
+    index.delete(docs.where("namespace = 'src3'").select("id"))
+    return index.search(_TERMS, 20).withColumnRenamed("id", "source_id")

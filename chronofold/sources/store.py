@@ -31,6 +31,16 @@ def bucket(tenant_id: Column, user_id: Column, domain_id: Column) -> Column:
     return F.pmod(F.xxhash64(tenant_id, user_id, domain_id), F.lit(BUCKETS)).cast("int")
 
 
+def shared_root(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; outside local mode the cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        folder = "/tmp/chronofold-shared"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 class LogStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -95,11 +105,16 @@ class LogStore:
             self._fs.delete(temporary, False)
         return True
 
-    def commit(self, table: str, rows: DataFrame, expected: int | None = None, replace: bool = False) -> int:
-        """Append (or replace by) ``rows``; with ``expected`` the commit holds only on that generation."""
+    def commit(self, table: str, rows: DataFrame, expected: int | None = None, replace: bool = False, by: tuple[str, ...] = ()) -> int:
+        """Append (or replace by) ``rows``; with ``expected`` the commit holds only on that generation.
+
+        ``by`` are columns whose values become folders; tables with a scope have its bucket without asking.
+        """
         base = self.generation(table) if expected is None else expected
         folder = f"{self.root}/{table}/commit=c{uuid.uuid4().hex}"
-        if set(SCOPE) <= set(rows.columns):
+        if by:
+            rows.write.partitionBy(*by).parquet(folder)
+        elif set(SCOPE) <= set(rows.columns):
             rows.withColumn(BUCKET, bucket(*map(F.col, SCOPE))).write.partitionBy(BUCKET).parquet(folder)
         else:
             rows.write.parquet(folder)

@@ -1,6 +1,8 @@
 import os
 import time
 import warnings
+from types import SimpleNamespace
+
 
 import duckdb
 import pytest
@@ -10,6 +12,7 @@ import __spark_entry__ as entry
 from chronofold.api import Engine, Namespace
 from chronofold.plans import registry
 from chronofold.sources import adapters
+from chronofold.operators.index import TextIndex
 from chronofold.sources.store import CommitConflict, LogStore
 from chronofold.streaming import turns
 
@@ -107,12 +110,26 @@ def test_engine_end_to_end(spark, sf_dir, tmp_path):
     engine.store.commit("semantics", s)
     assert engine.store.read("timeline").count() == t.where("user_id in ('u1', 'u2')").count()
     word = t.where("user_id = 'u2'").select(F.explode(F.split("content", r"\W+")).alias("w")).where("length(w) > 5").first().w
-    hits = engine.retrieve(word).collect()
+    found = engine.retrieve(word, layers=("raw",))
+    hits = [SimpleNamespace(**m) for m in found.matches]
     mine = {r.source_id for r in t.where("user_id = 'u2'").collect()}
     assert hits and {h.source_id for h in hits} <= mine
     # What is visible is not found again, nor is anything of another scope.
     seen = spark.createDataFrame([(h.source_id,) for h in hits], "start string")
-    assert not {h.source_id for h in hits} & {r.source_id for r in engine.retrieve(word, exclude_visible=seen).collect()}
+    again = engine.retrieve(word, exclude_visible=seen)
+    assert not {h.source_id for h in hits} & {m["source_id"] for m in again.matches}
+    # Both layers: no summary of a raw hit, one match a turn, raw first, a budget that holds.
+    both = engine.retrieve(word, entities=[word], limit=8, budget=120)
+    children = {r.summary_id: set(r.source_ids) for r in e.collect()}
+    raw = {m["source_id"] for m in both.matches if m["layer"] == "raw"}
+    assert all(not children[m["source_id"]] & raw for m in both.matches if m["layer"] == "summary") and [m["layer"] for m in both.matches] == sorted(m["layer"] for m in both.matches)
+    assert sum(max(1, (len(m["content"].encode()) + 3) // 4) for m in both.matches) <= 120 and both.relaxed["raw"] is False
+    assert engine.retrieve(word, entities=["nosuchname"]).relaxed == {"raw": True, "summary": True}
+    part = e.where("user_id = 'u2'").first()
+    inside = engine.retrieve("the", within=part.summary_id, limit=50)
+    assert {m["source_id"] for m in inside.matches} <= {*part.source_ids, part.summary_id}
+    with pytest.raises(ValueError):
+        engine.retrieve(" ")
     ids, cursor = [], None
     for _ in range(100):
         rows, cursor = engine.browse(page_size=3, cursor=cursor)
@@ -133,6 +150,24 @@ def test_engine_end_to_end(spark, sf_dir, tmp_path):
     assert engine.store.read("timeline").where("user_id = 'u2'").count() == 0 and engine.store.read("timeline").count() > 0
 
 
+def test_index_versions(spark, tmp_path):
+    index = TextIndex(LogStore(spark, str(tmp_path)))
+    rows = lambda *r: spark.createDataFrame(r, "id string, text string, lang string, vector array<double>")
+    index.upsert(rows(("a", "red apple red", "en", [1.0, 0.0]), ("b", "green apple", "en", [0.0, 1.0]), ("c", "red pear", "fr", [1.0, 1.0])))
+    ids = lambda df: [r.id for r in df.collect()]
+    assert ids(index.search({"red": 1}, 5)) == ["a", "c"] and ids(index.search({"apple": 1}, 5, {"lang": "en"})) == ["b", "a"] and ids(index.search({}, 5)) == []
+    assert index.count() == 3 and index.count({"lang": "en"}) == 2 and ids(index.nearest([1.0, 0.0], 2)) == ["a", "c"]
+    index.upsert(rows(("a", "blue plum", "en", [0.0, 1.0])))
+    assert ids(index.search({"red": 1}, 5)) == ["c"] and ids(index.search({"plum": 1}, 5)) == ["a"] and index.count() == 3
+    index.delete(spark.createDataFrame([("c",), ("zz",)], "id string"))
+    assert index.count() == 2 and ids(index.search({"red": 1}, 5)) == []
+    assert ids(index.search({"apple": 1, "plum": 1}, 5, excluded=spark.createDataFrame([("a",)], "id string"))) == ["b"]
+    fused = index.hybrid({"plum": 1}, [0.0, 1.0], 5).collect()
+    assert [r.id for r in fused] == ["a", "b"] and fused[0].dual_hit
+    plan = index.search({"plum": 1}, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "term_bucket" in plan and "PartitionFilters: [term_bucket" in plan.replace("isnotnull(term_bucket#", "term_bucket#")
+
+
 EVENTS = [
     ("t1", "begin", "", "", 1, 1), ("t1", "action", "c1", "", 2, 2), ("t1", "complete", "", "", 3, 3), ("t1", "observation", "c1", "success", 4, 4), ("t1", "complete", "", "", 5, 5), ("t1", "complete", "", "", 6, 6), ("t1", "action", "c2", "", 7, 7),
     ("t2", "begin", "", "", 1, 1), ("t2", "begin", "", "", 2, 2), ("t2", "observation", "x", "success", 3, 3), ("t2", "action", "a", "", 4, 4), ("t2", "action", "a", "", 5, 5), ("t2", "abort", "", "", 6, 6), ("t2", "complete", "", "", 7, 7), ("t3", "action", "q", "", 1, 1),
