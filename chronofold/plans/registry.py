@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries, read_queries
+from . import ledger_queries, queries, read_queries  # noqa: F401
 
 QUERIES: dict = dict(queries.QUERIES)
 ORACLE_SQL: dict[str, str] = dict(queries.ORACLE_SQL)
