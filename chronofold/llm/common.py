@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jvm_dir.get() if jvm_dir.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         folder = "/tmp/chronofold-checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -60,26 +62,30 @@ def crc_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def added(df: DataFrame, text_col: str, carry: tuple[str, ...], names: tuple[str, ...], kinds: tuple, make, rows: int = 10_000) -> DataFrame:
+def added(df: DataFrame, text_col: str, carry: tuple[str, ...], names: tuple[str, ...], kinds: tuple, make, rows: int = 500) -> DataFrame:
     """``carry`` columns of ``df`` and new ones called ``names``, made out of the text. One narrow stage, no shuffle.
 
     ``make()`` is called once a task and returns a function from a list of at most ``rows`` texts to a list of tuples
     or to one Arrow array for each new column; ``kinds`` are pairs of an SQL and an Arrow type. Columns go by place,
     so no name of ``df`` can clash with one used inside.
     """
-    source = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string"))
-    n = len(carry)
+    columns = [F.col(f"`{c}`") for c in carry]
+    # A text that is carried along is sent once.
+    sent = text_col in carry and df.schema[text_col].dataType.simpleString() == "string"
+    source = df.select(*columns, *[] if sent else [F.col(f"`{text_col}`").cast("string")])
+    n, at_text = len(carry), carry.index(text_col) if sent else len(carry)
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:n])] + [f"c{n + i} {kind}" for i, (kind, _) in enumerate(kinds)])
 
     def run(batches):
         of = make()
+        # Small slices, so that what is made of a whole batch is never held together here or in the JVM.
         for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
-            made = of(batch.column(n).to_pylist())
+            made = of(batch.column(at_text).to_pylist())
             if not made or not isinstance(made[0], pa.Array):
                 made = [pa.array([m[i] for m in made], kind) for i, (_, kind) in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *made], [f"c{i}" for i in range(n + len(kinds))])
 
-    return source.toDF(*[f"c{i}" for i in range(n + 1)]).mapInArrow(run, schema).toDF(*carry, *names)
+    return source.toDF(*[f"c{i}" for i in range(len(source.columns))]).mapInArrow(run, schema).toDF(*carry, *names)
 
 
 class WordCache(dict):

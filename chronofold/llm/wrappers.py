@@ -1,16 +1,25 @@
 """Operator 4: main text by union-free wrapper inference over pages of one host.
 
-A page becomes a tree of block elements. Wrappers are inferred from a bounded sample of a host's pages by
-iterative alignment: equal siblings in a row fold into a repeated group, sibling lists are aligned by their
-keys (tag and classes), what only some pages have becomes optional, and text that differs becomes a slot
-while text that never changes stays literal. Every node of a wrapper is then marked as main text or frame:
-frame elements, names and roles, literals outside the article, and blocks made of links. Each page is
-matched against its host's wrapper; nodes that the wrapper does not know are judged by the same rules on
-their own.
-
-The sample has about ``PAGES_PER_HOST`` pages of each host, taken by a hash; every page is extracted from
-its whole html. Null and empty html give an empty text; a null or odd url is the host ''. Repeated rows are
-extracted each on its own. Broken markup never fails: unclosed elements end with their parent.
+A page becomes a tree of block elements. Wrappers are inferred from a bounded sample of a host's pages by iterative
+alignment: equal siblings in a row fold into a repeated group, sibling lists are aligned by their keys (tag and
+classes), what only some pages have becomes optional, and text that differs becomes a slot. Every page of the host
+is then matched against the wrapper, and the texts that all pages have at each of its places are counted: what
+stands at a place on four fifths of the pages or more is literal, places whose text is mostly links are navigation, and
+places of changing prose are content.
+
+A page's main text is what it has inside an article or main element, or anywhere if it has none, without
+
+* elements that are no text by their tag, role or state, and those whose name says so beyond doubt,
+* texts that the host repeats (unless the pages are copies of each other: most of the text would go),
+* places that are navigation, and
+* elements whose name suggests so (``DOUBTFUL``), unless the host's pages show changing prose there.
+
+A page whose host has fewer than ``LEAST_PAGES`` pages is judged by its own elements and links.
+
+The sample has about ``PAGES_PER_HOST`` pages of each host, taken by a hash; counts are over all pages, and every page
+is extracted from its whole html, however long and however deeply nested. Null and empty html give an empty text; a
+null or odd url is the host ''. Repeated rows are extracted each on its own. Broken markup never fails: unclosed
+elements end with their parent. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,19 +27,26 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+import sys
 from collections import Counter
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import hot_limit
 from .common import read_table, written
 
 PAGES_PER_HOST = 12
+LEAST_PAGES = 3
+#: Text that is literal on this share of a host's pages; pages are copies if more than this share of an article, or of
+#: a page without one, is literal; a place is content from so many words a text on.
+LITERAL, COPY_ARTICLE, COPY_PAGE, PROSE = 0.8, 0.5, 0.8, 8.0
 BROADCAST_BYTES = 4_000_000
 BROADCAST_HOSTS = 100_000
-#: Elements nested deeper only break text.
-DEEPEST = 120
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -41,16 +57,22 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: An open element that a new one of the second set ends.
 ENDS = {"p": BLOCKS - {"option", "optgroup"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option", "optgroup"}, "head": {"body"}}
 FRAME_TAGS = set("head title nav footer aside form button select option textarea iframe svg dialog menu noscript template search video audio object canvas fieldset legend".split())
-FRAME_NAMES = set("ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright dialog disqus footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain overlay pagination pager paywall popup popover promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsor subscribe subscription taboola toast toolbar topbar tracking warning widget widgets".split())
 FRAME_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status form".split())
+#: Parts of class names and ids that name a frame, and those that may name an article's section as well.
+FRAME_NAMES = set("ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright disqus footer gdpr hidden masthead menubar modal nav navbar navigation newsletter notice notices outbrain overlay pagination pager paywall popup popover promo promoted promotion replies respond sidebar signup sponsor sponsored subscribe taboola toast toolbar topbar warning".split())
+DOUBTFUL = set("dialog login menu recommended related reply search share sharing skip social subscription tracking widget widgets".split())
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Node:
-    __slots__ = ("key", "frame", "items", "up", "tag")
+    """An element; ``frame`` and ``doubt`` hold for all that is in it, ``inside`` says that an article is around it."""
 
-    def __init__(self, tag: str, key: str, frame: bool, up: Node | None):
-        self.tag, self.key, self.frame, self.up = tag, key, frame, up
+    __slots__ = ("tag", "key", "up", "inside", "frame", "doubt", "items")
+
+    def __init__(self, tag: str = "", key: str = "", up: Node | None = None, frame: bool = False, doubt: bool = False):
+        self.tag, self.key, self.up = tag, key, up
+        self.inside = tag in ("article", "main") or up is not None and up.inside
+        self.frame, self.doubt = frame or up is not None and up.frame, doubt or up is not None and up.doubt
         self.items: list = []  # nodes, and [text, link characters] lists
 
 
@@ -58,26 +80,25 @@ def _attrs(raw: str) -> dict[str, str]:
     return {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(raw)} if raw.strip(" /\n\t\r") else {}
 
 
-def _framed(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """True for an element that is not main text, judged alone; ``inside``: within an article or main."""
+def _judged(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool]:
+    """Whether an element, judged alone, is no main text: beyond doubt, and perhaps; ``inside``: within an article."""
     if tag in FRAME_TAGS or tag == "header" and not inside:
-        return True
+        return True, False
     if not attrs:
-        return False
+        return False, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
+        return True, False
     if attrs.get("role", "").lower() in FRAME_ROLES:
-        return True
+        return True, False
     if tag in ("body", "html", "article", "main"):
-        return False
+        return False, False
     names = {p.lower() for k in ("class", "id") for p in NAME_PART.findall(attrs.get(k, ""))}
-    return bool(names & FRAME_NAMES)
+    return bool(names & FRAME_NAMES), bool(names & DOUBTFUL)
 
 
 def parse(page: str) -> Node:
-    root = Node("", "", False, None)
-    at, pos, links, raw_end, depth = root, 0, 0, None, 0
-    beyond: Counter[str] = Counter()  # open elements below DEEPEST, which only break text
+    root = at = Node()
+    pos, links, opened = 0, 0, Counter()
 
     def add(text: str) -> None:
         if text:
@@ -99,19 +120,16 @@ def parse(page: str) -> Node:
         if m[1] or m[4]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif beyond[tag]:
-                beyond[tag] -= 1
-                at.items.append(Node(tag, tag, False, at))
-            elif tag in BLOCKS:
-                node, up = at, 1
-                while node is not None and node.tag != tag:
-                    node, up = node.up, up + 1
-                if node is not None and node.up is not None:
-                    at, depth = node.up, depth - up
+            elif opened[tag]:
+                while at.tag != tag:
+                    opened[at.tag] -= 1
+                    at = at.up
+                opened[tag] -= 1
+                at = at.up
             continue
-        if tag in RAW and not (m[3] or m[6] or "").endswith("/"):
-            raw_end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = raw_end.end() if raw_end else len(page)
+        if tag in RAW:  # a slash does not close these
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            pos = end.end() if end else len(page)
             continue
         if tag == "br":
             add(" ")
@@ -121,26 +139,32 @@ def parse(page: str) -> Node:
             continue
         links = 0
         while at.tag in ENDS and tag in ENDS[at.tag]:
-            at, depth = at.up, depth - 1
+            opened[at.tag] -= 1
+            at = at.up
         attrs = _attrs(m[3] or m[6] or "")
-        node, within = at, False
-        while node is not None and not within:
-            within, node = node.tag in ("article", "main"), node.up
-        new = Node(tag, tag + "".join("." + c for c in sorted(attrs.get("class", "").split())), _framed(tag, attrs, within), at)
+        new = Node(tag, tag + "".join("." + c for c in sorted(attrs.get("class", "").split())), at, *_judged(tag, attrs, at.inside))
         at.items.append(new)
-        if tag in VOID:
-            continue
-        if depth < DEEPEST:
-            at, depth = new, depth + 1
-        else:
-            beyond[tag] += 1
+        if tag not in VOID:
+            at = new
+            opened[tag] += 1
 
 
 def clean(text: str) -> str:
     return " ".join(text.split())
 
 
-# A wrapper node is {"k": key, "f": frame, "q": one of "" "?" "+" "*", "c": children}; a text is {"t": literal or None for a slot, "l": made of links, "q": ...}.
+@contextmanager
+def _deep():
+    """Trees of any depth: calls from Python to Python need no more of the machine's stack."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(10_000_000)
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+# While it is inferred, a wrapper is {"k": key, "q": one of "" "?" "+" "*", "c": children}; a text is {"t": literal, or None for a slot, "q": ...}.
 def fold(node: Node) -> dict:
     """A page's tree as a wrapper: equal siblings in a row become one repeated group."""
     out: list[dict] = []
@@ -148,14 +172,14 @@ def fold(node: Node) -> dict:
         if isinstance(item, Node):
             new = fold(item) | {"q": ""}
         elif text := clean(item[0]):
-            new = {"t": text, "l": item[1] * 2 > len(text), "q": ""}
+            new = {"t": text, "q": ""}
         else:
             continue
         if out and _key(out[-1]) == _key(new) and "k" in new:
             out[-1] = align(out[-1], new) | {"q": "+"}
         else:
             out.append(new)
-    return {"k": node.key, "f": node.frame, "c": out}
+    return {"k": node.key, "c": out}
 
 
 def _key(item: dict) -> str:
@@ -167,69 +191,159 @@ def _quantity(a: str, b: str) -> str:
     return "*" if some and many else "?" if some else "+" if many else ""
 
 
+def common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence of two lists, as pairs of places."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    a, b = x[head : len(x) - tail], y[head : len(y) - tail]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    pairs, i, j = [(k, k) for k in range(head)], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            pairs.append((head + i, head + j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return pairs + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
+
+
 def align(a: dict, b: dict) -> dict:
     """The least wrapper that generates what both do; the two have one key."""
     if "k" not in a:
-        return {"t": a["t"] if a["t"] == b["t"] else None, "l": a["l"] and b["l"], "q": _quantity(a["q"], b["q"])}
+        return {"t": a["t"] if a["t"] == b["t"] else None, "q": _quantity(a["q"], b["q"])}
     x, y = a["c"], b["c"]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _key(x[i]) == _key(y[j]) else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and _key(x[i]) == _key(y[j]):
-            new, i, j = align(x[i], y[j]), i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            new, i = x[i] | {"q": _quantity(x[i]["q"], "?")}, i + 1
-        else:
-            new, j = y[j] | {"q": _quantity(y[j]["q"], "?")}, j + 1
+
+    def put(new: dict) -> None:
         if out and "k" in new and _key(out[-1]) == _key(new):
-            new = align(out.pop(), new) | {"q": "+" if "" in (out[-1]["q"] if out else "", new["q"]) else "*"}
+            last = out.pop()
+            new = align(last, new) | {"q": "+" if "" in (last["q"], new["q"]) or "+" in (last["q"], new["q"]) else "*"}
         out.append(new)
-    return {"k": a["k"], "f": a["f"] and b["f"], "q": _quantity(a.get("q", ""), b.get("q", "")), "c": out}
+
+    for to_i, to_j in [*common(list(map(_key, x)), list(map(_key, y))), (len(x), len(y))]:
+        for one in [*x[i:to_i], *y[j:to_j]]:
+            put(one | {"q": _quantity(one["q"], "?")})
+        if to_i < len(x):
+            put(align(x[to_i], y[to_j]))
+        i, j = to_i + 1, to_j + 1
+    return {"k": a["k"], "q": _quantity(a.get("q", ""), b.get("q", "")), "c": out}
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of some pages of one host; ``n`` is their number."""
-    wrapper = None
-    for page in pages:
-        tree = fold(parse(page))
-        wrapper = tree if wrapper is None else align(wrapper, tree)
-    return (wrapper or {"k": "", "f": False, "c": []}) | {"n": len(pages)}
+    """The wrapper of some pages of one host."""
+    with _deep():
+        wrapper = None
+        for page in pages:
+            tree = fold(parse(page))
+            wrapper = tree if wrapper is None else align(wrapper, tree)
+    return wrapper or {"k": "", "c": []}
+
+
+@dataclass
+class Wrapper:
+    """A wrapper as a list of places in page order (place 0 is the page), and what all pages of the host have there."""
+
+    keys: list[str] = field(default_factory=list)
+    quantity: list[str] = field(default_factory=list)
+    children: list[list[int]] = field(default_factory=list)
+    literals: set[tuple[int, int]] = field(default_factory=set)
+    links: set[int] = field(default_factory=set)
+    prose: set[int] = field(default_factory=set)
+    pages: int = 0
+
+
+def packed(wrapper: dict) -> str:
+    """An inferred wrapper as JSON rows: place of the parent, key, quantity, and for a literal its text."""
+    rows, todo = [], [(-1, wrapper)]
+    while todo:
+        up, one = todo.pop()
+        rows.append([up, _key(one), one.get("q", ""), one.get("t")])
+        todo += [(len(rows) - 1, c) for c in reversed(one.get("c", []))]
+    return json.dumps(rows)
+
+
+def unpacked(raw: str | None) -> Wrapper:
+    out = Wrapper()
+    for up, key, quantity, _ in json.loads(raw or "[]"):
+        out.keys.append(key)
+        out.quantity.append(quantity)
+        out.children.append([])
+        if up >= 0:
+            out.children[up].append(len(out.keys) - 1)
+    return out
+
+
+@dataclass(slots=True)
+class Block:
+    """A text of a page: its place in the wrapper (-1: none), its element, its characters inside links."""
+
+    place: int
+    node: Node
+    text: str
+    links: int
+
+    def key(self) -> tuple[int, int]:
+        return self.place, xxhash.xxh64_intdigest(self.text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def matched(page: str | None, wrapper: Wrapper) -> list[Block]:
+    """A page's texts in order, each with its place in the wrapper."""
+    root = parse(page or "")
+    out: list[Block] = []
+    todo = [(root, 0 if wrapper.keys else -1, iter(root.items), [0])]
+    while todo:
+        node, place, items, at = todo[-1]
+        item = next(items, None)
+        if item is None:
+            todo.pop()
+            continue
+        key, text = (item.key, "") if isinstance(item, Node) else ("#text", clean(item[0]))
+        if key == "#text" and not text:
+            continue
+        children = wrapper.children[place] if place >= 0 else []
+        # The next place with this key; a repeated one may be met again.
+        to = next((i for i in range(at[0], len(children)) if wrapper.keys[children[i]] == key), None)
+        mate = -1
+        if to is not None:
+            mate = children[to]
+            at[0] = to if wrapper.quantity[mate] in ("+", "*") else to + 1
+        if isinstance(item, Node):
+            todo.append((item, mate, iter(item.items), [0]))
+        else:
+            out.append(Block(mate, node, text, item[1]))
+    return out
 
 
-def extract(page: str | None, wrapper: dict | None) -> str:
+def extract(page: str | None, wrapper: Wrapper) -> str:
     """Main text: one block to a line."""
-    root = parse(page or "")
-    blocks: list[tuple[bool, bool, str]] = []  # inside the article, judged as frame, text
-    fixed = bool(wrapper) and wrapper["n"] >= 3
-
-    def walk(node: Node, known: dict | None, inside: bool, frame: bool) -> None:
-        inside = inside or node.tag in ("article", "main")
-        children, at = (known["c"] if known else []), 0
-        for item in node.items:
-            key = item.key if isinstance(item, Node) else "#text"
-            if key == "#text" and not clean(item[0]):
-                continue
-            # The next wrapper node with this key; a repeated one may be met again.
-            to = next((i for i in range(at, len(children)) if _key(children[i]) == key), None)
-            mate = children[to] if to is not None else None
-            if to is not None:
-                at = to if mate["q"] in ("+", "*") else to + 1
-            if isinstance(item, Node):
-                walk(item, mate, inside, frame or item.frame or bool(mate and mate["f"]))
-            else:
-                text = clean(item[0])
-                literal = fixed and mate is not None and mate["t"] == text
-                linked = item[1] * 2 > len(text)
-                blocks.append((inside, frame or not inside and (literal or linked), text))
-
-    walk(root, wrapper, False, False)
-    kept = [t for inside, frame, t in blocks if inside and not frame]
-    if not kept:
-        kept = [t for _, frame, t in blocks if not frame]
-    return "\n".join(kept)
+    known = wrapper.pages >= LEAST_PAGES
+    article: list[tuple[Block, bool]] = []
+    rest: list[tuple[Block, bool]] = []
+    for block in matched(page, wrapper):
+        node, literal = block.node, known and block.key() in wrapper.literals
+        if node.frame or node.doubt and not (known and node.inside and block.place in wrapper.prose):
+            continue
+        if node.inside:
+            if not (known and block.place in wrapper.links):
+                article.append((block, literal))
+        elif block.links * 2 <= len(block.text) and not (known and block.place in wrapper.links):
+            rest.append((block, literal))
+    for blocks, copy in ((article, COPY_ARTICLE), (rest, COPY_PAGE)):
+        if blocks:
+            size = sum(len(b.text) for b, _ in blocks)
+            copied = sum(len(b.text) for b, literal in blocks if literal) > copy * size
+            if kept := [b.text for b, literal in blocks if copied or not literal]:
+                return "\n".join(kept)
+    return ""
 
 
 def host_of(url) -> F.Column:
@@ -237,41 +351,111 @@ def host_of(url) -> F.Column:
 
 
 def wrappers(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
-    """host, wrapper (JSON) from about ``pages_per_host`` pages of each host."""
-    rows = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("h"), "html")
-    sizes = written(rows.groupBy("host").count(), "host-sizes")
+    """host, pages (how many), wrapper (JSON) from about ``pages_per_host`` pages of each host; pages has host, h, html."""
+    sizes = written(pages.groupBy("host").count(), "host-sizes")
     # Thin out by hash before any html moves: twice the wanted number, then the least hashes of each host.
     chance = F.pmod(F.col("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    thin = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes, "host").where(chance < F.lit(2.0 * pages_per_host) / F.col("count"))
+    thin = pages.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes, "host").where(chance < F.lit(2.0 * pages_per_host) / F.col("count"))
     ranked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("h", "html"))).where(F.col("rank") <= pages_per_host)
     grouped = ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "html"))), lambda x: x["html"]).alias("pages"))
 
     def run(batches):
         for batch in batches:
-            made = [json.dumps(infer(p)) for p in batch.column(1).to_pylist()]
+            made = [packed(infer(p)) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["host", "wrapper"])
 
-    return grouped.mapInArrow(run, "host string, wrapper string")
+    return sizes.select("host", F.col("count").alias("pages")).join(grouped.mapInArrow(run, "host string, wrapper string"), "host", "left")
+
+
+def _with_host(pages: DataFrame, table: DataFrame, rows: int) -> DataFrame:
+    """Pages with what ``table`` (written; host, pages and texts) has of their host. If the table is too large to be
+    broadcast, a hot host's pages are dealt to several copies of its row."""
+    size = table.agg(F.coalesce(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind == "string") + F.lit(64)), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(table), "host", "left")
+    part = hot_limit(rows)
+    copies = F.ceil(F.col("pages") / part).cast("int")
+    # Hosts of more than a part: at most rows / part, which hot_limit bounds.
+    hot = F.broadcast(table.where(F.col("pages") > part).select("host", copies.alias("copies")))
+    dealt = pages.join(hot, "host", "left").withColumn("copy", F.pmod(F.col("h"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    return dealt.join(table.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))), ["host", "copy"], "left").drop("copy")
+
+
+_COUNTED = {"host": pa.string(), "of": pa.int64(), "place": pa.int32(), "h": pa.int64(), "pages": pa.int64(), "chars": pa.int64(), "links": pa.int64(), "words": pa.int64()}
+
+
+def evidence(pages: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """host, places (JSON): over all pages of a host, its literals, its places of links and its places of prose."""
+
+    def run(batches):
+        loaded = _Loaded()
+        for batch in batches:
+            tally: dict[tuple, list[int]] = {}
+            for host, page, wrapper, of in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                once = {}
+                for b in matched(page.as_py(), loaded.wrapper(wrapper)):
+                    if not b.node.frame:
+                        once[host, of, *b.key()] = b
+                for key, b in once.items():
+                    row = tally.setdefault(key, [0, 0, 0, 0])
+                    for i, n in enumerate((1, len(b.text), b.links, b.text.count(" ") + 1)):
+                        row[i] += n
+            keys, sums = list(tally), list(tally.values())
+            cols = [[k[i] for k in keys] for i in range(4)] + [[v[i] for v in sums] for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _COUNTED.values(), strict=True)], list(_COUNTED))
+
+    source = _with_host(pages, known.select("host", "pages", "wrapper"), rows).where(F.col("pages") >= LEAST_PAGES).select("host", "html", "wrapper", "pages")
+    texts = source.mapInArrow(run, "host string, of long, place int, h long, pages long, chars long, links long, words long")
+    texts = texts.groupBy("host", "of", "place", "h").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links", "words")])
+    literal = (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LITERAL * F.col("of"))
+    # Literals stand on most pages, so a host has about as many as a page has texts.
+    found = texts.groupBy("host", "place").agg(
+        *[F.sum(c).alias(c) for c in ("pages", "chars", "links", "words")], F.sum(F.when(literal, F.col("chars")).otherwise(0)).alias("same"), F.count("*").alias("texts"),
+        F.collect_list(F.when(literal, F.col("h"))).alias("literals"),
+    )
+    prose = (F.col("texts") > 1) & (F.col("same") * 2 < F.col("chars")) & (F.col("words") >= PROSE * F.col("pages")) & (F.col("links") * 2 <= F.col("chars"))
+    marked = found.select("host", F.struct("place", (F.col("links") * 2 > F.col("chars")).alias("links"), prose.alias("prose"), "literals").alias("p")).where("p.links or p.prose or size(p.literals) > 0")
+    return marked.groupBy("host").agg(F.to_json(F.collect_list("p")).alias("places"))
+
+
+class _Loaded:
+    """The wrappers that a task met last."""
+
+    def __init__(self, most: int = 512):
+        self.most, self.held = most, {}
+
+    def wrapper(self, raw: str | None, places: str | None = None, pages: int | None = None) -> Wrapper:
+        key = (raw, places, pages)
+        if key not in self.held:
+            if len(self.held) >= self.most:
+                self.held.clear()
+            out = unpacked(raw)
+            out.pages = pages or 0
+            for p in json.loads(places or "[]"):
+                out.literals.update((p["place"], h) for h in p["literals"])
+                if p["place"] >= 0:
+                    out.links |= {p["place"]} if p["links"] else set()
+                    out.prose |= {p["place"]} if p["prose"] else set()
+            self.held[key] = out
+        return self.held[key]
 
 
 def main_text(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known = written(wrappers(pages, pages_per_host), "wrappers")
-    size = known.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host") + 32), F.lit(0))).first()[0]
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left").select("page_id", "url", "html", "wrapper")
+    pages = pages.withColumn("host", host_of(F.col("url"))).withColumn("h", F.xxhash64("page_id", "url"))
+    full = pages.where("html is not null")
+    known = written(wrappers(full, pages_per_host), "wrappers")
+    rows = known.agg(F.sum("pages")).first()[0] or 0
+    learned = written(known.join(evidence(full, known, rows), "host", "left"), "learned-wrappers")
+    joined = _with_host(pages, learned, rows).select("page_id", "url", "html", "wrapper", "places", "pages")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
-        loaded: dict[str | None, dict | None] = {None: None}
+        loaded = _Loaded()
         for batch in batches:
-            texts = []
-            for page, wrapper in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                if wrapper not in loaded:
-                    if len(loaded) > 512:
-                        loaded = {None: None}
-                    loaded[wrapper] = json.loads(wrapper)
-                texts.append(extract(page.as_py(), loaded[wrapper]))
+            rest = zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True)
+            texts = [extract(page.as_py(), loaded.wrapper(*known)) for page, known in zip(batch.column(2), rest, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

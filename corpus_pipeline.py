@@ -24,6 +24,14 @@ LEAST_PHRASES = 40
 BROADCAST_IDS = 1_000_000
 
 
+#: Arrow batches of the stages that run Python: two tasks' batches, in the JVM and in Python, stay small.
+BATCH_BYTES = "8m"
+
+
+def _frugal(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A written table of ids, broadcast only behind its row count."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
@@ -37,6 +45,7 @@ def _unused(docs: DataFrame, name: str) -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _frugal(spark)
     model = langid.train(docs.where(crc_fold(F.col("doc_id")) != 0))
     letters = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[^\p{L}]", ""))
     if not model.names:
@@ -48,12 +57,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _frugal(spark)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     name = _unused(docs, "toxic_score")
     return toxicity.score(docs, model, carry=tuple(docs.columns), name=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _frugal(spark)
     groups = written(simhash.near_duplicates(docs, measure="cosine"), "groups")
     copies = groups.where("doc_id <> component_id or text_hash <> component_text").select("doc_id", "text_hash").distinct()
     copies = _small(written(copies, "copies"))
@@ -71,6 +82,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _frugal(spark)
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"))
     return bpe.encode_decode(docs, bpe.default_vocabulary(), keep_ids=True, carry=carry)
 

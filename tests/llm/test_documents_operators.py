@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from helpers import save
@@ -8,49 +10,142 @@ FRAME = '<html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</
 
 
 def page(i):
-    return FRAME.format(links="".join(f'<li><a href="/{k}">L{k}</a></li>' for k in range(i % 4)), title=f"Title {i}", body=f"<p>Text &amp; {i}<br>more\n  lines</p><p><b>bold {i}</b> end</p>" + ("<ul><li>one</li><li>two</li></ul>" if i % 2 else ""))
+    return FRAME.format(links="".join(f'<li><a href="/{k}">L{k}</a></li>' for k in range(i % 4)), title=f"Title {i}", body=f"<p>Text &amp; {i}<br>more\n  lines</p><p><b>bold {i}</b> end</p>" + (f"<ul><li>one {i}</li><li>two {i}</li></ul>" if i % 2 else ""))
 
 
 def want(i):
-    return "\n".join([f"Title {i}", f"Text & {i} more lines", f"bold {i} end", *(["one", "two"] if i % 2 else [])])
+    return "\n".join([f"Title {i}", f"Text & {i} more lines", f"bold {i} end", *([f"one {i}", f"two {i}"] if i % 2 else [])])
 
 
-def test_wrappers_extract_the_article():
-    wrapper = wrappers.infer([page(i) for i in range(6)])
-    for i in range(12):
-        assert wrappers.extract(page(i), wrapper) == want(i) == wrappers.extract(page(i), None)
+def alone(raw):
+    return wrappers.extract(raw, wrappers.Wrapper())
 
 
-def test_alignment_is_union_free():
-    w = wrappers.infer([page(0), page(1), page(3)])
+def extracted(spark, pages, host="h.x"):
+    """What the operator makes of all pages of one host."""
+    rows = spark.createDataFrame([(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(wrappers.main_text(rows).collect(), key=lambda r: r.page_id)]
+
+
+def test_wrappers_extract_the_article(spark):
+    assert extracted(spark, [page(i) for i in range(12)]) == [want(i) for i in range(12)] == [alone(page(i)) for i in range(12)]
+
+
+def prose(i, n=20):
+    rng = __import__("random").Random(i)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def test_the_wrapper_decides_inside_the_article(spark):
+    """A line that the host repeats and a list of links go, changing prose stays whatever its section is called."""
+
+    def one(i):
+        links = "".join(f'<li><a href="/{k}">{prose(100 + k, 2)}</a></li>' for k in range(i % 3 + 2))
+        return f'<article><h1>{prose(i, 4)}</h1><p>{prose(i + 1000)}</p><p>Share this story with your friends</p><section id="related-work"><p>{prose(i + 2000)}</p></section><ul class="more">{links}</ul><p>{prose(i + 3000)}</p></article><div class="related">{prose(i + 4000)}</div>'
 
-    def walk(node):
-        yield node
-        for c in node.get("c", []):
-            yield from walk(c)
+    got = extracted(spark, [one(i) for i in range(9)])
+    assert got == ["\n".join([prose(i, 4), prose(i + 1000), prose(i + 2000), prose(i + 3000)]) for i in range(9)]
+    single = alone(one(0))
+    assert single != got[0] and "Share this story" in single and prose(2000) not in single
 
-    nodes = list(walk(w))
+
+def test_copies_of_a_page_keep_their_text(spark):
+    same = "<article><h1>Title</h1><p>The same article at many addresses</p></article>"
+    bare = "<body><div><p>The same text, no article</p></div></body>"
+    assert extracted(spark, [same] * 6) == ["Title\nThe same article at many addresses"] * 6
+    assert extracted(spark, [bare] * 6) == ["The same text, no article"] * 6
+    assert extracted(spark, [same] * 2) == ["Title\nThe same article at many addresses"] * 2
+
+
+def test_a_hot_host_is_dealt_to_copies_of_its_wrapper(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(wrappers, "hot_limit", lambda rows: 4)
+    assert extracted(spark, [page(i) for i in range(15)]) == [want(i) for i in range(15)]
+
+
+def nodes_of(w):
+    yield w
+    for c in w.get("c", []):
+        yield from nodes_of(c)
+
+
+def test_alignment_is_union_free():
+    nodes = list(nodes_of(wrappers.infer([page(0), page(1), page(3)])))
     assert any(n.get("k") == "li" and n["q"] in "+*" for n in nodes)
     assert any(n.get("k") == "ul" and n["q"] == "?" for n in nodes)
     assert any("t" in n and n["t"] is None for n in nodes) and any(n.get("t") == "We use cookies" for n in nodes)
 
 
-def test_frames_without_article():
-    pages = [f'<body><div class="top">Site name</div><div><p>Body {i} text</p></div><h5>Same line</h5><div><a href=1>a</a> <a href=2>b</a></div></body>' for i in range(5)]
-    wrapper = wrappers.infer(pages)
-    assert wrappers.extract(pages[2], wrapper) == "Body 2 text"
+def test_common_subsequence_equals_trying_all():
+    rng = np.random.default_rng(9)
+
+    def longest(x, y):
+        if not x or not y:
+            return 0
+        return max(longest(x[1:], y), longest(x, y[1:]), 1 + longest(x[1:], y[1:]) if x[0] == y[0] else 0)
+
+    for _ in range(300):
+        x, y = ("".join(rng.choice(list("abc"), rng.integers(0, 7))) for _ in range(2))
+        pairs = wrappers.common(list(x), list(y))
+        assert len(pairs) == longest(x, y) and all(x[i] == y[j] for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+
+
+def generates(wrapper, tree):
+    """Whether a folded page is an instance of a wrapper, by trying all ways to read it."""
+    if "t" in wrapper:
+        return "t" in tree and wrapper["t"] in (None, tree["t"])
+    if wrapper["k"] != tree.get("k"):
+        return False
+
+    def read(parts, items):
+        if not parts:
+            return not items
+        one, most = parts[0], len(items) if parts[0]["q"] in "+*" and parts[0]["q"] else 1
+        least = 0 if parts[0]["q"] in ("?", "*") else 1
+        return any(all(generates(one, x) for x in items[:n]) and read(parts[1:], items[n:]) for n in range(least, min(most, len(items)) + 1))
+
+    return read(wrapper["c"], tree["c"])
+
+
+def test_the_wrapper_generates_every_page_it_was_inferred_from():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        pages = ["".join(f"<{t}>{rng.integers(0, 3)}</{t}>" for t in rng.choice(["p", "h2", "table", "section"], rng.integers(0, 6))) for _ in range(4)]
+        wrapper = wrappers.infer(pages)
+
+        def plain(node):
+            return {"k": node.key, "c": [plain(x) if isinstance(x, wrappers.Node) else {"t": wrappers.clean(x[0])} for x in node.items]}
+
+        assert all(generates(wrapper, plain(wrappers.parse(p))) for p in pages), pages
+
+
+def test_frames_without_article(spark):
+    pages = [f'<body><div class="top">Site name</div><div><p>Body {i} text of this page</p></div><h5>Same line</h5><div><a href=1>a</a> <a href=2>b</a></div></body>' for i in range(5)]
+    assert extracted(spark, pages) == [f"Body {i} text of this page" for i in range(5)]
+
+
+def test_depth_bounds_no_result():
+    for deep in (0, 10, 130, 3000):
+        raw = "<div>" * deep + '<div class="advert">Buy</div><nav>Menu</nav><article><p>Text</p><div class="comments">First</div></article>'
+        assert alone(raw) == "Text"
+        assert len(json.loads(wrappers.packed(wrappers.infer([raw, raw + "<p>x"]))))
+
+
+def test_a_slash_does_not_close_a_script():
+    assert alone('<p>a</p><script src="x"/>var q=1;</script><p>b</p><style/>p{}</style>') == "a\nb"
 
 
 def test_broken_markup_never_fails():
     for raw in (None, "", "<", "<p", "plain", "<p>a<p>b", "<article><p>x</div></section>y", "<script>", "<!-- open", "<p title='a>b'>c</p>", "<div>" * 3000 + "deep"):
-        assert isinstance(wrappers.extract(raw, None), str)
-    assert wrappers.extract("<p>a<p>b", None) == "a\nb"
-    assert wrappers.extract("<p>&#x41;&nbsp;&nbsp;&lt;b&gt;</p>", None) == "A <b>"
+        assert isinstance(alone(raw), str)
+    assert alone("<p>a<p>b") == "a\nb"
+    assert alone("<p>&#x41;&nbsp;&nbsp;&lt;b&gt;</p>") == "A <b>"
 
 
 def test_wrapper_query_edges(spark, tmp_path):
     rows = [(i, f"http://h{i % 2}.x/{i}", page(i)) for i in range(20)] + [(30, None, page(30)), (31, "http://h0.x/", None), (32, "junk", ""), (None, "http://h1.x", page(33)), (1, "http://h1.x/1", page(1))]
-    save(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as host", "'y' as wrapper", "1 as rank"), tmp_path, "pages")
+    save(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as host", "'y' as wrapper", "1 as rank", "2 as h", "3 as pages", "4 as place"), tmp_path, "pages")
     got = wrappers.op4_wrappers(spark, str(tmp_path)).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert all(r.text == want(r.page_id) for r in got if r.page_id is not None and r.page_id < 20)

@@ -130,19 +130,57 @@ def test_toxicity_edges(spark, tmp_path):
     assert toxicity.op6_toxicity(spark, str(tmp_path)).count() == 0
 
 
-def test_licenses_equal_plain_search(spark, sf_dir):
-    extra = [(100, "mit " * 3000), (101, "cc by nc cc by nc"), (102, "GNU general public license version 3, all rights reserved"), (103, "under under the mit license the MIT license")]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string")).unionByName(edge_docs(spark).select("doc_id", "text"))
-    for got, text in ((r, r.text) for r in licenses.scan(docs.dropDuplicates(["doc_id"])).join(docs.dropDuplicates(["doc_id"]), "doc_id").collect()):
-        words, base, labels = licenses.brute_force(text)
+def licensed_texts():
+    """Whole notices, with names and years between, with words changed, and only their key phrases or rare words."""
+    rng = __import__("random").Random(6)
+    out = []
+    for label, wording, phrases, _ in licenses.TEMPLATES:
+        w = wording.split()
+        out += [f"intro {wording} outro", " ".join(phrases), " ".join(sorted(w)), wording + " " + wording]
+        gap = list(w)
+        gap[len(w) // 2 : len(w) // 2] = ["acme", "corp", "2024"]
+        out.append("x y " + " ".join(gap))
+        out.append(" ".join(x if rng.random() > 0.15 else "changed" for x in w))
+        out.append(" ".join(w[: len(w) // 2]))
+    return out
+
+
+def test_licenses_equal_brute_force(spark, sf_dir):
+    texts = licensed_texts() + ["mit " * 1500, "cc by nc cc by nc", "GNU general public license version 3, all rights reserved", "under under the mit license the MIT license"]
+    texts += ["Copyright 2020 Acme. All rights reserved. " + licenses.TEMPLATES[10][1], "license " * 700 + "software " * 300]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).unionByName(edge_docs(spark).selectExpr("doc_id + 10000 as doc_id", "text").where("length(text) < 9000 or text is null"))
+    docs = docs.unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")).dropDuplicates(["doc_id", "text"])
+    vocabulary = sorted({w for t in licenses.templates() for w in t.words} | {w for _, p in licenses.BASE for w in p.split()})
+    idf = licenses.inverse(*licenses.document_frequencies(docs, vocabulary), vocabulary)
+    seen = set()
+    rows = {(r.doc_id, r.text) for r in docs.collect()}
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for doc_id, text in rows:
+        r, (words, base, found, score) = got[doc_id], licenses.brute_force(text, idf)
         starts = [i for _, i in base]
-        assert (got.n_words, got.n_base) == (len(words), len(base))
-        assert (got.first_word, got.last_word) == ((min(starts), max(starts)) if starts else (None, None))
-        assert got.base_labels == ",".join(sorted({name for name, _ in base})) and got.labels == ",".join(labels)
-        assert (got.score > 0) == bool(labels) and got.score <= 1
+        assert (r.n_words, r.n_base) == (len(words), len(base))
+        assert (r.first_word, r.last_word) == ((min(starts), max(starts)) if starts else (None, None))
+        assert r.base_labels == ",".join(sorted({name for name, _ in base})) and r.labels == ",".join(sorted({name for name, _ in base} | {name for name, _ in found}))
+        assert {(m.label, m.start) for m in r.matches} == found and r.score == pytest.approx(score)
+        seen |= {name for name, _ in found}
+    assert seen == {t[0] for t in licenses.TEMPLATES}
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_license_needs_index_and_phrase(spark):
+    """A long notice's key phrases alone make no label, nor do its rare words without the phrases."""
+    label, wording, phrases, _ = licenses.TEMPLATES[0]
+    rows = [(1, wording), (2, " ".join(phrases)), (3, wording.replace("free of charge", "for a fee")), (4, "Copyright Acme. All rights reserved. " + licenses.TEMPLATES[10][1]), (5, "All rights reserved.")]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as w", "2 as places", "text as label")).collect()}
+    assert got == {1: "mit", 2: "", 3: "", 4: "bsd", 5: "proprietary"}
+
+
+def test_licenses_edges(spark):
+    rows = licenses.scan(edge_docs(spark)).collect()
+    assert len(rows) == len(EDGES) and {r.score for r in rows if r.doc_id in (1, 2, 3)} == {0.0}
+    assert {(r.n_base, r.base_labels) for r in rows if r.doc_id == 9} == {(2, "cc-by-nc,mit")}
+
+
 def test_spelled_runs_are_cut_into_words():
     noise = toxicity.Deobfuscator({"idiot": 50, "clown": 20, "you": 90, "are": 90, "such": 30, "station": 20})
     for text in ("you are a c l o w n", "y o u a r e a c l o w n", "c.l.0.w.n y.o.u", "s t a t i o n " * 40 + "c l o w n"):
