@@ -1,12 +1,13 @@
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold.operators import catalog, compaction, intervals, lineage, projection, retrieval, settlement
+from chronofold.operators import catalog, compaction, intervals, ledger, lineage, navigation, projection, retrieval, scans, settlement
 from chronofold.operators import timeline as tl
 from chronofold.plans import filters
-from chronofold.sources import adapters
+from chronofold.sources import adapters, writers
 
 
 def match(meta, where):
@@ -229,16 +230,129 @@ def test_compaction(spark):
     assert {r.k: r.summary for r in failing.collect()} == {1: "a+b", 2: None}
 
 
+def history(n, groups, **changed):
+    eps = [{"summary_id": f"e{i:02d}", "timestamp": i, "source_ids": [f"r{i}"], "is_semanticized": any(i in g for g in groups.values())} for i in range(n)]
+    for e in eps:
+        e.update(changed.get(e["summary_id"], {}))
+    return eps, [{"semantic_id": k, "source_summary_ids": [f"e{i:02d}" for i in g]} for k, g in groups.items()]
+
+
 def test_repair_plan():
-    eps = [{"summary_id": f"e{i}"} for i in range(20)]
-    sound = [{"semantic_id": "m0", "source_summary_ids": [f"e{i}" for i in range(5)]}, {"semantic_id": "m1", "source_summary_ids": [f"e{i}" for i in range(5, 10)]}]
-    assert compaction.repair_plan(eps, sound)["cut"] is None
-    hole = [sound[0], {"semantic_id": "m1", "source_summary_ids": ["e5", "e7"]}]
-    plan = compaction.repair_plan(eps, hole)
-    assert plan["cut"] == 5 and plan["dropped"] == ["m1"] and plan["batches"] == [[f"e{i}" for i in range(5, 10)], [f"e{i}" for i in range(10, 15)]]
-    straddling = [{"semantic_id": "a", "source_summary_ids": ["e2", "e3", "e4"]}, {"semantic_id": "b", "source_summary_ids": ["e4", "e6"]}]
-    assert compaction.repair_plan(eps, straddling)["cut"] == 2
+    raw = {f"r{i}" for i in range(40)}
+    plan = lambda *a, **k: compaction.repair_plan(*history(*a, **k), raw, 3, trigger=4, batch=2)
+    assert plan(6, {"a": [0, 1], "b": [2, 3]})["status"] == "clean"
+    # A hole in b: everything from its first episode on is regrouped while four remain, and a row that reaches over the cut too.
+    hole = plan(9, {"a": [0, 1], "b": [2, 4]})
+    assert (hole["status"], hole["problems"], hole["groups"], hole["pending"]) == ("ready", ["b"], [["e02", "e03"], ["e04", "e05"]], ["e06", "e07", "e08"])
+    assert hole["replacements"] == {"b": hole["new_ids"]} and hole["affected"] == ["b"]
+    across = plan(9, {"a": [0, 1, 2, 3], "b": [3, 4]})
+    assert across["problems"] == ["a", "b"] and across["groups"][0] == ["e00", "e01"]
+    # Pending episodes before the defect are taken in; a row that says it is summarised but is not is a defect.
+    pending = plan(9, {"b": [4, 6]})
+    assert pending["groups"][0] == ["e00", "e01"]
+    assert plan(6, {"a": [0, 1]}, e03={"is_semanticized": True})["status"] == "ready" and plan(6, {"a": [0, 1]}, e00={"semantic_id": "other"})["problems"] == ["a"]
+    again = history(6, {"a": [0, 1]})
+    again[1][0]["reinforcement_count"] = 2
+    assert compaction.repair_plan(*again, raw, 3)["problems"] == ["a"]
+    # Nothing is lost: missing sources make a repair unavailable.
+    assert plan(3, {"a": [0, 1, 7]})["missing"] == ["e07"] and plan(3, {"a": []})["reason"] == "missing_episode_sources"
+    assert compaction.repair_plan(*history(9, {"b": [2, 4]}), raw - {"r5"}, 3)["reason"] == "missing_raw_sources"
+    assert plan(9, {"a": [0, 1], "b": [2, 4]})["repair_id"] == hole["repair_id"]
+
+
+def compose(trees):
+    return "|".join(f"{t.memory_id}:" + ",".join(text for _, text in t.chosen) for t in trees)
+
+
+def test_sources_of_several_trees_share_a_page():
+    trees = lambda: [navigation.Tree("a", [(f"a{i}", "x" * 10) for i in range(5)]), navigation.Tree("b", [("b0", "y" * 10), ("b1", "z" * 500)]), navigation.Tree("c", [])]
+    whole = navigation.source_page(trees(), 50, 0, 0, len, compose)
+    assert whole["units"] == {"a": [f"a{i}" for i in range(5)], "b": ["b0", "b1"], "c": []} and not whole["more"]
+    some = navigation.source_page(trees(), 50, 60, 0, len, compose)
+    assert some["units"] == {"a": ["a0", "a1", "a2"], "b": ["b0"], "c": []} and some["more"] == {"a": 2, "b": 1} and some["tokens"] <= 60
+    small = navigation.source_page(trees(), 2, 0, 200, len, compose)
+    assert small["units"] == {"a": ["a0", "a1"], "b": ["b0"], "c": []} and len(small["text"].encode()) <= 200
+    first = navigation.source_page([navigation.Tree("b", [("b1", "z" * 500)])], 5, 100, 0, len, compose)
+    assert first["oversized"] and first["units"] == {"b": ["b1"]}
+    large = navigation.source_page([navigation.Tree("b", [("b1", "z" * 500)])], 5, 0, 100, len, compose)
+    assert large["errors"] == {"b": "source_unit_exceeds_byte_budget"} and large["units"] == {"b": []}
+    assert navigation.source_page([navigation.Tree("m" * 50, [])], 5, 0, 10, len, compose)["status"] == "unavailable"
+    with pytest.raises(ValueError):
+        navigation.source_page([], 5, 0, 0, len, compose)
+
+
+def test_keyword_pages_and_references():
+    rows = [(f"s{i}", "w" * 9) for i in range(6)]
+    page = navigation.keyword_page(rows, 0, 25, 0, len, "f")
+    assert page["ids"] == ["s0", "s1"] and page["next"] == 2 and navigation.keyword_page(rows, 4, 0, 0, len, "f")["next"] is None
+    assert navigation.keyword_page(rows, 0, 3, 0, len, "f") == {"status": "ok", "ids": ["s0"], "next": 1, "oversized": True}
+    assert navigation.keyword_page(rows, 0, 0, 5, len, "f")["status"] == "unavailable" and navigation.keyword_page(rows, 0, 0, 0, len, "f", "g") == {"status": "restart_required"}
+    ref = navigation.encode_ref(["", "u", ""], "m", {"keywords": ["ä"]}, "f")
+    assert navigation.decode_ref(ref, ["", "u", ""], "f") == ("m", {"keywords": ["ä"]})
+    for scope, f, error in ((["", "v", ""], "f", "scope"), (["", "u", ""], "g", "restart")):
+        with pytest.raises(ValueError, match=error):
+            navigation.decode_ref(ref, scope, f)
+    with pytest.raises(ValueError, match="invalid"):
+        navigation.decode_ref("A" + ref[1:], ["", "u", ""])
+
+
+def test_previews_keep_the_original_text():
+    assert navigation.preview("ＡＢＣ　Straße  here", ["STRASSE"]) == "ＡＢＣ　Straße  here"
+    long = "x" * 60 + " needle " + "y" * 100
+    assert navigation.preview(long, ["Needle"]) == "…" + long[41:121] + "…" and navigation.preview(None, ["a"]) == "" and navigation.preview("abc", ["zz"]) == "abc"
+
+
+def test_settled_payloads():
+    call = {"role": "assistant", "tool_calls": [{"id": "c1", "type": "function", "function": {"name": "f", "arguments": json.dumps({"q": "x" * 900, "n": 1})}}]}
+    done, kinds = ledger.settled(call, ledger.OPENAI, {"c1": "arguments"}, {"c1": "s1"}, {})
+    cut = json.loads(done["tool_calls"][0]["function"]["arguments"])
+    assert kinds == {"c1": ledger.FOLDED} and cut["n"] == 1 and cut["q"].endswith("source_id=s1]") and len(call["tool_calls"][0]["function"]["arguments"]) > 900
+    use = {"role": "assistant", "content": [{"type": "text", "text": "t"}, {"type": "tool_use", "id": "c1", "name": "f", "input": {"q": "x" * 900}}]}
+    done, _ = ledger.settled(use, ledger.ANTHROPIC, {"c1": "arguments"}, {"c1": "s1"}, {})
+    assert isinstance(done["content"][1]["input"], dict) and len(done["content"][1]["input"]["q"]) < 200
+    text = {"role": "assistant", "content": "head\ndata:\n" + json.dumps({"input": {"q": "x" * 900}})}
+    done, kinds = ledger.settled(text, ledger.CANONICAL, {"c1": "arguments"}, {"c1": "s1"}, {})
+    assert kinds == {"c1": ledger.FOLDED} and done["content"].startswith("head\ndata:\n{")
+    results = {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "a", "content": "r" * 900}, {"type": "tool_result", "tool_use_id": "b", "content": " "}]}
+    done, kinds = ledger.settled(results, ledger.ANTHROPIC, {"a": "result", "b": "result"}, {}, {"a": "card"})
+    assert kinds == {"a": ledger.FOLDED, "b": ledger.EMPTY} and done["content"][0]["content"] == "card" and done["content"][1]["content"] == " "
+    signed = use | {"content": [*use["content"], {"type": "thinking", "signature": "z"}]}
+    for payload, profile, calls, error in (
+        (signed, ledger.ANTHROPIC, {"c1": "arguments"}, "signed"), (use, ledger.ANTHROPIC, {"c2": "arguments"}, "coverage"), (call, "other", {"c1": "arguments"}, "profile"),
+        ({"role": "assistant", "tool_calls": [{"id": "c1", "function": {"arguments": "{"}}]}, ledger.OPENAI, {"c1": "arguments"}, "shape"),
+    ):
+        with pytest.raises(ledger.LedgerError, match=error):
+            ledger.settled(payload, profile, calls, {}, {})
+    anchor = ledger.retention_anchor(json.dumps({"api_key": "k", "big": "x" * 5000}))
+    assert anchor["oversized"] and anchor["redacted"] and len(anchor["anchor"]["big"]) == 5000
+    assert navigation.stable_id("summary", ["", "u"], ["a"], 1, "p") != navigation.stable_id("summary", ["", "u"], ["a"], 2, "p")
+
+
+def test_ambiguous_and_foreign_ids_are_errors(spark):
+    raw = spark.createDataFrame([("x", 1)], "source_id string, n int")
+    low = spark.createDataFrame([("x", 2)], "summary_id string, n int")
+    high = spark.createDataFrame([("z", 3)], "semantic_id string, n int")
+    both = scans.tiers(raw, low, high, "n")
+    assert scans.first_of_tiers(both).where("id = 'x'").first().n == 1
+    with pytest.raises(Exception, match="ambiguous_memory_id"):
+        scans.unambiguous(both).collect()
+    with pytest.raises(Exception, match="owned by another"):
+        scans.owned(raw, F.col("n") == 2, "x").collect()
+    assert scans.owned(raw, F.col("n") == 1, "x").count() == 1
+    with pytest.raises(Exception, match="unsupported_host_event"):
+        raw.select(writers.host_event(F.lit("message.user"))).collect()
+    with pytest.raises(ValueError):
+        scans.turn_entries(raw, "t", roles=[])
+
 
+def test_first_write_wins_and_assembly(spark):
+    old = spark.createDataFrame([("t", 0, "a")], "turn string, position int, h string")
+    new = spark.createDataFrame([("t", 0, "b"), ("t", 1, "c"), ("t", 1, "c")], "turn string, position int, h string")
+    append, conflict = ledger.first_write_wins(old, new, ["turn", "position"])
+    assert [(r.position, r.h) for r in append.collect()] == [(1, "c")] and [(r.position, r.h) for r in conflict.collect()] == [(0, "b")]
+    row = lambda at, *r: spark.createDataFrame(r, f"k string, {at} long, id string, payload string")
+    out = ledger.assembled(row("timestamp", ("k", 9, "s2", "p"), ("k", 1, "s1", "p")), row("timestamp", ("k", 5, "e1", "p")), row("position", ("k", 0, "t0", "p"), ("k", 1, "t1", "p")), ["k"])
+    assert [r.id for r in out.orderBy("place").collect()] == ["s1", "s2", "e1", "t0", "t1"]
 
 def test_projection(spark):
     rows = [(1, "s1", "hi", "user", "stimulus", None, None, None), (2, "s2", None, "assistant", "action", "c1", "find", "{}"), (3, "s3", None, "assistant", "action", "c2", "find", "{}"), (4, "s4", "r1", "environment", "observation", "c1", None, None), (5, "s5", "r2", "environment", "observation", "c2", None, None), (6, "s6", "done", "assistant", "final", None, None, None)]
