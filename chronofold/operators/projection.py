@@ -59,7 +59,7 @@ def project(entries: DataFrame, profile: str, keys: list[str], order: str) -> Da
         result = F.to_json(F.struct(F.lit("function_call_output").alias("type"), first["correlation_id"].alias("call_id"), first["text"].alias("output")))
         payload = F.when(F.col("g") == "call", call).when(F.col("g") == "result", result).otherwise(F.to_json(F.struct(F.lit("message").alias("type"), message_role(first["origin"]).alias("role"), first["text"].alias("content"))))
     elif profile == "anthropic_messages":
-        uses = F.transform("r", lambda x: F.struct(F.lit("tool_use").alias("type"), x["correlation_id"].alias("id"), x["tool_name"].alias("name"), x["arguments"].alias("input")))
+        uses = F.transform("r", lambda x: F.struct(F.lit("tool_use").alias("type"), x["correlation_id"].alias("id"), x["tool_name"].alias("name"), F.coalesce(F.try_parse_json(x["arguments"]), F.parse_json(F.lit("{}"))).alias("input")))
         results = F.transform("r", lambda x: F.struct(F.lit("tool_result").alias("type"), x["correlation_id"].alias("tool_use_id"), x["text"].alias("content")))
         block = F.array(F.struct(F.lit("text").alias("type"), first["text"].alias("text")))
         payload = F.when(F.col("g") == "call", F.to_json(F.struct(F.lit("assistant").alias("role"), uses.alias("content")))).when(F.col("g") == "result", F.to_json(F.struct(F.lit("user").alias("role"), results.alias("content")))).otherwise(F.to_json(F.struct(message_role(first["origin"]).alias("role"), block.alias("content"))))

@@ -43,20 +43,27 @@ def sequence_slice(timeline: DataFrame, seq_no: int, n: int) -> DataFrame:
 def pages(units: DataFrame, budget: int, keys: list[str], order: list[str], tokens: str = "tokens") -> DataFrame:
     """Adds page: whole units packed greedily in order; a unit above the budget is a page of its own.
 
-    Greedy packing carries a running sum, so each key's sizes are folded in one expression. Only the sizes are
-    gathered, one number a unit; a key's units are those of one conversation.
+    Greedy packing carries a running sum from unit to unit, so a key's units (order and tokens alone, no text) are
+    one group; its pages are found in one pass.
     """
-    rows = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(tokens).alias("__t")))).alias("__u"))
-    start = F.struct(F.lit(0).cast("long").alias("page"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, u: Column) -> Column:
-        fits = (F.size(acc["out"]) == 0) | (acc["used"] + u["__t"] > budget)
-        page = F.when(fits, acc["page"] + 1).otherwise(acc["page"])
-        return F.struct(page.cast("long").alias("page"), F.when(fits, u["__t"]).otherwise(acc["used"] + u["__t"]).cast("long").alias("used"), F.concat(acc["out"], F.array(page.cast("long"))).alias("out"))
-
-    numbered = rows.withColumn("__p", F.aggregate("__u", start, step, lambda acc: acc["out"]))
-    out = numbered.select(*keys, F.explode(F.arrays_zip("__u", "__p")).alias("z"))
-    return out.select(*keys, *[F.col(f"z.__u.{c}").alias(c) for c in order], F.col("z.__u.__t").alias(tokens), F.col("z.__p").alias("page"), (F.col("z.__u.__t") > budget).alias("oversized"))
+    import numpy as np
+    import pyarrow as pa
+
+    rows = units.select(*keys, *order, F.col(tokens).cast("long").alias(tokens))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", page long, oversized boolean"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        sizes = table.column(tokens).to_numpy()
+        page, used, out = 0, 0, np.empty(len(sizes), np.int64)
+        for i, size in enumerate(sizes.tolist()):
+            if not i or used + size > budget:
+                page, used = page + 1, 0
+            used += size
+            out[i] = page
+        return table.append_column("page", pa.array(out)).append_column("oversized", pa.array(sizes > budget))
+
+    return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
 def date_headers(timeline: DataFrame, label: Column) -> DataFrame:

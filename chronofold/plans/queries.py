@@ -11,7 +11,6 @@ from ..functions import documents, embedding, speech
 from ..operators import catalog, compaction, intervals, lineage, projection, retrieval, settlement
 from ..operators import timeline as tl
 from ..sources import adapters as src
-from ..streaming import turns
 from . import filters as flt
 
 TZ = "Asia/Shanghai"
@@ -468,19 +467,6 @@ def hashed_embeddings(spark, sf_dir):
     return embedding.embed(c, "text").select("conv_id", "turn", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda x, y: x + y * y), 6).alias("norm"))
 
 
-@query()
-def turn_replay(spark, sf_dir):
-    e = _trace_events(spark, sf_dir)
-    return turns.replay(e)
-
-
-def _trace_events(spark, sf_dir) -> DataFrame:
-    """Conversations as turn events: a user message begins a turn, an assistant message completes it."""
-    t = src.timeline(spark, sf_dir)
-    event = F.when(F.col("turn_role") == "stimulus", "begin").when(F.col("turn_role") == "final", "complete").otherwise("abort")
-    return t.select(F.col("turn_id").alias("turn_key"), event.alias("event"), F.lit("").alias("correlation_id"), F.lit("").alias("status"), "timestamp", F.col("seq_no").alias("seq"))
-
-
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def hourly_activity(spark, sf_dir):
     e = src.table(spark, sf_dir, "events")

@@ -8,6 +8,7 @@ from ..operators import compaction, navigation
 from ..operators import timeline as tl
 from ..sources import adapters as src
 from ..sources import writers
+from ..streaming import turns
 from .queries import EP, EV, SEM, TZ, T, query
 from .read_queries import TR, XE
 
@@ -172,3 +173,28 @@ def timeline_after_cursor(spark, sf_dir):
     units = tl.turns(src.timeline(spark, sf_dir))
     cursor = navigation.timeline_cursor([""], {"time": 1}, (1_704_070_800, "1", 1, "t1:0"))
     return navigation.after_cursor(units, cursor, [""], {"time": 1}).select("conversation_id", "turn", "first_seq", "start_ts")
+
+
+@query(f"""with recursive {TR}, e as (select turn_id, row_number() over (partition by turn_id order by timestamp, seq_no) as i, case turn_role when 'stimulus' then 'begin' when 'final' then 'complete' when '' then 'note' else turn_role end as event, correlation_id as call, status from tr where turn_id <> ''),
+s as (select turn_id, cast(0 as bigint) as i, cast(null as varchar) as state, cast([] as varchar[]) as called, cast([] as varchar[]) as done, '' as event, '' as call, '' as outcome from e where i = 1
+union all select turn_id, i, case when outcome = 'accepted' and event = 'begin' then 'open' when outcome = 'accepted' and event = 'complete' then 'closed' else state end,
+  case when outcome = 'accepted' and event = 'action' then list_append(called, call) else called end, case when outcome = 'accepted' and event = 'observation' and status = 'completed' and not list_contains(done, call) then list_append(done, call) else done end, event, call, outcome
+from (select s.turn_id, e.i, s.state, s.called, s.done, e.event, e.call, e.status, case when e.event = 'begin' then case when s.state is null then 'accepted' when s.state = 'open' then 'repeated' else 'conflict' end
+  when e.event = 'complete' and s.state = 'closed' then 'already_completed' when s.state is distinct from 'open' then case when e.event = 'complete' and s.state is not null then 'conflict' else 'turn_not_open' end
+  when e.event = 'action' then case when list_contains(s.called, e.call) then 'duplicate_call' else 'accepted' end when e.event = 'observation' then case when list_contains(s.called, e.call) then 'accepted' else 'call_not_found' end
+  when e.event = 'complete' then case when len(s.called) > len(s.done) then 'calls_pending' else 'accepted' end else 'unknown_event' end as outcome from s join e on e.turn_id = s.turn_id and e.i = s.i + 1))
+select turn_id as turn_key, event, call as correlation_id, outcome, coalesce(state, '') as status, case when state = 'open' then len(called) - len(done) else 0 end as pending from s where i > 0""")
+def turn_replay(spark, sf_dir):
+    """The turn state machine over events of all kinds: openings, calls, results, ends, and what is none of them."""
+    t = src.trace_timeline(spark, sf_dir).where("turn_id <> ''")
+    role = F.col("turn_role")
+    event = F.when(role == "stimulus", "begin").when(role == "final", "complete").when(role == "", "note").otherwise(role)
+    return turns.replay(t.select(F.col("turn_id").alias("turn_key"), event.alias("event"), "correlation_id", F.when(F.col("status") == "completed", "success").otherwise(F.col("status")).alias("status"), "timestamp", F.col("seq_no").alias("seq")))
+
+
+@query()
+def spoken_events(spark, sf_dir):
+    """Messages as streams of chunks: spoken chunks, sentences as they are certain, and the result."""
+    c = src.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("stream"), F.coalesce("text", F.lit("")).alias("text"))
+    pieces = F.regexp_extract_all("text", F.lit(r"(?s).{1,16}"), F.lit(0))
+    return turns.spoken(c.select("stream", F.posexplode(pieces).alias("seq", "chunk")))

@@ -3,6 +3,9 @@
 Events of one turn: begin, action, observation, complete, abort. A result needs its call, a call id is used
 once, a turn with open calls can't complete, events after the end are rejected, and a turn left open is
 aborted by a timer. Repeats of what already happened change nothing and say so.
+
+The calls of a turn are forgotten when it ends, and its end after a grace time, so the state holds the open turns
+and those that ended lately; a later event of a forgotten turn is one of a turn that was never begun.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.speech import SpeechStream
+
 OUTPUT = "turn_key string, event string, correlation_id string, outcome string, status string, pending long"
 FINAL = {"success", "failed", "error", "cancelled", "done", ""}
 
@@ -26,7 +31,7 @@ class TurnState:
 
     @property
     def pending(self) -> int:
-        return sum(s != "done" for s in self.calls.values())
+        return sum(s != "done" for s in self.calls.values()) if self.status == "open" else 0
 
     def apply(self, event: str, call: str = "", status: str = "") -> str:
         """The outcome of an event; only accepted ones change the state."""
@@ -55,7 +60,7 @@ class TurnState:
                 self.calls[call] = "done"
             return "accepted"
         if event == "complete":
-            if self.pending:
+            if self.pending > 0:
                 return "calls_pending"
             self.status = "closed"
             return "accepted"
@@ -68,52 +73,60 @@ class TurnState:
 class TurnProcessor(StatefulProcessor):
     """Keyed by turn. Within a batch a turn's events are put in order of (timestamp, seq) first."""
 
-    def __init__(self, max_age_ms: int = 3_600_000):
-        self.max_age_ms = max_age_ms
+    def __init__(self, max_age_ms: int = 3_600_000, grace_ms: int = 3_600_000):
+        self.max_age_ms, self.grace_ms = max_age_ms, grace_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.status = handle.getValueState("status", "status string")
+        self.status = handle.getValueState("status", "status string, forget_at long")
         self.calls = handle.getMapState("calls", "call string", "state string")
 
     def _load(self) -> TurnState:
         return TurnState(self.status.get()[0] if self.status.exists() else None, {k[0]: v[0] for k, v in self.calls.iterator()})
 
-    def _save(self, turn: TurnState) -> None:
-        if turn.status is not None:
-            self.status.update((turn.status,))
+    def _save(self, turn: TurnState, was: TurnState, now: int) -> None:
+        if turn.status is not None and turn.status != was.status:
+            ended = turn.status != "open"
+            self.status.update((turn.status, now + self.grace_ms if ended else 0))
+            self.handle.registerTimer(now + (self.grace_ms if ended else self.max_age_ms))
+        if turn.status != "open":
+            if was.calls:
+                self.calls.clear()
+            return
         for call, state in turn.calls.items():
-            self.calls.updateValue((call,), (state,))
+            if was.calls.get(call) != state:
+                self.calls.updateValue((call,), (state,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         events = pd.concat(list(rows)).sort_values(["timestamp", "seq"], kind="stable")
-        turn, out = self._load(), []
+        was, out = self._load(), []
+        turn = TurnState(was.status, was.calls)
         for e in events.itertuples():
-            was = turn.status
             outcome = turn.apply(e.event, e.correlation_id or "", e.status or "")
-            if was is None and turn.status == "open":
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.max_age_ms)
             out.append((key[0], e.event, e.correlation_id, outcome, turn.status or "", turn.pending))
-        self._save(turn)
+        self._save(turn, was, timerValues.getCurrentProcessingTimeInMs())
         yield pd.DataFrame(out, columns=["turn_key", "event", "correlation_id", "outcome", "status", "pending"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        turn = self._load()
-        if turn.status == "open":
+        was, now = self._load(), timerValues.getCurrentProcessingTimeInMs()
+        if was.status == "open":
+            turn = TurnState(was.status, was.calls)
             turn.apply("abort")
-            self._save(turn)
+            self._save(turn, was, now)
             yield pd.DataFrame([(key[0], "abort", None, "stale_turn", turn.status, turn.pending)], columns=["turn_key", "event", "correlation_id", "outcome", "status", "pending"])
+        elif was.status is not None and now >= self.status.get()[1]:
+            self.status.clear()
 
     def close(self) -> None:
         pass
 
 
-def turns(events: DataFrame, max_age_ms: int = 3_600_000) -> DataFrame:
+def turns(events: DataFrame, max_age_ms: int = 3_600_000, grace_ms: int = 3_600_000) -> DataFrame:
     """Outcome of every event of a stream (turn_key, event, correlation_id, status, timestamp, seq).
 
     Needs the RocksDB state store provider.
     """
-    return events.groupBy("turn_key").transformWithStateInPandas(TurnProcessor(max_age_ms), OUTPUT, "Append", "processingTime")
+    return events.groupBy("turn_key").transformWithStateInPandas(TurnProcessor(max_age_ms, grace_ms), OUTPUT, "Append", "processingTime")
 
 
 def replay(events: DataFrame) -> DataFrame:
@@ -129,6 +142,20 @@ def replay(events: DataFrame) -> DataFrame:
     return events.groupBy("turn_key").applyInPandas(run, OUTPUT)
 
 
+def spoken(chunks: DataFrame) -> DataFrame:
+    """Events (stream, place, type, text) of streamed replies (stream, seq, chunk), each stream in order."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        stream, events = SpeechStream(), []
+        for chunk in frame.sort_values("seq", kind="stable").chunk:
+            events += stream.feed(chunk)
+        events += stream.finish()
+        text = lambda e: e.get("text") if e["type"] != "final" else e["payload"]["speech"]
+        return pd.DataFrame([(frame.stream.iloc[0], i, e["type"], text(e)) for i, e in enumerate(events)], columns=["stream", "place", "type", "text"])
+
+    return chunks.groupBy("stream").applyInPandas(run, "stream string, place long, type string, text string")
+
+
 def stale(turns: DataFrame, now: int, max_age: int) -> DataFrame:
     """Open turns older than ``max_age`` seconds, for batch recovery."""
     return turns.where((F.col("status") == "open") & (F.col("opened_at") < now - max_age))
