@@ -104,13 +104,6 @@ def kind_prefix(spark, sf_dir):
     return e.where(flt.kind_matches(F.col("kind"), "event.*") & (flt.kind_matches(F.col("kind"), "event.click") | F.col("kind").startswith("event.v"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("select case when q = 0 then 'explicit' else 'default' end as visibility, q is null or q <> 0 as by_default, true as when_asked, count(*) as n from (select d.doc_id, min(quality) as q from documents d left join labels using (doc_id) group by 1) group by 1, 2, 3")
-def admission(spark, sf_dir):
-    d = src.entries(spark, sf_dir).withColumn("kind", F.lit("document.text")).withColumn("turn_role", F.lit(""))
-    args = (F.col("visibility"), F.col("kind"), F.col("turn_role"))
-    return d.groupBy("visibility", flt.admitted(*args).alias("by_default"), flt.admitted(*args, ["document.*"]).alias("when_asked")).agg(F.count("*").alias("n"))
-
-
 # Text functions.
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 
@@ -121,12 +114,6 @@ def tokenize_counts(spark, sf_dir):
     return d.select("doc_id", F.size(fx.tokens(F.col("text"))).cast("long").alias("n_tokens"), fx.token_estimate(F.col("text")).alias("estimate"))
 
 
-@query()
-def redact_secrets(spark, sf_dir):
-    d = src.table(spark, sf_dir, "documents").select("doc_id", "text", fx.redact(F.col("text")).alias("redacted"))
-    return d.where(F.col("text") != F.col("redacted")).select("doc_id", F.length("text").alias("before"), F.length("redacted").alias("after"), F.sha2("redacted", 256).alias("redacted_sha256"))
-
-
 @query("with c as (select conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ') as t from conversations) select conv_id, turn, case when length(t) > 60 then rtrim(substr(t, 1, 59), ' ') || '…' else t end as compacted from c")
 def compact_texts(spark, sf_dir):
     return src.table(spark, sf_dir, "conversations").select("conv_id", "turn", fx.compact(F.col("text"), 60).alias("compacted"))
@@ -195,12 +182,6 @@ def hybrid_retrieval(spark, sf_dir):
     return retrieval.rrf(dense, retrieval.bm25_topk(_candidates(spark, sf_dir), "text", _TERMS, 30))
 
 
-@query("select doc_id as source_id, lang as tag, true as relaxed from documents where lang in ('fr', 'es')")
-def relaxation_at_zero(spark, sf_dir):
-    pool = flt.where(src.entries(spark, sf_dir), {"tag": {"$in": ["fr", "es"]}})
-    return retrieval.relaxed(pool, F.col("namespace") == "no-such-source").select("source_id", "tag", "relaxed")
-
-
 @query("with r as (select doc_id as source_id, n_chars * 1.0 as score, 0 as tier from documents where lang = 'es' and n_chars < 300), d as (select doc_id as source_id, n_chars * 1.0 as score, 1 as tier from documents where lang = 'fr'), u as (select * from r union all select * from d) select source_id, cast(score as double) as score, tier, cast(row_number() over (order by tier, score desc, source_id) as integer) as place from (select * from u order by tier, score desc, source_id limit 25)")
 def raw_first_merge(spark, sf_dir):
     d = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("n_chars").cast("double").alias("score"), "lang")
@@ -244,12 +225,6 @@ def derived_dedup(spark, sf_dir):
     return lineage.drop_covered(e.select(F.col("summary_id").alias("source_id")), t.where("tokens > 400").select("source_id"), lineage.edges(e, s))
 
 
-@query(f"with {EP} select summary_id, len(source_ids) as n_sources, cast(0 as bigint) as n_missing, 'valid' as lineage_status from episodes")
-def lineage_validity(spark, sf_dir):
-    t, e, _ = _tiers(spark, sf_dir)
-    return lineage.validity(e, t)
-
-
 @query(f"with {T}, hits as (select source_id, tokens as score from timeline), b as (select t.turn_id, max(score) as score, max_by(source_id, (score, source_id)) as hit from hits join timeline t using (source_id) group by 1) select hit, score, turn_id, string_agg(source_id, ',' order by seq_no) as source_ids from timeline join b using (turn_id) group by 1, 2, 3")
 def relation_expansion(spark, sf_dir):
     t = src.timeline(spark, sf_dir)
@@ -431,42 +406,17 @@ def contiguity_check(spark, sf_dir):
 
 
 # Projection, rendering, documents, embeddings, streams.
-@query(f"with {T} select conversation_id, count(*) as n_messages, min(position) as first_position from (select conversation_id, row_number() over (partition by conversation_id order by seq_no) - 1 as position from timeline where content is not null) group by 1")
-def projected_messages(spark, sf_dir):
-    t = src.timeline(spark, sf_dir).withColumnRenamed("content", "text").withColumns({"correlation_id": F.lit(None).cast("string"), "tool_name": F.lit(None).cast("string"), "arguments": F.lit(None).cast("string")})
-    out = projection.project(t, "openai_chat", ["conversation_id"], "seq_no")
-    return out.groupBy("conversation_id").agg(F.count("*").alias("n_messages"), F.min("position").alias("first_position"))
-
-
 @query(f"with {T} select conversation_id, sha256(string_agg('[' || strftime(make_timestamp((timestamp + 28800) * 1000000), '%Y-%m-%d') || ' ' || (['周一', '周二', '周三', '周四', '周五', '周六', '周日'])[isodow(make_timestamp((timestamp + 28800) * 1000000))] || ' ' || strftime(make_timestamp((timestamp + 28800) * 1000000), '%H:%M') || '] ' || role || ': ' || coalesce(content, ''), chr(10) order by seq_no)) as text_sha256 from timeline group by 1")
 def rendered_conversations(spark, sf_dir):
     return projection.chat_lines(src.timeline(spark, sf_dir), ["conversation_id"], TZ).select("conversation_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query(f"with {T}, h as (select conversation_id, seq_no as position, sha256(content) as h from timeline) select conversation_id, case when count(*) > 2 then 'append' else 'current' end as status, case when count(*) > 2 then 3 end as from_position from h group by 1")
-def frozen_ledger(spark, sf_dir):
-    fresh = src.timeline(spark, sf_dir).select("conversation_id", F.col("seq_no").alias("position"), F.sha2("content", 256).alias("h"))
-    return projection.frozen(fresh.where("position <= 2"), fresh, ["conversation_id"])
-
-
-@query()
-def canonical_props(spark, sf_dir):
-    e = src.table(spark, sf_dir, "events")
-    return e.select("event_id", documents.canonical_json(F.col("props")).alias("canonical"), documents.json_hash(F.col("props")).alias("hash"))
-
-
 @query()
 def sentence_segments(spark, sf_dir):
     c = src.table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.posexplode(speech.sentence_array(F.col("text"))).alias("pos", "sentence"))
 
 
-@query()
-def hashed_embeddings(spark, sf_dir):
-    c = src.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return embedding.embed(c, "text").select("conv_id", "turn", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda x, y: x + y * y), 6).alias("norm"))
-
-
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def hourly_activity(spark, sf_dir):
     e = src.table(spark, sf_dir, "events")
