@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import embedding
 from .functions.text import token_estimate
 from .functions.times import time_range
-from .operators import catalog, compaction, lineage, retrieval
+from .operators import catalog, compaction, lineage, navigation, retrieval, scans
 from .operators import timeline as tl
 from .plans import filters
 from .sources.store import LogStore
@@ -129,12 +129,26 @@ class Engine:
     def edges(self) -> DataFrame:
         return lineage.edges(self._scoped("episodes"), self._scoped("semantics"))
 
-    def browse(self, selector: dict | None = None, node_types: list[str] | None = None, page_size: int = 50, cursor: str | None = None) -> tuple[DataFrame, str | None]:
-        """A page of cards and the cursor of the next one, or None."""
+    def browse(self, selector: dict | None = None, node_types: list[str] | None = None, page_size: int = 50, cursor: str | None = None, keywords: list[str] | None = None, match: str = "any") -> tuple[DataFrame, str | None]:
+        """A page of cards and the cursor of the next one, or None.
+
+        With keywords only cards whose own text or whose sources' text holds any, or all, of them.
+        """
         n = self.namespace
-        scope, key = [n.tenant_id, n.user_id, n.domain_id], {"time": selector or {}, "types": node_types or []}
+        scope, key = [n.tenant_id, n.user_id, n.domain_id], {"time": selector or {}, "types": node_types or [], "words": keywords or [], "match": match}
         r = time_range(selector, self.timezone) if selector else None
         cards = catalog.browse(catalog.cards(self._scoped("episodes"), self._scoped("semantics")), r and r.start, r and r.end, node_types)
+        if keywords:
+            words = [w.lower() for w in keywords]
+            low, high = self._scoped("episodes"), self._scoped("semantics")
+            lines = low.select("summary_id", F.explode("source_ids").alias("source_id")).join(self._scoped("timeline").select("source_id", F.lower("content").alias("text")), "source_id").select(F.col("summary_id").alias("memory_id"), "text")
+            lines = lines.unionByName(low.select(F.col("summary_id").alias("memory_id"), F.lower("summary").alias("text")))
+            held = [F.max(F.contains("text", F.lit(w))).alias(f"w{i}") for i, w in enumerate(words)]
+            found = lines.groupBy("memory_id").agg(*held)
+            up = high.select(F.col("semantic_id").alias("top"), F.explode("source_summary_ids").alias("memory_id")).join(found, "memory_id").groupBy("top").agg(*[F.max(f"w{i}").alias(f"w{i}") for i in range(len(words))]).withColumnRenamed("top", "memory_id")
+            tests = [F.col(f"w{i}") for i in range(len(words))]
+            hits = found.unionByName(up).where(reduce(and_ if match == "all" else or_, tests)).select("memory_id")
+            cards = cards.join(hits, "memory_id", "left_semi")
         after = tuple(catalog.decode_cursor(cursor, scope, "browse", key)) if cursor else None
         rows = catalog.page(cards, page_size, after)
         keys = [tuple(x) for x in rows.select(*catalog.ORDER).collect()]
@@ -152,6 +166,62 @@ class Engine:
         tier, row = found[0]
         return row | {"tier": tier, "children": row.get("source_ids") or row.get("source_summary_ids") or []}
 
+    def read_entry(self, source_id: str) -> dict:
+        """One entry of this namespace; one of another namespace is an error, an unknown one too."""
+        n = self.namespace
+        rows = self.store.read("timeline").where(F.col("source_id") == source_id).limit(1).collect()
+        if not rows:
+            raise KeyError(source_id)
+        if (rows[0].tenant_id, rows[0].user_id, rows[0].domain_id) != (n.tenant_id, n.user_id, n.domain_id):
+            raise PermissionError("owned_by_another_namespace")
+        return rows[0].asDict(True)
+
+    def open_many(self, memory_ids: list[str]) -> list[dict]:
+        """Each id in order with its record or why there is none, by one join a tier."""
+        wanted = scans.ids(self.spark, memory_ids)
+        found: dict[str, list[dict]] = {}
+        for tier, key in (("timeline", "source_id"), ("episodes", "summary_id"), ("semantics", "semantic_id")):
+            if self.store.generation(tier):
+                for r in self._scoped(tier).join(F.broadcast(wanted.select(F.col("id").alias(key))), key).collect():
+                    found.setdefault(r[key], []).append(r.asDict(True) | {"tier": tier})
+        state = lambda rows: "not_found" if not rows else "ambiguous_memory_id" if len(rows) > 1 else "ok"
+        return [{"memory_id": i, "status": state(found.get(i, [])), "record": found[i][0] if len(found.get(i, [])) == 1 else None} for i in [r.id for r in wanted.orderBy("pos").collect()]]
+
+    def open_sources(self, memory_ids: list[str], page_size: int = 50, tokens: int = 0, size: int = 0, speakers: list[str] | None = None, after: dict[str, int] | None = None) -> dict:
+        """What summaries stand for, a page of each in turn under a shared budget: an episode's turns, a semantic
+        summary's episodes. ``after`` says how many units of each were read; the answer's ``next`` goes there.
+        """
+        opened, trees, after = self.open_many(memory_ids), [], after or {}
+        for node in opened:
+            tree = navigation.Tree(node["memory_id"], [], error="" if node["status"] == "ok" else node["status"])
+            if node["status"] == "ok" and node["record"]["tier"] == "timeline":
+                tree.error = "entry_has_no_sources"
+            trees.append(tree)
+        ids = {n["memory_id"]: n["record"] for n in opened if n["status"] == "ok"}
+        links = [(k, c) for k, r in ids.items() for c in r.get("source_ids") or r.get("source_summary_ids") or []]
+        if links:
+            edges = self.spark.createDataFrame(links, "memory_id string, id string")
+            entries = self._scoped("timeline").withColumn("unit", tl.group_key())
+            if speakers:
+                entries, _ = navigation.speaker_excerpts(entries, speakers)
+            rows = edges.join(entries.select(F.col("source_id").alias("id"), "unit", "seq_no", "timestamp", "role", "content"), "id")
+            line = F.concat("role", F.lit(": "), F.coalesce("content", F.lit("")))
+            units = rows.groupBy("memory_id", "unit").agg(F.min("timestamp").alias("at"), F.min("seq_no").alias("seq"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+            if self.store.generation("episodes"):
+                cards = edges.join(self._scoped("episodes").select(F.col("summary_id").alias("id"), F.col("period_start_ts").alias("at"), "summary"), "id")
+                units = units.unionByName(cards.select("memory_id", F.col("id").alias("unit"), "at", F.lit(0).cast("long").alias("seq"), F.col("summary").alias("text")))
+            # A page's worth of each tree beyond what was read.
+            rank = F.row_number().over(Window.partitionBy("memory_id").orderBy("at", "seq", "unit"))
+            first = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for t in trees for x in (t.memory_id, int(after.get(t.memory_id, 0)))]), "memory_id"), F.lit(0))
+            page = units.withColumn("n", rank).where((F.col("n") > first) & (F.col("n") <= first + page_size + 1)).orderBy("memory_id", "n").collect()
+            for tree in trees:
+                tree.units = [(r.unit, r.text) for r in page if r.memory_id == tree.memory_id]
+        compose = lambda ts: "\n".join(f"[{t.memory_id}]\n" + "\n".join(x for _, x in t.chosen) for t in ts if t.chosen)
+        out = navigation.source_page(trees, page_size, tokens, size, lambda t: max(1, (len(t.encode()) + 3) // 4), compose)
+        if out["status"] == "ok":
+            out["next"] = {t.memory_id: int(after.get(t.memory_id, 0)) + len(t.chosen) for t in trees if not t.error and len(t.chosen) < len(t.units)}
+        return out
+
     def read_timeline(self, selector: dict | None = None, anchor: str | None = None, turns: int = 2, budget: int = 4000) -> DataFrame:
         """Whole turns in pages of at most ``budget`` tokens, of a time range or around an entry."""
         rows = self._scoped("timeline", cross=self.namespace.conversation_id is None)

@@ -1,3 +1,4 @@
+import json
 import os
 import time
 import warnings
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from chronofold.api import Engine, Namespace
 from chronofold.plans import registry
-from chronofold.sources import adapters
+from chronofold.session import Session
+from chronofold.sources import adapters, migrations
 from chronofold.operators.index import TextIndex
 from chronofold.sources.store import CommitConflict, LogStore
 from chronofold.streaming import turns
+from chronofold.tools import TOOLS, Dispatcher
 
 
 @pytest.fixture(scope="module")
@@ -146,10 +149,83 @@ def test_engine_end_to_end(spark, sf_dir, tmp_path):
     assert {x for p in pages for x in p.source_ids} == mine
     assert engine.read_timeline(anchor=sorted(mine)[0], turns=0).count() == 1
     assert engine.compaction_plan(50, keep_recent=0).count() > 0
+    # Opening, sources in turn, tools and their receipts.
+    top = s.where("user_id = 'u2'").first()
+    opened = engine.open_many([part.summary_id, "nosuch", top.semantic_id, part.source_ids[0]])
+    assert [(o["status"], o["record"] and o["record"]["tier"]) for o in opened] == [("ok", "episodes"), ("not_found", None), ("ok", "semantics"), ("ok", "timeline")]
+    first = engine.open_sources([part.summary_id, top.semantic_id, "nosuch"], page_size=1)
+    assert first["errors"] == {"nosuch": "not_found"} and first["units"][top.semantic_id] == [top.source_summary_ids[0]] and len(first["units"][part.summary_id]) == 1
+    seen, after = [], {}
+    for _ in range(20):
+        page = engine.open_sources([part.summary_id], page_size=1, after=after)
+        seen += page["units"][part.summary_id]
+        after = page["next"]
+        if not after:
+            break
+    assert len(seen) == len(set(seen)) == t.where(F.col("source_id").isin(part.source_ids)).select("turn_id").distinct().count()
+    assert engine.read_entry(part.source_ids[0])["source_id"] == part.source_ids[0]
+    theirs = t.where("user_id = 'u1'").first().source_id
+    words = t.where(F.col("source_id").isin(part.source_ids)).select(F.explode(F.split("content", r"\W+")).alias("w")).where("length(w) > 6").first().w
+    cards, _ = engine.browse(page_size=200, keywords=[words.upper()])
+    assert part.summary_id in {r.memory_id for r in cards.collect()} and not engine.browse(keywords=[words, "nosuchword"], match="all")[0].count()
+    tools = Dispatcher(engine)
+    assert tools.call("read_entry", json.dumps({"source_id": theirs}))["status"] == "forbidden" and tools.call("read_entry", {"source_id": "nosuch"})["status"] == "not_found"
+    assert tools.call("browse", {"page_size": 2})["status"] == "ok" and tools.call("browse", {"page_size": 0})["error"] == "argument_out_of_range:page_size"
+    assert tools.call("load_material", {"handle": "h"})["status"] == "forbidden" and tools.call("nosuch", {})["error"] == "unknown_tool"
+    assert Dispatcher(engine, frozenset({"read", "material"}), lambda h: h * 2).call("load_material", {"handle": "h"})["result"] == "hh"
+    assert [r["status"] for r in tools.receipts] == ["forbidden", "not_found", "ok", "invalid", "forbidden", "invalid"] and all(len(r["result_hash"]) == 64 for r in tools.receipts)
     engine.forget()
     assert engine.store.read("timeline").where("user_id = 'u2'").count() == 0 and engine.store.read("timeline").count() > 0
 
 
+def test_tool_specifications():
+    tool = TOOLS["browse"]
+    assert tool.spec("openai_chat", strict=True)["function"]["strict"] and tool.spec("anthropic_messages")["input_schema"]["additionalProperties"] is False
+    assert set(tool.schema(strict=True)["required"]) == set(tool.parameters) and tool.schema()["required"] == [] and tool.spec("openai_responses")["name"] == "browse" == tool.spec("plain")["name"]
+    assert tool.arguments('{"page_size": 3, "cursor": null}') == {"page_size": 3}
+    for bad, error in (({"page_size": "3"}, "invalid_argument"), ({"x": 1}, "unknown_argument"), ("[]", "must_be_object"), ({"match": "some"}, "invalid_argument")):
+        with pytest.raises(ValueError, match=error):
+            tool.arguments(bad)
+    with pytest.raises(ValueError):
+        TOOLS["open"].arguments({})
+
+
+def test_sessions_store_items_and_survive_the_store(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), Namespace(user_id="u", conversation_id="c"), "UTC")
+    session = Session(engine, lambda: 1_700_000_000)
+    session.add_items([{"role": "user", "content": "one"}, {"role": "assistant", "content": "two"}])
+    session.add_items([{"role": "user", "content": [{"type": "text", "text": "three"}]}])
+    again = Session(engine, lambda: 1_700_000_001)
+    assert [i["content"] for i in again.get_items()] == ["one", "two", [{"type": "text", "text": "three"}]] and again.get_items(1)[0]["role"] == "user" and again.get_items(0) == []
+    assert again.pop_item()["content"][0]["text"] == "three" and len(again.get_items()) == 2
+    again.clear_session()
+    assert again.get_items() == [] and again.pop_item() is None and engine.store.read("timeline").count() == 3
+    engine.store.read = lambda *a, **k: 1 / 0
+    session.add_items([{"role": "user", "content": "four"}])
+    assert session.degraded and session.get_items()[-1]["content"] == "four" and session.pop_item()["content"] == "four"
+    with pytest.raises(ValueError):
+        Session(Engine(spark, str(tmp_path), Namespace(user_id="u"), "UTC"), lambda: 0)
+
+
+def test_migrations(spark, tmp_path):
+    old = spark.createDataFrame(
+        [("a", "user", json.dumps({"categories": ["plan_goal", "memory_query"], "subject_scopes": ["other", "user"], "keywords": ["k", "t"], "topic_terms": ["t"], "importance": 0.7})), ("b", "tool.x c1", "{broken"), ("c", "assistant", None)],
+        "source_id string, role string, memory_metadata_json string",
+    )
+    rows = {r.source_id: r for r in migrations.migrated(old, 1).collect()}
+    m = rows["a"].memory_metadata
+    assert (m.turn_intent, m.memory_facets, m.about_roles, m.topic_terms, m.retrieval_priority) == ("memory_query", ["plan"], ["third_party", "external", "user"], ["t", "k"], "high")
+    assert rows["b"].kind == "tool.x.result" and rows["b"].retrieval_visibility == "explicit" and rows["b"].memory_metadata.retrieval_priority == "low"
+    assert rows["c"].origin == "assistant" and rows["c"].retrieval_visibility == "default" and rows["c"].row_version == 1 and rows["c"].index_status == "pending"
+    kept = old.withColumn("kind", F.lit("message.other"))
+    assert {r.kind for r in migrations.migrated(kept, 1, 2).collect()} == {"message.other"}
+    with pytest.raises(ValueError):
+        migrations.migrated(old, 9)
+    store = LogStore(spark, str(tmp_path))
+    store.commit("timeline", old)
+    assert migrations.migrate(store, "timeline", 1) == 2 and "memory_metadata" in store.read("timeline").columns and "memory_metadata_json" not in store.read("timeline").columns
+
+
 def test_index_versions(spark, tmp_path):
     index = TextIndex(LogStore(spark, str(tmp_path)))
     rows = lambda *r: spark.createDataFrame(r, "id string, text string, lang string, vector array<double>")
