@@ -17,10 +17,12 @@ QUERIES = {
     "op10_decontamination": decontam.op10_decontamination,
     "benchmark_proximity": decontam.benchmark_proximity,
     "license_base": licenses.license_base,
+    "quoted_conversations": quotes.quoted_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_decontamination": decontam.ORACLE_SQL,
     "benchmark_proximity": decontam.PROXIMITY_SQL,
     "license_base": licenses.BASE_SQL,
+    "quoted_conversations": quotes.QUOTED_SQL,
 }

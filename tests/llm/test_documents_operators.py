@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -182,6 +183,68 @@ def test_repeated_lines_link_to_the_latest_earlier_message(spark):
     assert got[199].reply_to == 198
 
 
+def brute_replies(rows):
+    """reply_to of each (conv, turn, role, text) by trying every earlier message for every passage."""
+    out = {}
+    split = lambda t: (t or "").replace("\r\n", "\n").split("\n")
+    level = lambda line: len(re.match(r"(?:[ \t]*>)*", line)[0].replace(" ", "").replace("\t", ""))
+    words = lambda text: text.lower().split()
+
+    def own(t):
+        lines = split(t)
+        return [x for i, x in enumerate(lines) if not level(x) and not (re.match(quotes.ANNOUNCED[:-1] + r"\Z", x) and i + 1 < len(lines) and level(lines[i + 1]))]
+
+    for conv, turn, _, text in rows:
+        if turn is None:
+            continue
+        passages, lines = [], split(text)
+        for i, x in enumerate(lines):
+            if level(x) and (not i or level(lines[i - 1]) != level(x)):
+                passages.append((level(x), []))
+            if level(x):
+                passages[-1][1].extend(words(re.sub(r"^(?:[ \t]*>)+[ \t]?", "", x)))
+        votes = {}
+        for at, w in passages:
+            for c, t, _, other in sorted((r for r in rows if r[0] == conv and r[1] is not None and r[1] < turn), key=lambda r: -r[1]):
+                base = words(" ".join(own(other)))
+                if w and (len(w) < 4 and w in [words(x) for x in own(other)] or len(w) >= 4 and any(base[k : k + len(w)] == w for k in range(len(base)))):
+                    votes[at, t] = votes.get((at, t), 0) + len(w)
+                    break
+        out[conv, turn, text] = min(votes, key=lambda v: (v[0], -votes[v], -v[1]))[1] if votes else None
+    return out
+
+
+def test_quotation_links_equal_brute_force(spark):
+    rng = __import__("random").Random(4)
+    rows = []
+    for conv in (1, 2, None):
+        texts = []
+        for turn in range(14):
+            own = [" ".join(rng.choice(["red", "green", "blue", "ok", "cat"]) for _ in range(rng.choice([1, 2, 5, 9]))) for _ in range(rng.randrange(1, 4))]
+            quoted = []
+            for _ in range(rng.randrange(0, 3)):
+                if texts:
+                    w = " ".join(x for x in rng.choice(texts).split("\n") if not x.startswith(">")).split()
+                    a = rng.randrange(0, max(1, len(w)))
+                    part, mark = w[a : a + rng.randrange(1, 9)], ">" * rng.randrange(1, 3)
+                    cut = rng.randrange(0, len(part) + 1)
+                    quoted += [f"{mark} {' '.join(part[:cut]).upper()}", f"{mark}{' '.join(part[cut:])}", rng.choice(["", "so"])]
+            texts.append("\n".join([*(["On Monday Bob wrote:"] if quoted and rng.random() < 0.5 else []), *quoted, *own]))
+            rows.append((conv, turn, "u", texts[-1]))
+    rows += [(3, 0, "u", "ok"), (3, 1, "u", "that is ok with me"), (3, 2, "u", "> ok\nfine"), (3, 3, "u", "> is OK with\n> me\nyes"), (None, None, "u", "> red"), (3, 3, "u", "> is OK with\n> me\nyes")]
+    rows.append((4, 0, "u", "word " * 30_000 + "the needle stands here")), rows.append((4, 1, "u", "> the needle stands here\nok"))
+    want = brute_replies([r for r in rows if r[0] != 4]) | {(4, 0, rows[-2][3]): None, (4, 1, rows[-1][3]): 0}
+    assert want[3, 2, "> ok\nfine"] == 0 and want[3, 3, "> is OK with\n> me\nyes"] == 1 and sum(v is not None for v in want.values()) > 8
+    keyed = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as mid", "2 as h", "3 as lines")
+    got = quotes.conversations(keyed).collect()
+    assert len(got) == len(rows)
+    found = {}
+    for r in got:
+        found.setdefault((r.conv_id, r.turn), set()).add(r.reply_to)
+    for (conv, turn, _), reply in want.items():
+        assert found[conv, turn] == {reply}, (conv, turn)
+
+
 def pictures():
     rng = np.random.default_rng(1)
     out = []
