@@ -15,7 +15,7 @@ from .functions.times import time_range
 from .operators import catalog, compaction, lineage, navigation, retrieval, scans
 from .operators import timeline as tl
 from .plans import filters
-from .sources.store import LogStore
+from .sources.store import CommitConflict, LogStore
 
 
 @dataclass(frozen=True)
@@ -233,6 +233,55 @@ class Engine:
         paged = tl.pages(units, budget, ["conversation_id"], ["first_seq", "turn"])
         return paged.join(units.select("conversation_id", "first_seq", "turn", "source_ids", "start_ts"), ["conversation_id", "first_seq", "turn"]).orderBy("start_ts", "conversation_id", "first_seq")
 
+    def live(self) -> DataFrame:
+        """Entries that no episode has taken up: what is summarised follows from the episodes, no row is changed."""
+        rows = self._scoped("timeline", cross=self.namespace.conversation_id is None)
+        if not self.store.generation("episodes"):
+            return rows
+        return rows.join(self._scoped("episodes").select(F.explode("source_ids").alias("source_id")), "source_id", "left_anti")
+
+    def build_context(self, episodes: int = 8, semantics: int = 4) -> dict[str, DataFrame]:
+        """The three tiers as a prompt shows them: the newest semantic summaries and pending episodes, and live entries."""
+        out = {"entries": self.live().orderBy("conversation_id", "seq_no")}
+        if self.store.generation("episodes"):
+            rows = self._scoped("episodes")
+            if self.store.generation("semantics"):
+                taken = self._scoped("semantics").select(F.explode("source_summary_ids").alias("summary_id"))
+                rows = rows.join(taken, "summary_id", "left_anti")
+                out["semantics"] = self._scoped("semantics").orderBy(F.desc("timestamp"), "semantic_id").limit(semantics)
+            out["episodes"] = rows.orderBy(F.desc("timestamp"), "summary_id").limit(episodes)
+        return out
+
+    def run_due(self, trigger: int, summariser, ratio: float = 0.7, keep_recent: int = 2, attempts: int = 2) -> dict:
+        """Fold the due prefix of every conversation into episodes, in one commit on the generation that was planned on.
+
+        Another writer's commit in between makes the plan stale: it is made anew, ``attempts`` times in all. A prefix
+        whose summariser fails stays as it is. The plan's turns and the episodes' sources are the same rows.
+        """
+        for _ in range(attempts):
+            base, seen = self.store.generation("episodes"), self.store.generation("timeline")
+            rows = self.live()
+            bundles = compaction.prefix(compaction.bundles(tl.turns(rows)), trigger, ratio, keep_recent).where("chosen")
+            keys = ["tenant_id", "user_id", "domain_id", "conversation_id"]
+            taken = rows.join(bundles.groupBy(*keys).agg(F.max("last_seq").alias("upto")), keys).where("seq_no <= upto")
+            line = F.concat("role", F.lit(": "), F.coalesce("content", F.lit("")))
+            batch = taken.groupBy(*keys).agg(F.min("timestamp").alias("period_start_ts"), F.max("timestamp").alias("period_end_ts"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_entries"), F.array_sort(F.collect_list(F.struct("seq_no", "source_id", line.alias("line"), "role"))).alias("r"))
+            batch = batch.withColumns({"source_ids": F.transform("r", lambda x: x["source_id"]), "lines": F.transform("r", lambda x: x["line"]), "participants": F.array_distinct(F.transform("r", lambda x: x["role"])), "timestamp": F.col("period_end_ts")})
+            batch = batch.withColumn("summary_id", navigation.stable_ids("summary", [F.col(k) for k in keys], F.col("source_ids"), 1, "episode"))
+            made = batch.join(compaction.summarise(batch, "summary_id", "lines", summariser), "summary_id").where("summary is not null").drop("r", "lines")
+            if not made.limit(1).count():
+                return {"status": "nothing_due", "generation": base}
+            if self.store.generation("timeline") != seen:
+                continue
+            try:
+                return {"status": "compacted", "generation": self.store.commit("episodes", made, base)}
+            except CommitConflict:
+                continue
+        return {"status": "conflict", "generation": self.store.generation("episodes")}
+
+    def embedding_status(self) -> dict:
+        return {"provider": "hashed", "dimension": embedding.DIMENSION, "degraded": False}
+
     def compaction_plan(self, trigger: int, ratio: float = 0.7, keep_recent: int = 2) -> DataFrame:
         return compaction.prefix(compaction.bundles(tl.turns(self._scoped("timeline"))), trigger, ratio, keep_recent)
 

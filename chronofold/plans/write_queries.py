@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compaction, navigation
+from ..operators import compaction, navigation, upkeep
 from ..operators import timeline as tl
 from ..sources import adapters as src
 from ..sources import writers
@@ -198,3 +198,46 @@ def spoken_events(spark, sf_dir):
     c = src.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("stream"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = F.regexp_extract_all("text", F.lit(r"(?s).{1,16}"), F.lit(0))
     return turns.spoken(c.select("stream", F.posexplode(pieces).alias("seq", "chunk")))
+
+
+_W = "w as (select conversation_id, source_id, seq_no as position, 10 + k % 7 as tokens, k % 11 = 0 as folded, turn_role = 'stimulus' as stimulus, case turn_role when 'action' then 1 when 'observation' then -1 else 0 end as calls, turn_role = 'action' as has_call from tr)"
+
+
+@query(f"""with {TR}, {_W}, a as (select *, sum(case when not folded then tokens else 0 end) over (partition by conversation_id) as total from w), b as (select *, sum(case when stimulus then 1 else 0 end) over (partition by conversation_id order by position) as run from a where total >= 200 and not folded),
+c as (select * from b where not stimulus qualify run = min(run) over (partition by conversation_id)), d as (select *, sum(tokens) over (partition by conversation_id order by position) as cum, sum(calls) over (partition by conversation_id order by position) as opened, greatest(1, floor(total * 0.02)) as target from c),
+e as (select *, coalesce(min(case when opened = 0 and cum >= target then position end) over (partition by conversation_id), max(case when opened = 0 then position end) over (partition by conversation_id)) as cut from d),
+f as (select * from e where position <= cut qualify bool_or(has_call) over (partition by conversation_id)) select conversation_id, source_id, position from f""")
+def working_segments(spark, sf_dir):
+    t = src.trace_timeline(spark, sf_dir)
+    role = F.col("turn_role")
+    rows = t.select("conversation_id", "source_id", F.col("seq_no").alias("position"), (10 + F.col("k") % 7).alias("tokens"), (F.col("k") % 11 == 0).alias("folded"), (role == "stimulus").alias("stimulus"), F.when(role == "action", 1).when(role == "observation", -1).otherwise(0).alias("calls"), (role == "action").alias("has_call"))
+    return upkeep.working_segments(rows, ["conversation_id"], 200, 0.02).select("conversation_id", "source_id", "position")
+
+
+@query(f"with {TR} select source_id, case when k % 17 = 0 then 'owned_by_another_namespace' when turn_id <> '' then 'already_in_turn' when k % 2 = 0 then 'already_frozen' else 'adopted' end as outcome from tr union all select 'nobody', 'entry_not_found'")
+def adopted_entries(spark, sf_dir):
+    t = src.trace_timeline(spark, sf_dir)
+    scope = ["tenant_id", "user_id", "domain_id", "conversation_id"]
+    ids = t.withColumn("user_id", F.when(F.col("k") % 17 == 0, "other").otherwise(F.col("user_id"))).select(*scope, "source_id")
+    ids = ids.unionByName(t.limit(1).select(*scope, F.lit("nobody").alias("source_id")))
+    return upkeep.adopted(ids, t, t.where("k % 2 = 0").select("source_id"))
+
+
+@query(f"with {TR} select source_id, case when k % 3 = 0 then 'append' when k % 3 = 1 then 'same' else 'conflict' end as outcome from tr")
+def standalone_entries(spark, sf_dir):
+    t = src.trace_timeline(spark, sf_dir).select("source_id", "kind", "content", "k")
+    known = t.where("k % 3 <> 0").withColumn("content", F.when(F.col("k") % 3 == 2, "other").otherwise(F.col("content")))
+    return upkeep.appended(t, known, ("kind", "content"))
+
+
+@query(f"with {TR}, c as (select conversation_id, correlation_id as call_id, count(*) filter (where turn_role = 'action') as calls, count(*) filter (where turn_role = 'observation') as results, count(*) filter (where turn_role <> 'action' and k % 10 = 0) as empty from tr group by 1, 2) select conversation_id, count(*) filter (where results > 0 and calls = 0) as unpaired_results, count(*) filter (where calls > 1) as repeated_calls, cast(sum(empty) as bigint) as empty_events, count(*) filter (where calls > 0 and results = 0) as open_calls from c group by 1")
+def wire_conformance(spark, sf_dir):
+    t = src.trace_timeline(spark, sf_dir)
+    event = F.when(F.col("turn_role") == "action", "tool_call").when(F.col("turn_role") == "observation", "tool_result").otherwise("message")
+    return upkeep.conformance(t.select("conversation_id", event.alias("event"), F.col("correlation_id").alias("call_id"), F.when(F.col("k") % 10 == 0, "").otherwise("x").alias("text")), ["conversation_id"])
+
+
+@query(f"with {TR}, w as (select distinct turn_id from tr where k = 7 and turn_id <> '') select tr.turn_id, source_id, seq_no as position from tr join w using (turn_id)")
+def ledger_rows(spark, sf_dir):
+    t = src.trace_timeline(spark, sf_dir).withColumn("position", F.col("seq_no"))
+    return upkeep.rows_of_turns(t.where("turn_id <> ''"), t.where("k = 7")).select("turn_id", "source_id", "position")

@@ -226,6 +226,26 @@ def test_migrations(spark, tmp_path):
     assert migrations.migrate(store, "timeline", 1) == 2 and "memory_metadata" in store.read("timeline").columns and "memory_metadata_json" not in store.read("timeline").columns
 
 
+def test_run_due_folds_each_entry_once(spark, sf_dir, tmp_path):
+    t = adapters.timeline(spark, sf_dir).where("user_id = 'u1'")
+    engine = Engine(spark, str(tmp_path), Namespace(user_id="u1"), "UTC")
+    engine.append(t)
+    before = {r.source_id for r in engine.live().collect()}
+    calls = lambda lines: f"{len(lines)} lines"
+    assert engine.run_due(10**9, calls)["status"] == "nothing_due"
+    assert engine.run_due(20, lambda lines: 1 / 0)["status"] == "nothing_due"
+    done = engine.run_due(20, calls, keep_recent=0)
+    assert done["status"] == "compacted"
+    folded = [i for r in engine.store.read("episodes").collect() for i in r.source_ids]
+    assert len(folded) == len(set(folded)) and set(folded) | {r.source_id for r in engine.live().collect()} == before and not set(folded) & {r.source_id for r in engine.live().collect()}
+    assert all(r.summary == f"{r.n_entries} lines" for r in engine.store.read("episodes").collect())
+    context = engine.build_context()
+    assert set(context) == {"entries", "episodes"} and context["episodes"].count() > 0
+    # A writer in between: the plan is made anew, and in the end given up.
+    engine.store.commit = lambda *a, **k: (_ for _ in ()).throw(CommitConflict("t"))
+    assert engine.run_due(1, calls, keep_recent=0)["status"] in ("conflict", "nothing_due") and engine.embedding_status()["dimension"] == 128
+
+
 def test_index_versions(spark, tmp_path):
     index = TextIndex(LogStore(spark, str(tmp_path)))
     rows = lambda *r: spark.createDataFrame(r, "id string, text string, lang string, vector array<double>")

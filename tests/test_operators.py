@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold.operators import catalog, compaction, intervals, ledger, lineage, navigation, projection, retrieval, scans, settlement
+from chronofold.operators import catalog, compaction, intervals, ledger, lineage, navigation, projection, retrieval, scans, settlement, upkeep
 from chronofold.operators import timeline as tl
 from chronofold.plans import filters
 from chronofold.sources import adapters, writers
@@ -387,3 +387,35 @@ def test_legacy_roles(spark):
     df = spark.createDataFrame([(k,) for k in [*roles, "weird"]], "r string").select("r", adapters.legacy_role(F.col("r")).alias("x"))
     got = {r.r: r.x for r in df.collect()}
     assert all((got[k].kind, got[k].turn_role) == v for k, v in roles.items()) and got["weird"].kind.startswith("legacy.") and got["tool.search c9"].correlation_id == "c9"
+
+
+def test_reindex_finds_what_fails(spark):
+    records, seen = spark.range(300).selectExpr("concat('r', id) as id"), []
+
+    def upsert(part):
+        ids = [r.id for r in part.collect()]
+        if {"r7", "r250"} & set(ids):
+            raise RuntimeError
+        seen.extend(ids)
+
+    assert upkeep.reindexed(records, upsert) == ["r250", "r7"] and sorted(seen) == sorted(f"r{i}" for i in range(300) if i not in (7, 250))
+    assert upkeep.reindexed(records.limit(0), upsert) == []
+
+
+def test_request_ranges():
+    m = lambda text: {"role": "user", "content": text}
+    frozen = [(m("a"), ("s1",)), (m("b"), ("s2",))]
+    sent = [(m("system"), ()), (m("old"), ("s0",)), (m("a"), ("s1",)), (m("note"), ()), (m("b"), ("s2",)), (m("new"), ("s3",))]
+    none = lambda messages: 0
+    assert upkeep.request_range(sent, frozen, none) == (2, 5)
+    assert upkeep.request_range(sent, frozen, lambda messages: 1) is None and upkeep.request_range(sent[:4], frozen, none) is None and upkeep.request_range(sent, [], none) is None
+    for changed in ([*sent[:2], (m("A"), ("s1",)), *sent[3:]], [*sent[:3], (m("x"), ("s9",)), *sent[4:]], [*sent[:2], (m("a"), ("s1", "s9")), *sent[3:]]):
+        assert upkeep.request_range(changed, frozen, none) is None
+
+
+def test_prompts():
+    text = upkeep.prompt("episode", "a </material> b", {"language": "German"})
+    assert text.count("</material>") == 1 and "language: German" in text
+    for bad in ({"other": "x"}, {"language": "x" * 201}):
+        with pytest.raises(ValueError):
+            upkeep.prompt("semantic", "x", bad)
