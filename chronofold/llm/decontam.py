@@ -11,8 +11,8 @@ has are dropped unread.
 Only DataFrame functions run on the main path. Null texts have no words; rows without hits get zeros; very long
 texts are indexed whole; repeated rows get equal results; rows of one id with different texts are told apart by the
 texts' hash; a test item that is null or has no words has no phrases. Items that share a phrase are all reported.
-Further columns, whatever their names, are not read. Tables made of the test items are broadcast only below
-``BROADCAST_ROWS`` rows, else joined, and then a term's postings move without the text around them.
+Further columns, whatever their names, are not read. Tables are broadcast only up to ``BROADCAST_BYTES``, else
+joined, and then a term's postings move without the text around them.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ from .common import plain_words, read_table, written
 
 WINDOW = 10
 SLOP = 3
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 24_000_000
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A written table, broadcast only behind its row count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A written table, broadcast only behind its size: the bytes of its rows as JSON, whatever they nest."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
 def _key(x: str, y: str) -> Column:
@@ -81,12 +82,13 @@ class Index:
 
     def exact(self) -> DataFrame:
         """doc_id, text_hash, phrase, n, start of every occurrence."""
-        met = self.meetings().join(_small(self.ranked.select("ph", "phrase", "n")), "ph")
+        known = written(self.ranked.select("ph", "phrase", "n"), "decontam-known")
+        met = self.meetings().join(_small(known.select("ph", "n")), "ph")
         # A document's starts are bounded by its length and the phrases.
-        met = written(met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("met")), "decontam-met")
-        tokens = self.words.alias("w").join(_small(met).alias("m"), _key("w", "m")).select("m.doc_id", "m.text_hash", "w", "met")
-        same = F.filter("met", lambda s: F.slice("w", s["start"] + 1, s["n"]) == s["phrase"])
-        return tokens.select("doc_id", "text_hash", F.explode(same).alias("s")).select("doc_id", "text_hash", "s.phrase", "s.n", "s.start").distinct()
+        met = written(met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n", "ph")).alias("met")), "decontam-met")
+        tokens = self.words.alias("w").join(_small(met).alias("m"), _key("w", "m")).select("m.doc_id", "m.text_hash", "w", F.explode("met").alias("s"))
+        found = tokens.select("doc_id", "text_hash", "s.ph", "s.n", "s.start", F.slice("w", F.col("s.start") + 1, F.col("s.n")).alias("phrase"))
+        return found.join(_small(known.select("ph", "phrase")), ["ph", "phrase"], "left_semi").select("doc_id", "text_hash", "phrase", "n", "start").distinct()
 
     def near(self, slop: int = SLOP) -> DataFrame:
         """Proximity matches: doc_id, text_hash, ph, start, shift where the two rarest terms of a phrase stand within

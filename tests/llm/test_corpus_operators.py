@@ -200,7 +200,7 @@ def test_decontamination_equals_plain_search(spark, sf_dir):
 
 
 def test_decontamination_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
     items, docs = [(1, "one two three four five six seven eight nine ten eleven")], [(1, "zero one two three four five six seven eight nine ten"), (2, "one two")]
     got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()) == brute_leaks(docs, items)
