@@ -10,7 +10,8 @@ Documents are cut into blocks of at most ``BLOCK_BYTES`` of text. A block sends
 bigrams with their training counts once to the buckets of the count tables (cut by key hash, so a frequent
 word or pair is one entry a block, wherever it stands), gets the totals back, sends discounted sums per
 context to the buckets of the context table, gets denominators and back-off weights back, and then scores
-its tokens. All tables are Parquet in the shared folder; only counts of counts reach the driver.
+its tokens. All tables are Parquet in the shared folder; only counts of counts reach the driver. That is the whole
+table scored against itself with bigrams; :func:`tables` stores a model of any order, which scores any text.
 
 Null and empty texts are one end token. A null id counts as training by the checksum of the empty string.
 Repeated rows count and are scored each. Without training rows the model gives every token probability 1.
@@ -19,6 +20,7 @@ Repeated rows count and are scored each. Without training rows the model gives e
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, crc_fold, dropped, read_table, written
+from .common import WordCache, ascii_lower, crc_fold, read_table, shared_dir, written
 
 BLOCK_BYTES = 8_000_000
 BUCKET_BYTES = 48_000_000
@@ -332,6 +334,84 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = B
     return _scores(table, totals, weights, model)
 
 
+class Tables:
+    """A Katz model of any order as stored tables, which score any text.
+
+    ``grams`` (order, gram, p) has the discounted probability of every n-gram of the training text, ``contexts``
+    (order, context, alpha) the back-off weight of every history; both lie in folders by order and by a hash of their
+    key. An n-gram's key is the hash of its words. Scoring goes down the orders: an n-gram that the model has gives its
+    probability, else the weight of its history (1 if it was never seen) times that of the next shorter one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, order: int, unknown: float):
+        self.spark, self.path, self.order, self.unknown = spark, path, order, unknown
+
+    def table(self, name: str, order: int) -> DataFrame:
+        schema = {"grams": "gram long, p double", "contexts": "context long, alpha double"}[name]
+        return self.spark.read.schema(f"{schema}, order int, bucket int").parquet(f"{self.path}/{name}").where(F.col("order") == order).drop("order", "bucket")
+
+    def score(self, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``id_col``, n_tokens and score (log10 probability) of each row; rows that repeat an id are one text each."""
+        rows = texts.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col), F.col(text_col).alias("text"))
+        rows = written(rows, "katz-texts")
+        left = _tokens(rows.select("__row", "text"), self.order).withColumns({"lp": F.lit(None).cast("double"), "weight": F.lit(0.0)})
+        for k in range(self.order, 0, -1):
+            grams = self.table("grams", k).select(F.col("gram").alias(f"g{k}"), F.log10("p").alias("found"))
+            left = left.join(grams, f"g{k}", "left").withColumn("lp", F.coalesce("lp", F.col("weight") + F.col("found"))).drop("found")
+            if k > 1:
+                contexts = self.table("contexts", k).select(F.col("context").alias(f"c{k}"), F.log10("alpha").alias("back"))
+                left = left.join(contexts, f"c{k}", "left").withColumn("weight", F.col("weight") + F.coalesce("back", F.lit(0.0))).drop("back")
+        value = F.coalesce("lp", F.col("weight") + math.log10(self.unknown) if self.unknown else F.lit(float("-inf")))
+        sums = left.groupBy("__row").agg(F.count("*").alias("n_tokens"), F.sum(value).alias("score"))
+        return rows.join(sums, "__row").select(id_col, "n_tokens", "score")
+
+
+def _tokens(texts: DataFrame, order: int) -> DataFrame:
+    """One row a token: __row, g1..gn (its n-grams' keys), c2..cn (their histories' keys)."""
+    low = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    words = F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    padded = F.concat(F.array(*[F.lit("\n\n")] * (order - 1)), words, F.array(F.lit("\n"))) if order > 1 else F.concat(words, F.array(F.lit("\n")))
+    rows = texts.select("__row", padded.alias("w")).select("__row", "w", F.explode(F.sequence(F.lit(order), F.size("w"))).alias("end"))
+    part = lambda size, end: F.xxhash64(F.slice("w", end - size + 1, F.lit(size)))
+    return rows.select("__row", *[part(k, F.col("end")).alias(f"g{k}") for k in range(1, order + 1)], *[part(k - 1, F.col("end") - 1).alias(f"c{k}") for k in range(2, order + 1)])
+
+
+def _factors(counts: DataFrame) -> F.Column:
+    """The discounted count of column c; counts of counts are at most ``TOP`` + 1 rows on the driver."""
+    of = [0] * (TOP + 2)
+    for r in counts.where(F.col("c") <= TOP + 1).groupBy("c").count().collect():
+        of[r["c"]] = r["count"]
+    d = discounts(of).tolist()
+    return F.col("c") * F.when(F.col("c") <= TOP, F.get(F.array(*map(F.lit, d)), F.col("c").cast("int"))).otherwise(1.0)
+
+
+def tables(docs: DataFrame, order: int = 3, path: str | None = None, buckets: int = 64) -> Tables:
+    """Count and store a model of ``order`` over the texts of ``docs`` (text); each order costs two shuffles of its n-grams."""
+    path = path or f"{shared_dir(docs.sparkSession)}/katz-model-{uuid.uuid4().hex}"
+    save = lambda df, name, key, k: df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).withColumn("order", F.lit(k)).write.mode("append").partitionBy("order", "bucket").parquet(f"{path}/{name}")
+    tokens = written(_tokens(docs.select(F.lit(0).alias("__row"), "text"), order).drop("__row"), "katz-tokens")
+    unknown, below = 1.0, None
+    for k in range(1, order + 1):
+        keys = [f"g{k}", *([f"g{k - 1}", f"c{k}"] if k > 1 else [])]
+        counts = written(tokens.groupBy(*keys).agg(F.count("*").alias("c")), "katz-counts")
+        counts = counts.withColumn("kept", _factors(counts))
+        if k == 1:
+            total = counts.agg(F.sum("c").alias("n"), F.sum("kept").alias("kept")).first()
+            n, kept = total["n"] or 0, total["kept"] or 0.0
+            over = n if kept < n * (1 - 1e-12) else n + 1
+            unknown = 1 - kept / over if n else 1.0
+            probable = counts.select(F.col("g1").alias("gram"), (F.col("kept") / over).alias("p"))
+        else:
+            joined = counts.join(below.select(F.col("gram").alias(f"g{k - 1}"), F.col("p").alias("lower")), f"g{k - 1}")
+            sums = joined.groupBy(f"c{k}").agg(F.sum("c").alias("n"), F.sum("kept").alias("all"), F.sum("lower").alias("seen"))
+            sums = written(sums.withColumn("over", F.when(F.col("all") < F.col("n") * (1 - 1e-12), F.col("n")).otherwise(F.col("n") + 1)), "katz-contexts")
+            save(sums.select(F.col(f"c{k}").alias("context"), ((1 - F.col("all") / F.col("over")) / F.greatest(1 - F.col("seen"), F.lit(1e-300))).alias("alpha")), "contexts", "context", k)
+            probable = counts.join(sums.select(f"c{k}", "over"), f"c{k}").select(F.col(f"g{k}").alias("gram"), (F.col("kept") / F.col("over")).alias("p"))
+        below = written(probable, "katz-grams")
+        save(below, "grams", "gram", k)
+    return Tables(docs.sparkSession, path, order, unknown)
+
+
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score(docs.select("doc_id", F.col("text").cast("string").alias("text"), (crc_fold(F.col("doc_id")) == 1).alias("held")))

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -142,6 +144,58 @@ def test_katz_equals_dictionaries(spark, sf_dir, block_bytes):
         assert g[4] == pytest.approx(w[4], rel=1e-9) and g[5] == pytest.approx(w[5], rel=1e-9)
 
 
+def backed_off(train, order):
+    """P(word, history) of a Katz model of ``order`` by plain dictionaries, and its words."""
+    counts = [Counter() for _ in range(order + 1)]
+    for text in train:
+        seq = ["<s>"] * (order - 1) + text.lower().split() + ["</s>"]
+        for i in range(order - 1, len(seq)):
+            for k in range(1, order + 1):
+                counts[k][tuple(seq[i - k + 1 : i + 1])] += 1
+    d = [None] + [katz.discounts([sum(n == r for n in counts[k].values()) for r in range(katz.TOP + 2)]) for k in range(1, order + 1)]
+    cut = lambda k, n: (d[k][n] if n <= katz.TOP else 1.0) * n
+    total = sum(counts[1].values())
+    kept = sum(cut(1, n) for n in counts[1].values())
+    over1 = total if kept < total * (1 - 1e-12) else total + 1
+    after = {}
+    for k in range(2, order + 1):
+        for gram, n in counts[k].items():
+            after.setdefault(gram[:-1], {})[gram[-1]] = n
+
+    def p(word, history):
+        if not history:
+            return cut(1, counts[1][word,]) / over1 if counts[1][word,] else (1 - kept / over1 if total else 1.0)
+        k, seen = len(history) + 1, after.get(history)
+        if seen is None:
+            return p(word, history[1:])
+        n, used = sum(seen.values()), sum(cut(k, x) for x in seen.values())
+        over = n if used < n * (1 - 1e-12) else n + 1
+        if word in seen:
+            return cut(k, seen[word]) / over
+        return (1 - used / over) / (1 - sum(p(w, history[1:]) for w in seen)) * p(word, history[1:])
+
+    return p, [g[0] for g in counts[1]]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_stored_katz_tables_equal_dictionaries(spark, order):
+    rng = random.Random(order)
+    line = lambda: " ".join(rng.choice(["a", "b", "C", "dd", "e", "x%d" % rng.randrange(40)]) for _ in range(rng.randrange(0, 25)))
+    train, other = [line() for _ in range(60)], [line() for _ in range(20)] + ["", None, "never seen words", "a  B\tc", "a  B\tc"]
+    p, words = backed_off(train, order)
+    model = katz.tables(spark.createDataFrame([(t,) for t in train], "text string"), order)
+    rows = list(enumerate(train + other))
+    got = {r.doc_id: r for r in model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for key, text in rows:
+        seq = ["<s>"] * (order - 1) + (text or "").lower().split() + ["</s>"]
+        want = sum(math.log10(p(seq[i], tuple(seq[i - order + 1 : i]))) for i in range(order - 1, len(seq)))
+        assert got[key].n_tokens == len(seq) - order + 1 and got[key].score == pytest.approx(want, abs=1e-7)
+    for history in ([("a",), ("dd",)] if order == 2 else [("a", "b"), ("<s>", "<s>"), ("e", "nosuch")] if order == 3 else [()]):
+        assert sum(p(w, history) for w in words) + p("unseen word", history) == pytest.approx(1.0)
+    empty = katz.tables(spark.createDataFrame([], "text string"), order)
+    assert empty.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first().score == 0.0
+
+
 def test_katz_normalises():
     assert all(0 < x <= 1 for x in katz.discounts([0, 10, 5, 3, 2, 1, 1])[1:])
     for words, after in (([9, 4, 3, 2, 1, 1, 1], {0: 3, 2: 1, 4: 1}), ([9, 9, 9], {0: 7, 1: 6}), ([1], {0: 1})):
