@@ -417,6 +417,21 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", F.col("text").cast("string").alias("text"), (crc_fold(F.col("doc_id")) == 1).alias("held")))
 
 
+def katz_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_katz that SQL can express, with a fold that SQL can express."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = score(docs.select("doc_id", F.col("text").cast("string").alias("text"), (F.col("doc_id") % 5 == 1).alias("held")))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+BASE_SQL = """
+with d as (select doc_id, doc_id % 5 = 1 as held_out, list_append(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), chr(10)) as w from documents),
+t as (select doc_id, held_out, unnest(w) as w from d), c as (select w, count(*) as c from t where not held_out group by 1), s as (select coalesce(sum(c), 0) as n, count(*) as v from c)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, cast(any_value(n) as bigint) as train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 4) as base_score
+from t left join c using (w), s group by 1, 2
+"""
+
+
 def brute_force(docs: list[tuple[str | None, bool]]) -> list[tuple[int, int, int, float, float]]:
     """(n_tokens, n_known, train_tokens, base, score) of each (text, held) by plain dictionaries, for tests."""
     seqs = [[*(t or "").encode().lower().split(), "end"] for t, _ in docs]

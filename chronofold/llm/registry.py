@@ -18,6 +18,7 @@ QUERIES = {
     "benchmark_proximity": decontam.benchmark_proximity,
     "license_base": licenses.license_base,
     "quoted_conversations": quotes.quoted_conversations,
+    "katz_base": katz.katz_base,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "benchmark_proximity": decontam.PROXIMITY_SQL,
     "license_base": licenses.BASE_SQL,
     "quoted_conversations": quotes.QUOTED_SQL,
+    "katz_base": katz.BASE_SQL,
 }
