@@ -108,7 +108,7 @@ def _payload_sql(profile: str) -> str:
         chat = "'{\"type\":\"message\",\"role\":\"' || min(role) || '\",\"content\":\"' || min(text) || '\"}'"
     joins = {"anthropic_messages": "('call', 'result')", "openai_chat": "('call')"}.get(profile, "('')")
     return f"""select '{profile}' as profile, conversation_id, position, md5(case g when 'call' then {call} when 'result' then {result} else {chat} end) as payload_md5, string_agg(source_id, ',' order by seq_no) as source_ids from (
-  select *, sum(fresh) over (partition by conversation_id order by seq_no) - 1 as position from (select *, case when g = lag(g) over (partition by conversation_id order by seq_no) and g in {joins} then 0 else 1 end as fresh from m)) group by conversation_id, position, g"""
+  select *, cast(sum(fresh) over (partition by conversation_id order by seq_no) as bigint) - 1 as position from (select *, case when g = lag(g) over (partition by conversation_id order by seq_no) and g in {joins} then 0 else 1 end as fresh from m)) group by conversation_id, position, g"""
 
 
 _PROFILES = ("openai_chat", "anthropic_messages", "openai_responses")

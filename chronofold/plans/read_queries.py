@@ -233,7 +233,7 @@ def turn_participants(spark, sf_dir):
     return metadata.participants(t, ["turn_id"]).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"with {TR} select kind = 'event.error' as is_event, kind, count(*) as n, sum(case when kind = 'event.error' and k % 2 = 0 then 0 else 1 end) as n_new from tr group by 1, 2")
+@query(f"with {TR} select kind = 'event.error' as is_event, kind, count(*) as n, cast(sum(case when kind = 'event.error' and k % 2 = 0 then 0 else 1 end) as bigint) as n_new from tr group by 1, 2")
 def annotation_merge(spark, sf_dir):
     t = src.trace_timeline(spark, sf_dir)
     status = F.when(F.col("k") % 2 == 0, "pending").otherwise("accepted_host")
