@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, embedding
 from ..functions import text as fx
-from ..operators import lineage, projection, retrieval
+from ..functions import times as tm
+from ..operators import guards, lineage, projection, retrieval
 from ..sources import adapters as src
 from . import filters as flt
 from .queries import _TOK, T, query
@@ -123,3 +124,46 @@ def projected_messages(spark, sf_dir):
         one = projection.project(t, profile, ["conversation_id"], "seq_no").select(F.lit(profile).alias("profile"), "conversation_id", "position", F.md5("payload").alias("payload_md5"), F.array_join("source_ids", ",").alias("source_ids"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_ENTRY = f"""en as (select *, '' as tenant_id, '' as domain_id, 'raw' as layer, {_VISIBLE} as retrieval_visibility, case when k % 19 = 0 then 'never' else 'auto' end as retrieval_policy, case when k % 23 = 0 then 'trusted' else 'untrusted_data' end as trust, 1 as index_version,
+  turn_role in ('action', 'observation') or kind like 'tool.%' as trace from tr)"""
+
+
+def _entries(spark, sf_dir):
+    t = src.trace_timeline(spark, sf_dir)
+    k = F.col("k")
+    return t.withColumns({"layer": F.lit("raw"), "retrieval_visibility": F.when(k % 9 == 0, "never").when(k % 4 == 0, "explicit").otherwise("default"), "retrieval_policy": F.when(k % 19 == 0, "never").otherwise("auto"), "trust": F.when(k % 23 == 0, "trusted").otherwise("untrusted_data"), "index_version": F.lit(1), "lineage_status": F.lit("raw")})
+
+
+@query(f"""with {TR}, {_ENTRY}, ok as (select source_id from en where user_id = 'u3' and index_status = 'indexed' and trust = 'untrusted_data' and retrieval_visibility <> 'never' and retrieval_policy <> 'never' and ((retrieval_visibility = 'default' and not trace) or retrieval_visibility = 'explicit' or trace) and (kind like 'tool.%' or kind = 'message.user') and timestamp >= 1704067200 and timestamp < 1704240000 and k <> 50)
+select source_id, source_id in (select source_id from ok) as valid from tr""")
+def hit_revalidation(spark, sf_dir):
+    """Every entry as a hit: which still meet the plan in the table of truth, and which do not."""
+    e = _entries(spark, sf_dir)
+    plan = guards.HardPlan(user_id="u3", kinds=("tool.*", "message.user"), explicit=True, time=tm.TimeRange(1_704_067_200, 1_704_240_000), timezone="UTC")
+    good, bad = guards.revalidated(e.select("source_id"), e, plan, excluded=e.where("k = 50").select(F.col("source_id").alias("id")))
+    return good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
+
+
+@query(f"with {TR}, {_ENTRY} select source_id, retrieval_policy <> 'never' and trust = 'untrusted_data' and retrieval_visibility = 'default' and not trace as plain, retrieval_policy <> 'never' and trust = 'untrusted_data' and (retrieval_visibility = 'explicit' or (retrieval_visibility = 'default' and not trace)) as asked from en")
+def relation_visibility(spark, sf_dir):
+    return _entries(spark, sf_dir).select("source_id", guards.relation_visible(False).alias("plain"), guards.relation_visible(True).alias("asked"))
+
+
+@query(f"""with {XE}, x as (select summary_id, unnest(source_ids) as source_id, lineage_status from xe), v as (select source_id, k % 2 = 0 as broken from tr where is_summarized)
+select source_id as id from v union select summary_id from x join v using (source_id) where not broken""")
+def exclusion_with_broken_lineage(spark, sf_dir):
+    t = src.trace_timeline(spark, sf_dir)
+    edges = src.trace_episodes(t).select(F.col("summary_id").alias("parent"), F.posexplode("source_ids").alias("pos", "child"))
+    seen = t.where("is_summarized")
+    return guards.excluded_ids(seen.select(F.col("source_id").alias("start")), edges, seen.where("k % 2 = 0").select(F.col("source_id").alias("id")))
+
+
+@query(f"with {TR}, g as (select turn_id, min((-k, source_id)) as best from tr where turn_id <> '' group by 1) select best[2] as source_id, -best[1] as score, turn_id from g".replace("best[2]", "struct_extract_at(best, 2)").replace("best[1]", "struct_extract_at(best, 1)"))
+def distinct_groups(spark, sf_dir):
+    """Hits that stand for the same turn are one match, the best of them."""
+    t = src.trace_timeline(spark, sf_dir).where("turn_id <> ''")
+    turns = t.groupBy("turn_id").agg(F.collect_list("source_id").alias("source_ids"))
+    hits = t.select("source_id", F.col("k").alias("score"), "turn_id").join(turns, "turn_id")
+    return guards.distinct_groups(hits).select("source_id", "score", "turn_id")

@@ -69,6 +69,15 @@ def test_time_selectors():
             times.time_range(bad, TZ)
 
 
+def test_time_hints():
+    assert times.time_hint(None, TZ) == times.time_hint({"date_label": " "}, TZ) == {} and times.time_hint({"time_of_day": "晚上"}, TZ) == {"time_periods": ["night"]}
+    day = times.time_hint({"date_label": "2024-04-02", "time_of_day": "morning"}, TZ)
+    assert day.end - day.start == 86400 and day.periods == ("morning",) and times.time_hint({"start_ts": "5"}, TZ) == {"start_ts": 5} and times.time_hint({"start_ts": 1, "end_ts": 9}, TZ) == times.TimeRange(1, 9)
+    for bad, error in (({"start_ts": 1, "date_label": "2024-01-01"}, "exclusive"), ({"x": 1}, "unknown_time_hint"), ([], "object"), ({"time_of_day": "teatime"}, "periods"), ({"start_ts": True}, "integer"), ({"start_ts": 5, "end_ts": 5}, "before")):
+        with pytest.raises(ValueError, match=error):
+            times.time_hint(bad, TZ)
+
+
 def test_documents(spark):
     value = {"b": 1, "a": [float("nan"), b"x"], "é": None}
     assert documents.canonical(value).startswith('{"a":["nan",{"binary_sha256":')

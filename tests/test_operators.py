@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold.operators import catalog, compaction, intervals, ledger, lineage, navigation, projection, retrieval, scans, settlement, upkeep
+from chronofold.operators import catalog, compaction, guards, intervals, ledger, lineage, navigation, projection, retrieval, scans, settlement, upkeep
 from chronofold.operators import timeline as tl
 from chronofold.plans import filters
 from chronofold.sources import adapters, writers
@@ -419,3 +419,15 @@ def test_prompts():
     for bad in ({"other": "x"}, {"language": "x" * 201}):
         with pytest.raises(ValueError):
             upkeep.prompt("semantic", "x", bad)
+
+
+def test_hard_plans_are_checked():
+    plan = guards.HardPlan(user_id="u", entities=(" a ", "a", "", "b"), kinds=("tool.*", "event.click"))
+    assert plan.entities == ("a", "b") and plan.echo()["kinds"] == ["tool.*", "event.click"]
+    assert guards.kind_pattern(" Tool.* ") == ("tool", True) and guards.kind_pattern("a.b") == ("a.b", False)
+    for bad in ("tool", "*.a", "a.*.b", "a..b", ""):
+        with pytest.raises(ValueError):
+            guards.HardPlan(kinds=(bad,))
+    for bad in ({"layers": ()}, {"layers": ("other",)}, {"limit": 0}, {"limit": 51}):
+        with pytest.raises(ValueError):
+            guards.HardPlan(**bad)
