@@ -14,7 +14,8 @@ its tokens. All tables are Parquet in the shared folder; only counts of counts r
 table scored against itself with bigrams; :func:`tables` stores a model of any order, which scores any text.
 
 Null and empty texts are one end token. A null id counts as training by the checksum of the empty string.
-Repeated rows count and are scored each. Without training rows the model gives every token probability 1.
+Repeated rows count and are scored each. Very long texts are scored whole, in a block of their own if need be; columns
+besides the id, the text and the fold are not read. Without training rows the model gives every token probability 1.
 """
 
 from __future__ import annotations

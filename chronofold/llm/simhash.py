@@ -8,7 +8,8 @@ are spread over many tiles, and their tile pairs over many tasks. A comparison e
 the links it finds, never all pairs, and the components of all forests are the groups.
 
 Null and empty texts have fingerprint zero and are linked like any other; equal texts, repeated rows and
-ties share a fingerprint and so a component. A null id never names a component if its group has another.
+ties share a fingerprint and so a component. A null id never names a component if its group has another. Very long
+texts are hashed whole, in slices; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -100,6 +100,15 @@ def test_simhash_edges(spark, tmp_path):
     assert simhash.op3_simhash(spark, str(tmp_path)).count() == 0
 
 
+def test_simhash_of_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{i % 977}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, None), (None, "")], "doc_id long, text string").selectExpr("*", "1 as fp", "2 as key", "3 as node", "text as digest")
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.groups(docs).collect()}
+    assert got[1][1] == got[2][1] == 1 and got[3] == got[None] == (0, 3) and got[1][0] == simhash.fingerprint(long)
+    pairs = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert pairs == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_duplicates_by_exact_similarity(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]

@@ -40,6 +40,18 @@ def test_bpe_query_digests(spark):
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}
 
 
+def test_bpe_edges(spark):
+    docs, path = edge_docs(spark), bpe.default_vocabulary()
+    assert bpe.encode_decode(docs.limit(0), path, keep_ids=True).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "doc_id as c0", "text as __text")
+    out = bpe.encode_decode(clash, path, carry=("c0", "__text"))
+    assert out.columns == ["doc_id", "c0", "__text", "n_tokens", "ids_sha256", "decoded_sha256"]
+    rows = out.collect()
+    assert len(rows) == len(EDGES) and all(r.decoded_sha256 == hashlib.sha256((r["__text"] or "").encode()).hexdigest() for r in rows)
+    repeats = [r.ids_sha256 for r in rows if r.doc_id == 5]
+    assert len(repeats) == 2 and len(set(repeats)) == 1
+
+
 def plain_phrases(text, pool):
     """Longest matches that cover the text, by plain search."""
     i = n = 0
