@@ -38,12 +38,17 @@ def keyword_match(cards: DataFrame, pool: str, keywords: list[str], match_all: b
     return out.where(F.size("witnesses") >= (len(keywords) if match_all else 1))
 
 
-def term_pool(episodes: DataFrame, timeline_terms: DataFrame) -> DataFrame:
+def term_pool(episodes: DataFrame, timeline_terms: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     """summary_id, pool: distinct terms of an episode's sources in order of first appearance.
 
     ``timeline_terms``: (source_id, term). Terms are reduced to (summary, term) before they are gathered, so a
-    pool is bounded by its distinct terms.
+    pool is bounded by its distinct terms. With ``keywords`` only the terms that can witness one are pooled.
     """
+    if keywords:
+        held = F.lit(False)
+        for k in keywords:
+            held = held | F.contains(F.lower("term"), F.lit(k.lower()))
+        timeline_terms = timeline_terms.where(held)
     rows = episodes.select("summary_id", F.posexplode("source_ids").alias("pos", "source_id")).join(timeline_terms, "source_id")
     firsts = rows.groupBy("summary_id", "term").agg(F.min("pos").alias("pos"))
     return firsts.groupBy("summary_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("pool"))

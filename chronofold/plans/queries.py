@@ -274,7 +274,7 @@ def _keyword_sql(keep: str) -> str:
 def _keyword(spark, sf_dir, match_all: bool) -> DataFrame:
     t, e, _ = _tiers(spark, sf_dir)
     terms = t.select("source_id", F.explode(F.array_distinct(fx.tokens(F.col("content")))).alias("term"))
-    pool = catalog.term_pool(e, terms)
+    pool = catalog.term_pool(e, terms, ["ther", "ing"])
     return catalog.keyword_match(pool, "pool", ["ther", "ing"], match_all).select("summary_id", F.size("witnesses").cast("long").alias("n_hits"))
 
 
