@@ -43,8 +43,8 @@ from .common import read_table, written
 PAGES_PER_HOST = 12
 LEAST_PAGES = 3
 #: Text that is literal on this share of a host's pages; pages are copies if more than this share of an article, or of
-#: a page without one, is literal; a place is content from so many words a text on.
-LITERAL, COPY_ARTICLE, COPY_PAGE, PROSE = 0.8, 0.5, 0.8, 8.0
+#: a page without one, is literal; a place is content from so many words a text on (labels and teasers have fewer).
+LITERAL, COPY_ARTICLE, COPY_PAGE, PROSE = 0.8, 0.5, 0.8, 20.0
 BROADCAST_BYTES = 4_000_000
 BROADCAST_HOSTS = 100_000
 
