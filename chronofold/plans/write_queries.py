@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compaction, navigation, upkeep
+from ..operators import compaction, navigation, snippets, upkeep
 from ..operators import timeline as tl
 from ..sources import adapters as src
 from ..sources import writers
@@ -27,9 +27,10 @@ def chat_writer(spark, sf_dir):
     return out.select("source_id", "kind", "retrieval_visibility", "index_status", F.md5("content").alias("h"), "date_label", "time_of_day")
 
 
-@query(f"with {EV} select source_id, kind, kind || chr(10) || 'k: ' || k as content, 'explicit' as retrieval_visibility, false as semanticize, {_DATE.format('timestamp')} as date_label from ev")
+@query(f"with {EV} select source_id, kind, 'source: ' || event_type || chr(10) || 'k: ' || k || chr(10) || 'value: ' || event_id as content, 'explicit' as retrieval_visibility, false as semanticize, {_DATE.format('timestamp')} as date_label from ev")
 def external_event_writer(spark, sf_dir):
-    out = writers.external_event(_events(spark, sf_dir), TZ, F.concat(F.lit(" EVENT."), F.upper("event_type")), ["k"])
+    e = _events(spark, sf_dir).withColumn("value", F.substring("source_id", 2, 20))
+    out = writers.external_event(e, TZ, F.concat(F.lit(" EVENT."), F.upper("event_type")), ["value", "k"], F.concat("event_type", F.lit("\t ")))
     return out.select("source_id", "kind", "content", "retrieval_visibility", "semanticize", "date_label")
 
 
@@ -42,10 +43,10 @@ def tool_exchange_writer(spark, sf_dir):
     return out.select("source_id", "kind", "timestamp", "turn_role", "correlation_id", "content")
 
 
-@query(f"with {EV} select source_id, case when k % 2 = 0 then 'material.cleanup' else 'material.reference' end as kind, case when k % 2 = 0 then 'environment' else 'user' end as origin, case when k % 2 = 0 then '[material removed] f' || k else '[material] f' || k || ' handle=h' || event_id end as content from ev")
+@query(f"with {EV} select source_id, case when k % 2 = 0 then 'material.cleanup' else 'material.reference' end as kind, case when k % 2 = 0 then 'environment' else 'user' end as origin, case when k % 2 = 0 then 'source: attachment_cleanup' else 'source: attachment' end || chr(10) || 'file_id: h' || event_id || chr(10) || 'kind: pdf' || chr(10) || 'filename: f' || k || '.PDF' || chr(10) || case when k % 2 = 0 then 'file_status: deleted' else 'file_status: available' end as content from ev")
 def material_writer(spark, sf_dir):
     e = _events(spark, sf_dir)
-    out = writers.material(e, TZ, F.concat(F.lit("h"), F.substring("source_id", 2, 20)), F.concat(F.lit("f"), "k"), F.col("k") % 2 == 0)
+    out = writers.material(e, TZ, F.concat(F.lit("h"), F.substring("source_id", 2, 20)), F.concat(F.lit("f"), "k", F.lit(".PDF")), F.col("k") % 2 == 0)
     return out.select("source_id", "kind", "origin", "content")
 
 
@@ -241,3 +242,18 @@ def wire_conformance(spark, sf_dir):
 def ledger_rows(spark, sf_dir):
     t = src.trace_timeline(spark, sf_dir).withColumn("position", F.col("seq_no"))
     return upkeep.rows_of_turns(t.where("turn_id <> ''"), t.where("k = 7")).select("turn_id", "source_id", "position")
+
+
+@query(f"""with {XE}, r as (select *, 'said ' || summary_id as body from xe) select summary_id, '【摘要回忆】[类型:trip] ' || body || chr(10) || '记忆情绪:calm / warm / sad' || chr(10) || '关键事件:' || array_to_string(source_ids, ';') || chr(10) || 'memory_id: "' || summary_id || '"' as text from r""")
+def summary_snippets(spark, sf_dir):
+    """Summaries as they are shown, but for the time label, which has a query of its own."""
+    e = src.trace_episodes(src.trace_timeline(spark, sf_dir))
+    rows = e.select("summary_id", "period_start_ts", "period_end_ts", F.concat(F.lit("said "), "summary_id").alias("diary_summary"), F.lit("trip").alias("event_type"), F.col("source_ids").alias("key_events"), F.array().cast("array<string>").alias("core_facts"), F.array(*map(F.lit, ("calm", "warm", "sad", "happy"))).alias("mood_tags"))
+    text = snippets.snippet(rows.columns, "summary", TZ)
+    return rows.select("summary_id", F.regexp_replace(text, r"^(【摘要回忆】\[).*? \| (类型:)", "$1$2").alias("text"))
+
+
+@query("select doc_id, md5('input:' || chr(10) || '{\"l\":' || length(text) || '}') as call_md5, md5('source: ' || source || chr(10) || 'output:' || case when trim(text, ' ') <> '' then chr(10) || trim(text, ' ') else '' end) as result_md5 from documents where text is not null")
+def call_texts(spark, sf_dir):
+    d = src.table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", F.md5(snippets.call_text(F.to_json(F.struct(F.length("text").alias("l"))))).alias("call_md5"), F.md5(snippets.result_text(F.col("text"), F.concat(F.lit(" "), "source"))).alias("result_md5"))

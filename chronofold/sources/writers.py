@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import date_label, time_of_day
+from ..operators import snippets
 
 #: What is compared when a row comes again.
 IDENTITY = ("tenant_id", "user_id", "domain_id", "conversation_id", "kind", "origin", "turn_role", "turn_id", "correlation_id", "content", "timestamp")
@@ -37,9 +38,9 @@ def host_event(kind: Column) -> Column:
     return F.when(low.rlike(r"^event(\.[a-z0-9_-]+)+$"), low).otherwise(F.raise_error(F.concat(F.lit("unsupported_host_event: "), F.coalesce(kind, F.lit("null")))).cast("string"))
 
 
-def external_event(rows: DataFrame, tz: str, kind: Column, fields: list[str]) -> DataFrame:
+def external_event(rows: DataFrame, tz: str, kind: Column, fields: list[str], source: Column | None = None) -> DataFrame:
     """Events as entries that are found only when asked for and are not summarised into memory."""
-    text = F.concat_ws("\n", host_event(kind), *[F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}: "), F.col(f).cast("string"))) for f in fields])
+    text = snippets.event_text({f: F.col(f) for f in fields}, source)
     return entry(rows, tz, host_event(kind), F.lit("environment"), text, "explicit", "explicit", turn_role=F.lit("stimulus"), semanticize=F.lit(False), payload=F.to_json(F.struct(*fields)))
 
 
@@ -57,7 +58,8 @@ def tool_exchange(rows: DataFrame, tz: str, tool: Column, call_id: Column, argum
 
 def material(rows: DataFrame, tz: str, handle: Column, name: Column, removed: Column) -> DataFrame:
     """A file that came in (as the user's), or that was cleaned up (as the environment's): text and payload say which."""
-    text = F.when(removed, F.concat(F.lit("[material removed] "), name)).otherwise(F.concat(F.lit("[material] "), name, F.lit(" handle="), handle))
+    kind = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    text = F.when(removed, snippets.material_text(handle, kind, name, F.lit("deleted"), removed=True)).otherwise(snippets.material_text(handle, kind, name, F.lit("available")))
     return entry(
         rows, tz, F.when(removed, "material.cleanup").otherwise("material.reference"), F.when(removed, "environment").otherwise("user"), text, "explicit", "explicit",
         turn_role=F.when(removed, "observation").otherwise("stimulus"), semanticize=F.lit(False), payload=F.to_json(F.struct(handle.alias("handle"), name.alias("name"), removed.alias("removed"))),
