@@ -89,7 +89,7 @@ def tenure_note(spark, sf_dir):
 
 @query(f"""with {TR} select turn_id, string_agg(kind || case when status <> '' then ' status=' || status else '' end || case when correlation_id <> '' then ' correlation=' || correlation_id else '' end || case when k % 2 = 0 then ' retention_anchor={{"k":' || k || '}}' else '' end, '；' order by seq_no) as digest, cast(count(*) as integer) as n_entries, cast(0.2 as double) as importance
 from tr where turn_id <> '' and turn_role in ('action', 'observation') group by 1""")
-def operation_digest(spark, sf_dir):
+def digest_of_operations(spark, sf_dir):
     t = src.trace_timeline(spark, sf_dir).where("turn_id <> ''").where(~compaction.is_episode_entry(F.col("kind"), F.col("turn_role")))
     rows = t.withColumn("tool", F.lit("")).withColumn("anchor", F.when(F.col("k") % 2 == 0, F.to_json(F.struct("k"))))
     return compaction.operation_digest(rows, ["turn_id"], ["seq_no"]).select("turn_id", "digest", "n_entries", "importance")
