@@ -61,18 +61,18 @@ def small(df: DataFrame) -> DataFrame:
 
 def shared_keys(posts: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """Of ``posts`` (node, h, ...; a node posts a key once) the keys (h, n) of several nodes, and the hot ones."""
-    shared = written(posts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    shared = written(posts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys", compact=True)
     return shared, shared.where(F.col("n") > hot_limit(rows))
 
 
 def verified(pairs: DataFrame, payloads: DataFrame, test: Test, rows: int) -> DataFrame:
     """The similar ones among ``pairs`` (a, b); a head's payload is sent once to each chunk of its partners."""
     # Heads of more than a chunk of partners: at most rows / CHUNK_ROWS of them.
-    many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")).where("chunks > 1"), "many-partners")
+    many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")).where("chunks > 1"), "many-partners", compact=True)
     many = F.broadcast(many) if rows // CHUNK_ROWS <= BROADCAST_ROWS else many
     dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"))
     head = dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("place"), F.col("a").alias("node"))
-    asked = small(written(head.unionByName(dealt.select("a", "chunk", F.lit(1).alias("place"), F.col("b").alias("node"))), "asked-payloads"))
+    asked = small(written(head.unionByName(dealt.select("a", "chunk", F.lit(1).alias("place"), F.col("b").alias("node"))), "asked-payloads", compact=True))
     ordered = payloads.join(asked, "node").select("a", "chunk", "place", "node", "payload").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "place")
 
     def check(batches):
@@ -137,14 +137,14 @@ def _fits(test: Test, x: Column, y: Column) -> Column:
 def connected(held: DataFrame, good: DataFrame, payloads: DataFrame, test: Test, hot: DataFrame, rows: int, few: int = FEW, tile_weight: int = TILE_WEIGHT) -> DataFrame:
     """(node, component) of all similar nodes that share a key of ``held``; ``good`` are similar pairs known so far."""
     linked = components(good)
-    at = written(held.join(linked, "node", "left").select("node", "size", F.coalesce("component", "node").alias("label"), F.explode("hs").alias("x")).select("node", "size", "label", "x.h", "x.n"), "labelled")
-    split = written(at.groupBy("h", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h", "n"), "open-keys")
+    at = written(held.join(linked, "node", "left").select("node", "size", F.coalesce("component", "node").alias("label"), F.explode("hs").alias("x")).select("node", "size", "label", "x.h", "x.n"), "labelled", compact=True)
+    split = written(at.groupBy("h", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h", "n"), "open-keys", compact=True)
     if not split.limit(1).count():
         return linked
     meet = at.join(split.where(F.col("n") <= few).select("h"), "h", "left_semi").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("node", "label", "size"))).alias("m"))
     other = lambda x: lambda y: (x["label"] != y["label"]) & _fits(test, x["size"], y["size"])
     both = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, max(few, 1)), other(x)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    more = written(meet.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct().join(good, ["a", "b"], "left_anti"), "candidates")
+    more = written(meet.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct().join(good, ["a", "b"], "left_anti"), "candidates", compact=True)
     good = good.unionByName(verified(more, payloads, test, rows))
     crowd = by_key(at, split.where(F.col("n") > few).select("h"), "h", hot).select("node", "label", "size").distinct()
     crowd = written(crowd.join(payloads, "node"), "crowded")
@@ -156,5 +156,5 @@ def connected(held: DataFrame, good: DataFrame, payloads: DataFrame, test: Test,
 def named(nodes: DataFrame, linked: DataFrame, first: Column, rows: int) -> DataFrame:
     """``nodes`` (node, ...) with ``first``, an aggregate of the columns of each component's nodes (a lone node is one)."""
     labelled = nodes.join(linked, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    least = written(labelled.groupBy("label").agg(first.alias("first"), F.count("*").alias("n")), "component-names")
+    least = written(labelled.groupBy("label").agg(first.alias("first"), F.count("*").alias("n")), "component-names", compact=True)
     return by_key(labelled, least.select("label", "first"), "label", least.where(F.col("n") > hot_limit(rows)))

@@ -45,7 +45,7 @@ class _Runs(Exception):
 
 
 class RankArrayBpe:
-    def __init__(self, spec: str, cache_limit: int = 120_000):
+    def __init__(self, spec: str, cache_limit: int = 60_000):
         data = json.loads(spec)
         vocab, alphabet = data["model"]["vocab"], byte_alphabet()
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}

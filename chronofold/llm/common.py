@@ -32,11 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Files of a table that is written for a later step, for each core: small partitions share one.
+FILES_PER_CORE = 4
+
+
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    With ``compact`` the partitions of a wide shuffle go to a few files a core, for tables that are small beside it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    out = df.coalesce(max(8, FILES_PER_CORE * spark.sparkContext.defaultParallelism)) if compact else df
+    out.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:

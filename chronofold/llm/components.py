@@ -23,7 +23,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Only nodes with an edge to another node are returned; self loops and nulls are ignored.
     """
     least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    current = written(edges.where("a <> b").select(least, most).distinct(), "edges")
+    current = written(edges.where("a <> b").select(least, most).distinct(), "edges", compact=True)
     state = _state(current)
     for _ in range(most_rounds):
         if not state[0]:
@@ -33,7 +33,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e"))
-        after = written(small.select("e.a", "e.b").where("a <> b").select(least, most).distinct(), "edges")
+        after = written(small.select("e.a", "e.b").where("a <> b").select(least, most).distinct(), "edges", compact=True)
         dropped(current)
         current, before = after, state
         state = _state(current)

@@ -47,8 +47,8 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def ranked_phrases(words: DataFrame, phrase: DataFrame) -> DataFrame:
     """phrase, ph (its hash), n, and its two rarest terms with their offsets (equal for one-word phrases)."""
-    vocabulary = written(phrase.select(F.explode("phrase").alias("term")).distinct(), "decontam-vocabulary")
-    counts = written(words.select(F.explode("w").alias("term")).join(_small(vocabulary), "term").groupBy("term").count(), "decontam-counts")
+    vocabulary = written(phrase.select(F.explode("phrase").alias("term")).distinct(), "decontam-vocabulary", compact=True)
+    counts = written(words.select(F.explode("w").alias("term")).join(_small(vocabulary), "term").groupBy("term").count(), "decontam-counts", compact=True)
     places = phrase.select("phrase", F.posexplode("phrase").alias("off", "term")).join(_small(counts), "term", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "off", "term")))
     ranked = places.groupBy("phrase").agg(order.alias("order")).where(F.col("order")[0]["count"] > 0)
@@ -64,15 +64,15 @@ class Index:
     def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW):
         docs, items = docs.select("doc_id", F.col("text").cast("string").alias("text")), items.select("item_id", F.col("text").cast("string").alias("text"))
         self.words = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), plain_words(F.col("text")).alias("w")), "decontam-words")
-        self.items = written(phrases(items, window), "decontam-phrases")
-        self.ranked = written(ranked_phrases(self.words, self.items.select("phrase").distinct()), "decontam-ranked")
-        terms = written(self.ranked.select(F.explode(F.array("term1", "term2")).alias("term")).distinct(), "decontam-terms")
+        self.items = written(phrases(items, window), "decontam-phrases", compact=True)
+        self.ranked = written(ranked_phrases(self.words, self.items.select("phrase").distinct()), "decontam-ranked", compact=True)
+        terms = written(self.ranked.select(F.explode(F.array("term1", "term2")).alias("term")).distinct(), "decontam-terms", compact=True)
         tokens = self.words.select("doc_id", "text_hash", F.posexplode("w").alias("pos", "term"))
         self.postings = written(tokens.join(_small(terms), "term"), "decontam-postings")
 
     def _moved(self, which: int) -> DataFrame:
         """The list of each phrase's term ``which``, moved back by its offset: doc_id, text_hash, ph, start."""
-        plan = written(self.ranked.select("ph", F.col(f"term{which}").alias("term"), F.col(f"off{which}").alias("off")), "decontam-plan")
+        plan = written(self.ranked.select("ph", F.col(f"term{which}").alias("term"), F.col(f"off{which}").alias("off")), "decontam-plan", compact=True)
         return self.postings.join(_small(plan), "term").select("doc_id", "text_hash", "ph", (F.col("pos") - F.col("off")).alias("start"))
 
     def meetings(self) -> DataFrame:
@@ -82,10 +82,10 @@ class Index:
 
     def exact(self) -> DataFrame:
         """doc_id, text_hash, phrase, n, start of every occurrence."""
-        known = written(self.ranked.select("ph", "phrase", "n"), "decontam-known")
+        known = written(self.ranked.select("ph", "phrase", "n"), "decontam-known", compact=True)
         met = self.meetings().join(_small(known.select("ph", "n")), "ph")
         # A document's starts are bounded by its length and the phrases.
-        met = written(met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n", "ph")).alias("met")), "decontam-met")
+        met = written(met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n", "ph")).alias("met")), "decontam-met", compact=True)
         tokens = self.words.alias("w").join(_small(met).alias("m"), _key("w", "m")).select("m.doc_id", "m.text_hash", "w", F.explode("met").alias("s"))
         found = tokens.select("doc_id", "text_hash", "s.ph", "s.n", "s.start", F.slice("w", F.col("s.start") + 1, F.col("s.n")).alias("phrase"))
         return found.join(_small(known.select("ph", "phrase")), ["ph", "phrase"], "left_semi").select("doc_id", "text_hash", "phrase", "n", "start").distinct()
@@ -123,13 +123,13 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     index = Index(docs, items, window)
-    hits = written(index.exact(), "decontam-hits")
+    hits = written(index.exact(), "decontam-hits", compact=True)
     # A document's starts and items are bounded by its length and the phrases, and both are sets.
     spans = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     named = hits.select("doc_id", "text_hash", "phrase").distinct().join(_small(index.items), "phrase")
     names = named.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("names"))
     found = spans.select("doc_id", "text_hash", covered(F.col("spans")).alias("n_hit")).alias("s").join(names.alias("t"), _key("s", "t")).select("s.doc_id", "s.text_hash", "n_hit", "names")
-    out = index.lengths().alias("d").join(_small(written(found, "decontam-found")).alias("f"), _key("d", "f"), "left")
+    out = index.lengths().alias("d").join(_small(written(found, "decontam-found", compact=True)).alias("f"), _key("d", "f"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "d.doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),

@@ -235,17 +235,17 @@ def copies(images: DataFrame, least_votes: int = LEAST_VOTES, few: int = blocks.
     test = Copies(least_votes)
     rows = written(corners(images), "media-corners")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "n_corners", "points", "words")).alias("first")
-    nodes = written(rows.groupBy(F.col("digest").alias("node")).agg(F.count("*").alias("copies"), first).select("node", "copies", "first.*"), "media-nodes")
+    nodes = written(rows.groupBy(F.col("digest").alias("node")).agg(F.count("*").alias("copies"), first).select("node", "copies", "first.*"), "media-nodes", compact=True)
     posts = nodes.select("node", F.explode("words").alias("h"))
     sizes = nodes.agg(F.sum(F.size("words")), F.sum("copies")).first()
     total, n_rows = sizes[0] or 0, sizes[1] or 0
     shared, hot = blocks.shared_keys(posts, total)
-    held = written(blocks.by_key(posts, shared, "h", hot).groupBy("node").agg(F.collect_list(F.struct("n", "h")).alias("hs")).join(nodes.select("node", F.col("n_corners").alias("size")), "node"), "media-shared")
+    held = written(blocks.by_key(posts, shared, "h", hot).groupBy("node").agg(F.collect_list(F.struct("n", "h")).alias("hs")).join(nodes.select("node", F.col("n_corners").alias("size")), "node"), "media-shared", compact=True)
     payloads = nodes.select("node", F.col("points").alias("payload"))
-    good = written(blocks.verified(written(blocks.star(held, test, hot), "media-candidates"), payloads, test, total), "media-links")
+    good = written(blocks.verified(written(blocks.star(held, test, hot), "media-candidates"), payloads, test, total), "media-links", compact=True)
     linked = blocks.connected(held, good, payloads, test, hot, total, few, tile_weight)
     named = blocks.named(nodes.select("node", "id"), linked, F.min("id"), n_rows)
-    named = written(named.select(F.col("node").alias("digest"), F.col("first").alias("class_id")), "media-classes")
+    named = written(named.select(F.col("node").alias("digest"), F.col("first").alias("class_id")), "media-classes", compact=True)
     often = nodes.where(F.col("copies") > blocks.hot_limit(n_rows)).select(F.col("node").alias("digest"))
     return blocks.by_key(rows.select("id", "digest", "n_corners"), named, "digest", often).select("id", "class_id", "n_corners")
 

@@ -66,7 +66,7 @@ def parsed(messages: DataFrame) -> DataFrame:
 def answers(messages: DataFrame) -> DataFrame:
     """conv_id, mid, turn, reply_to (a turn) for messages with a resolved passage."""
     live = messages.where("turn is not null")
-    lengths = written(live.select("conv_id", F.explode("passages.n").alias("n")).groupBy("conv_id").agg(F.collect_set("n").alias("lengths")), "passage-lengths")
+    lengths = written(live.select("conv_id", F.explode("passages.n").alias("n")).groupBy("conv_id").agg(F.collect_set("n").alias("lengths")), "passage-lengths", compact=True)
     quoting = live.alias("m").join(lengths.alias("q"), F.expr("m.conv_id <=> q.conv_id")).select("m.conv_id", "turn", "mid", "own", "passages", "lengths")
     asked = quoting.select("conv_id", "turn", "mid", F.explode("passages").alias("p")).select("conv_id", "turn", "mid", "p.level", "p.n", "p.h")
     words = quoting.select("conv_id", "turn", "own", words_of(F.array_join("own", " ")).alias("w"), F.explode("lengths").alias("n")).where(F.size("w") >= F.col("n"))
@@ -85,11 +85,11 @@ def answers(messages: DataFrame) -> DataFrame:
 
 def threads(replies: DataFrame) -> DataFrame:
     """conv_id, turn, thread (the turn that starts it) by pointer doubling over the answered turns."""
-    current = written(replies.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("thread")), "threads")
+    current = written(replies.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("thread")), "threads", compact=True)
     for _ in range(64):
         up = current.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("above"))
         joined = current.alias("c").join(up.alias("u"), F.expr("c.conv_id <=> u.conv_id and c.thread = u.thread"), "left")
-        after = written(joined.select("c.conv_id", "turn", F.coalesce("above", F.col("c.thread")).alias("thread"), F.col("above").isNotNull().alias("moved")), "threads")
+        after = written(joined.select("c.conv_id", "turn", F.coalesce("above", F.col("c.thread")).alias("thread"), F.col("above").isNotNull().alias("moved")), "threads", compact=True)
         moved = after.where("moved").limit(1).count()
         dropped(current)
         current = after.drop("moved")
@@ -101,7 +101,7 @@ def threads(replies: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """Every message without quotes, with what it answers and its place in the reply order."""
     rows = parsed(messages)
-    replies = written(answers(rows), "replies")
+    replies = written(answers(rows), "replies", compact=True)
     joined = rows.drop("own", "passages").alias("r").join(replies.alias("a"), F.expr("r.conv_id <=> a.conv_id and r.mid = a.mid"), "left").select("r.*", "reply_to")
     if replies.limit(1).count():
         joined = joined.alias("r").join(threads(replies).alias("t"), F.expr("r.conv_id <=> t.conv_id and r.turn = t.turn"), "left").select("r.*", "thread")

@@ -173,7 +173,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
     n_hot = hot.count() if nodes.count() > tile_rows else 0
     if not n_hot:
         return rows.repartition("key").sortWithinPartitions("key").select("key", "fp", "node").mapInArrow(lambda b: _runs(b, radius, node_type), schema)
-    hot = written(hot, "hot-segments")
+    hot = written(hot, "hot-segments", compact=True)
     cold = rows.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").select("key", "fp", "node").mapInArrow(lambda b: _runs(b, radius, node_type), schema)
     # Hot values: bands of radius + 1 population counts, each cut by hash into tiles of about tile_rows.
     banded = rows.join(hot, "key", "left_semi").withColumn("band", F.floor(F.col("pop") / (radius + 1)).cast("int"))
@@ -347,7 +347,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     rows = written(_sets(docs, shingle, False), "shingle-sketches")
     nodes = rows.groupBy(F.col("digest").alias("node")).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash", "size", "fp", "low")).alias("first"))
-    nodes = written(nodes.select("node", "copies", "first.*"), "nodes")
+    nodes = written(nodes.select("node", "copies", "first.*"), "nodes", compact=True)
     # 1. SimHash fingerprints.
     prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same = nodes.join(prints, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
@@ -360,19 +360,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     least = F.get(F.array(*[F.lit(test.in_sketch(n)) for n in range(SKETCH + 1)]), F.least("size", F.lit(SKETCH)).cast("int"))
     # The first places of the rarest go to hashes of no other node.
     room = F.size("hs") - least + 1
-    held = written(held.where(room > 0).select("node", "size", F.slice("hs", F.lit(1), room).alias("hs")), "sharing-nodes")
-    pairs = written(pairs.unionByName(blocks.star(held, test, hot)).distinct(), "candidates")
+    held = written(held.where(room > 0).select("node", "size", F.slice("hs", F.lit(1), room).alias("hs")), "sharing-nodes", compact=True)
+    pairs = written(pairs.unionByName(blocks.star(held, test, hot)).distinct(), "candidates", compact=True)
     ends = held.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    wanted = blocks.small(written(nodes.join(ends, "node").select("doc_id", "text_hash", "node"), "wanted"))
+    wanted = blocks.small(written(nodes.join(ends, "node").select("doc_id", "text_hash", "node"), "wanted", compact=True))
     texts = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(wanted.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
     if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["doc_id", "text_hash"])
     sets = written(_sets(texts, shingle, True).join(wanted, ["doc_id", "text_hash"]).select("node", F.col("hashes").alias("payload")), "shingle-sets")
-    good = written(blocks.verified(pairs, sets, test, total), "similar")
+    good = written(blocks.verified(pairs, sets, test, total), "similar", compact=True)
     linked = blocks.connected(held, good, sets, test, hot, total, few, tile_hashes)
     n_rows = nodes.agg(F.sum("copies")).first()[0] or 0
     named = blocks.named(nodes.select("node", "doc_id", "text_hash"), linked, F.min(F.struct("doc_id", "text_hash")), n_rows)
-    named = written(named.select(F.col("node").alias("digest"), F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text")), "named")
+    named = written(named.select(F.col("node").alias("digest"), F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text")), "named", compact=True)
     often = nodes.where(F.col("copies") > blocks.hot_limit(n_rows)).select(F.col("node").alias("digest"))
     return blocks.by_key(rows.select("doc_id", "text_hash", "digest"), named, "digest", often).select("doc_id", "text_hash", "component_id", "component_text")
 
@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs`` (doc_id, text)."""
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes", compact=True)
     linked = components(links(nodes.where(F.col("node").isNotNull()), radius, tile_rows))
     named = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -65,9 +65,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _frugal(spark)
-    groups = written(simhash.near_duplicates(docs, measure="cosine"), "groups")
+    groups = written(simhash.near_duplicates(docs, measure="cosine"), "groups", compact=True)
     copies = groups.where("doc_id <> component_id or text_hash <> component_text").select("doc_id", "text_hash").distinct()
-    copies = _small(written(copies, "copies"))
+    copies = _small(written(copies, "copies", compact=True))
     kept = docs.alias("d").join(copies.alias("c"), F.expr("d.doc_id = c.doc_id and xxhash64(coalesce(cast(d.text as string), '')) = c.text_hash"), "left_anti").select(*docs.columns)
     if not groups.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         return kept
@@ -76,7 +76,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = written(decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")), "leaks")
+    leaks = written(decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")), "leaks", compact=True)
     known = docs.alias("d").join(_small(leaks).alias("l"), F.expr("d.doc_id <=> l.doc_id and xxhash64(cast(d.text as string)) = l.text_hash"), "left_anti")
     return known.select(*docs.columns)
 
