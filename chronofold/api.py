@@ -279,6 +279,68 @@ class Engine:
                 continue
         return {"status": "conflict", "generation": self.store.generation("episodes")}
 
+    def repair(self, summariser, now: int, trigger: int = 10, batch: int = 5) -> dict:
+        """Bring this owner's semantic summaries back to contiguous runs of episodes, in one commit with a journal entry.
+
+        The plan is made of ids alone and tells what it found; nothing is written unless it is ready and every group
+        has a text. The commit holds only on the generation that was planned on.
+        """
+        base, n = self.store.generation("semantics"), self.namespace
+        mine = self._scoped("episodes").select("summary_id", "timestamp", "source_ids", "summary")
+        old = [r.asDict(True) for r in self._scoped("semantics").collect()]
+        held = {i for r in old for i in r["source_summary_ids"]}
+        episodes = [r.asDict(True) | {"is_semanticized": r.summary_id in held} for r in mine.drop("summary").collect()]
+        ids = self.spark.createDataFrame([(i,) for i in sorted({i for e in episodes for i in e["source_ids"]})], "source_id string")
+        raw = {r.source_id for r in self._scoped("timeline").join(F.broadcast(ids), "source_id", "left_semi").select("source_id").collect()}
+        plan = compaction.repair_plan(episodes, old, raw, base, trigger, batch)
+        if plan["status"] != "ready":
+            return plan
+        span = mine.join(F.broadcast(self.spark.createDataFrame([(g, i, p) for g, ids in zip(plan["new_ids"], plan["groups"], strict=True) for p, i in enumerate(ids)], "semantic_id string, summary_id string, place int")), "summary_id") if plan["groups"] else None
+        table = self.store.read("semantics", base)
+        kept = table.where(~F.col("semantic_id").isin(plan["affected"]))
+        if span is not None:
+            rows = span.groupBy("semantic_id").agg(F.max("timestamp").alias("timestamp"), F.array_sort(F.collect_list(F.struct("place", "summary_id", "summary"))).alias("r"))
+            rows = rows.withColumns({"source_summary_ids": F.transform("r", lambda x: x["summary_id"]), "lines": F.transform("r", lambda x: x["summary"])})
+            made = rows.join(compaction.summarise(rows, "semantic_id", "lines", summariser), "semantic_id").where("summary is not null")
+            if made.count() < len(plan["groups"]):
+                return plan | {"status": "unavailable", "reason": "summariser_failed"}
+            stamped = made.drop("r", "lines").withColumns({"tenant_id": F.lit(n.tenant_id), "user_id": F.lit(n.user_id), "domain_id": F.lit(n.domain_id)})
+            kept = kept.unionByName(stamped, allowMissingColumns=True)
+        try:
+            generation = self.store.commit("semantics", kept, base, replace=True)
+        except CommitConflict:
+            return plan | {"status": "conflict"}
+        gone = [r for r in old if r["semantic_id"] in plan["affected"]]
+        self._journal(plan["repair_id"], now, "applied", plan["replacements"], base, plan["new_ids"])
+        return plan | {"generation": generation, "removed": [r["semantic_id"] for r in gone]}
+
+    def _journal(self, repair_id: str, now: int, status: str, replacements: dict, base: int, made: list[str]) -> None:
+        n = self.namespace
+        row = [(n.tenant_id, n.user_id, n.domain_id, repair_id, now, status, replacements, base, made)]
+        self.store.commit("repairs", self.spark.createDataFrame(row, "tenant_id string, user_id string, domain_id string, repair_id string, applied_at long, status string, replacements map<string,array<string>>, base long, made array<string>"))
+
+    def rollback(self, repair_id: str, now: int) -> int:
+        """Undo a repair: its rows go, those of the generation that it was made on come back; the new generation."""
+        rows = self._scoped("repairs").where(F.col("repair_id") == repair_id).collect()
+        if not rows or any(r.status == "rolled_back" for r in rows):
+            raise KeyError(repair_id)
+        entry, base = rows[0], self.store.generation("semantics")
+        n = self.namespace
+        before = self.store.read("semantics", entry.base, (n.tenant_id, n.user_id, n.domain_id)).where(F.col("semantic_id").isin(list(entry.replacements)))
+        after = self.store.read("semantics", base).where(~F.col("semantic_id").isin(entry.made))
+        generation = self.store.commit("semantics", after.unionByName(before, allowMissingColumns=True), base, replace=True)
+        self._journal(repair_id, now, "rolled_back", entry.replacements, base, entry.made)
+        return generation
+
+    def replacements(self, ids: list[str]) -> dict[str, list[str]]:
+        """What stands for these memories after the repairs that hold."""
+        wanted = scans.ids(self.spark, ids).select("id")
+        if not self.store.generation("repairs"):
+            return {i: [i] for i in ids}
+        journal = self._scoped("repairs")
+        undone = journal.where("status = 'rolled_back'").select("repair_id")
+        return {r.id: r.replacements for r in navigation.replaced(wanted, journal.where("status = 'applied'").join(undone, "repair_id", "left_anti")).collect()}
+
     def embedding_status(self) -> dict:
         return {"provider": "hashed", "dimension": embedding.DIMENSION, "degraded": False}
 

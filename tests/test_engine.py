@@ -245,6 +245,27 @@ def test_run_due_folds_each_entry_once(spark, sf_dir, tmp_path):
     assert engine.run_due(1, calls, keep_recent=0)["status"] in ("conflict", "nothing_due") and engine.embedding_status()["dimension"] == 128
 
 
+def test_repairs_are_committed_and_undone(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), Namespace(user_id="u"), "UTC")
+    scope = "'' as tenant_id, 'u' as user_id, '' as domain_id"
+    engine.store.commit("timeline", spark.range(30).selectExpr(*scope.split(", "), "'c' as conversation_id", "concat('r', id) as source_id", "id as seq_no"))
+    engine.store.commit("episodes", spark.range(12).selectExpr(*scope.split(", "), "'c' as conversation_id", "concat('e', lpad(id, 2, '0')) as summary_id", "id as timestamp", "array(concat('r', id)) as source_ids", "concat('text ', id) as summary"))
+    rows = [("", "u", "", "m0", ["e00", "e01"]), ("", "u", "", "m1", ["e02", "e04"]), ("", "other", "", "x0", ["e00"])]
+    engine.store.commit("semantics", spark.createDataFrame(rows, "tenant_id string, user_id string, domain_id string, semantic_id string, source_summary_ids array<string>"))
+    assert engine.replacements(["m1"]) == {"m1": ["m1"]}
+    assert engine.repair(lambda lines: 1 / 0, 1, trigger=4, batch=2)["reason"] == "summariser_failed" and engine.store.generation("semantics") == 1
+    done = engine.repair(lambda lines: "+".join(lines), 1, trigger=4, batch=2)
+    table = {r.semantic_id: r for r in engine.store.read("semantics").collect()}
+    assert done["status"] == "ready" and set(table) == {"m0", "x0", *done["new_ids"]} and table[done["new_ids"][0]].source_summary_ids == ["e02", "e03"] and table[done["new_ids"][0]].summary == "text 2+text 3"
+    assert engine.repair(lambda lines: "x", 2, trigger=4, batch=2)["status"] == "clean"
+    assert engine.replacements(["m1", "m0"]) == {"m1": done["replacements"]["m1"], "m0": ["m0"]}
+    engine.rollback(done["repair_id"], 3)
+    assert {r.semantic_id: r.source_summary_ids for r in engine.store.read("semantics").collect()} == {"m0": ["e00", "e01"], "m1": ["e02", "e04"], "x0": ["e00"]}
+    assert engine.replacements(["m1"]) == {"m1": ["m1"]}
+    with pytest.raises(KeyError):
+        engine.rollback(done["repair_id"], 4)
+
+
 def test_index_versions(spark, tmp_path):
     index = TextIndex(LogStore(spark, str(tmp_path)))
     rows = lambda *r: spark.createDataFrame(r, "id string, text string, lang string, vector array<double>")
