@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions import times as tm
-from ..functions import documents, embedding, speech
+from ..functions import speech
 from ..operators import catalog, compaction, intervals, lineage, projection, retrieval, settlement
 from ..operators import timeline as tl
 from ..sources import adapters as src
