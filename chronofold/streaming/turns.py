@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,10 +29,11 @@ class TurnState:
 
     def __init__(self, status: str | None = None, calls: dict[str, str] | None = None):
         self.status, self.calls = status, dict(calls or {})
+        self.unanswered = sum(s != "done" for s in self.calls.values())
 
     @property
     def pending(self) -> int:
-        return sum(s != "done" for s in self.calls.values()) if self.status == "open" else 0
+        return self.unanswered if self.status == "open" else 0
 
     def apply(self, event: str, call: str = "", status: str = "") -> str:
         """The outcome of an event; only accepted ones change the state."""
@@ -52,12 +54,14 @@ class TurnState:
             if call in self.calls:
                 return "duplicate_call"
             self.calls[call] = "open"
+            self.unanswered += 1
             return "accepted"
         if event == "observation":
             if call not in self.calls:
                 return "call_not_found"
-            if status in FINAL:
+            if status in FINAL and self.calls[call] != "done":
                 self.calls[call] = "done"
+                self.unanswered -= 1
             return "accepted"
         if event == "complete":
             if self.pending > 0:
@@ -130,16 +134,25 @@ def turns(events: DataFrame, max_age_ms: int = 3_600_000, grace_ms: int = 3_600_
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """The same outcomes of a finished table, turn by turn."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        turn, out = TurnState(), []
-        for e in frame.sort_values(["timestamp", "seq"], kind="stable").itertuples():
-            outcome = turn.apply(e.event, e.correlation_id or "", e.status or "")
-            out.append((e.turn_key, e.event, e.correlation_id, outcome, turn.status or "", turn.pending))
-        return pd.DataFrame(out, columns=["turn_key", "event", "correlation_id", "outcome", "status", "pending"])
-
-    return events.groupBy("turn_key").applyInPandas(run, OUTPUT)
+    """The same outcomes of a finished table: turns lie one after the other, and one turn's state is held at a time."""
+    keys = [F.col(c).cast("string").alias(c) for c in ("turn_key", "event", "correlation_id", "status")]
+    order = [F.asc_nulls_last(c) for c in ("turn_key", "timestamp", "seq")]
+    rows = events.select(*keys, "timestamp", "seq").repartition("turn_key").sortWithinPartitions(*order).drop("timestamp", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, last = TurnState(), None
+        for batch in batches:
+            made = []
+            for key, event, call, status in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if key != last:
+                    turn, last = TurnState(), key
+                outcome = turn.apply(event, call or "", status or "")
+                made.append((outcome, turn.status or "", turn.pending))
+            outcomes, states, pending = zip(*made, strict=True) if made else ((), (), ())
+            new = [pa.array(outcomes, pa.string()), pa.array(states, pa.string()), pa.array(pending, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], ["turn_key", "event", "correlation_id", "outcome", "status", "pending"])
+
+    return rows.mapInArrow(run, OUTPUT)
 
 
 def spoken(chunks: DataFrame) -> DataFrame:

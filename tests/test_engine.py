@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import time
 import warnings
 from types import SimpleNamespace
@@ -320,6 +321,29 @@ def test_live_turns_equal_replay(spark, tmp_path):
     assert live == sorted(map(tuple, turns.replay(df).collect()))
 
 
+def test_replay_of_many_turns_and_of_a_long_one(spark):
+    """Turns go over batch borders, one turn has very many calls, and no turn costs a Python call of its own."""
+    rng = random.Random(5)
+    rows = [(f"t{i % 300}" if i % 301 else None, rng.choice(["begin", "action", "observation", "complete", "abort", "note"]), rng.choice(["a", "b", "", None]), rng.choice(["success", "pending", None]), rng.choice([i, i, None]), i) for i in range(6_000)]
+    n = 20_000
+    rows += [("long", "begin", "", "", 0, 0), *(("long", "action", f"c{i}", "", 1, i) for i in range(n)), *(("long", "observation", f"c{i}", "success", 2, i) for i in range(n)), ("long", "complete", "", "", 3, 0)]
+    want, state = [], {}
+    for key, event, call, status, *_ in sorted(rows, key=lambda r: (r[4] is None, r[4] or 0, r[5])):
+        turn = state.setdefault(key, turns.TurnState())
+        outcome = turn.apply(event, call or "", status or "")
+        want.append((key, event, call, outcome, turn.status or "", turn.pending))
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = turns.replay(spark.createDataFrame(rows, SCHEMA))
+        got = list(map(tuple, made.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [g[5] for g in got if g[0] == "long"] == [0, *range(1, n + 1), *range(n - 1, -1, -1), 0]
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_outbox_and_windows(spark, tmp_path, sf_dir):
     store = LogStore(spark, str(tmp_path / "store"))
     source = str(tmp_path / "in")
