@@ -123,20 +123,45 @@ def tiled(rest: DataFrame, test: Test, tile_weight: int = TILE_WEIGHT) -> DataFr
     return work.mapInArrow(compare, "a binary, b binary")
 
 
-def star(held: DataFrame, test: Test, hot: DataFrame) -> DataFrame:
-    """(a, b) of ``held`` (node, size, hs of n, h): each node with the one of a key whose keys are shared most."""
-    at = held.withColumn("central", F.aggregate("hs", F.lit(0).cast("long"), lambda x, y: x + y["n"])).select("node", "size", "central", F.explode("hs").alias("x")).select("node", "size", "central", "x.h")
-    pivots = at.groupBy("h").agg(F.max(F.struct("central", "node", "size")).alias("p")).select("h", F.col("p.node").alias("a"), F.col("p.size").alias("a_size"))
-    return by_key(at, pivots, "h", hot).where("node <> a").where(_fits(test, F.col("size"), F.col("a_size"))).select("a", F.col("node").alias("b")).distinct()
+def star(held: DataFrame, test: Test, hot: DataFrame, linked: DataFrame | None = None, foremost: bool = False) -> DataFrame:
+    """(a, b) of ``held`` (node, size, hs of n, h): each node with the one of a key whose keys are shared most.
+
+    Pairs of one component of ``linked`` (node, component) are left out. With ``foremost`` a node meets, of those of
+    all its keys, the one whose keys are shared most, so there are no more pairs than nodes."""
+    known = held if linked is None else held.join(linked, "node", "left")
+    label = F.col("node") if linked is None else F.coalesce("component", "node")
+    at = known.withColumn("central", F.aggregate("hs", F.lit(0).cast("long"), lambda x, y: x + y["n"])).select("node", "size", "central", label.alias("label"), F.explode("hs").alias("x")).select("node", "size", "central", "label", "x.h")
+    pivots = at.groupBy("h").agg(F.max(F.struct("central", "node", "size", "label")).alias("p")).select("h", "p")
+    pairs = by_key(at.drop("central"), pivots, "h", hot).where("label <> p.label").where(_fits(test, F.col("size"), F.col("p.size")))
+    if foremost:
+        return pairs.groupBy("node").agg(F.max("p").alias("p")).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+    return pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def starred(held: DataFrame, payloads: DataFrame, test: Test, hot: DataFrame, rows: int, name: str) -> DataFrame:
+    """(node, component) by the similar pairs of the stars. Most of a group hangs together by one pair a node, and
+    only what these leave apart meets the foremost nodes of all its keys."""
+    first = written(verified(written(star(held, test, hot, foremost=True), f"{name}-candidates", compact=True), payloads, test, rows), f"{name}-links", compact=True)
+    linked = written(components(first), f"{name}-groups", compact=True)
+    more = written(star(held, test, hot, linked), f"{name}-candidates", compact=True)
+    return joined(linked, written(verified(more, payloads, test, rows), f"{name}-links", compact=True))
+
+
+def joined(linked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``linked`` (node, component) with further similar ``pairs`` (a, b): one edge a node and one for each two groups."""
+    known = small(linked)
+    of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    edges = ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return components(linked.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").unionByName(edges))
 
 
 def _fits(test: Test, x: Column, y: Column) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * F.lit(max(test.ratio - 1e-9, 0.0))
 
 
-def connected(held: DataFrame, good: DataFrame, payloads: DataFrame, test: Test, hot: DataFrame, rows: int, few: int = FEW, tile_weight: int = TILE_WEIGHT) -> DataFrame:
-    """(node, component) of all similar nodes that share a key of ``held``; ``good`` are similar pairs known so far."""
-    linked = components(good)
+def connected(held: DataFrame, linked: DataFrame, payloads: DataFrame, test: Test, hot: DataFrame, rows: int, few: int = FEW, tile_weight: int = TILE_WEIGHT) -> DataFrame:
+    """(node, component) of all similar nodes that share a key of ``held``; ``linked`` is what is known so far."""
     at = written(held.join(linked, "node", "left").select("node", "size", F.coalesce("component", "node").alias("label"), F.explode("hs").alias("x")).select("node", "size", "label", "x.h", "x.n"), "labelled", compact=True)
     split = written(at.groupBy("h", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h", "n"), "open-keys", compact=True)
     if not split.limit(1).count():
@@ -144,13 +169,13 @@ def connected(held: DataFrame, good: DataFrame, payloads: DataFrame, test: Test,
     meet = at.join(split.where(F.col("n") <= few).select("h"), "h", "left_semi").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("node", "label", "size"))).alias("m"))
     other = lambda x: lambda y: (x["label"] != y["label"]) & _fits(test, x["size"], y["size"])
     both = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, max(few, 1)), other(x)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    more = written(meet.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct().join(good, ["a", "b"], "left_anti"), "candidates", compact=True)
-    good = good.unionByName(verified(more, payloads, test, rows))
+    more = written(meet.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct(), "candidates", compact=True)
+    good = verified(more, payloads, test, rows)
     crowd = by_key(at, split.where(F.col("n") > few).select("h"), "h", hot).select("node", "label", "size").distinct()
     crowd = written(crowd.join(payloads, "node"), "crowded")
     if crowd.limit(1).count():
         good = good.unionByName(tiled(crowd, test, tile_weight))
-    return components(good)
+    return joined(linked, written(good, "late-links", compact=True))
 
 
 def named(nodes: DataFrame, linked: DataFrame, first: Column, rows: int) -> DataFrame:

@@ -242,8 +242,8 @@ def copies(images: DataFrame, least_votes: int = LEAST_VOTES, few: int = blocks.
     shared, hot = blocks.shared_keys(posts, total)
     held = written(blocks.by_key(posts, shared, "h", hot).groupBy("node").agg(F.collect_list(F.struct("n", "h")).alias("hs")).join(nodes.select("node", F.col("n_corners").alias("size")), "node"), "media-shared", compact=True)
     payloads = nodes.select("node", F.col("points").alias("payload"))
-    good = written(blocks.verified(written(blocks.star(held, test, hot), "media-candidates"), payloads, test, total), "media-links", compact=True)
-    linked = blocks.connected(held, good, payloads, test, hot, total, few, tile_weight)
+    linked = blocks.starred(held, payloads, test, hot, total, "media")
+    linked = blocks.connected(held, linked, payloads, test, hot, total, few, tile_weight)
     named = blocks.named(nodes.select("node", "id"), linked, F.min("id"), n_rows)
     named = written(named.select(F.col("node").alias("digest"), F.col("first").alias("class_id")), "media-classes", compact=True)
     often = nodes.where(F.col("copies") > blocks.hot_limit(n_rows)).select(F.col("node").alias("digest"))

@@ -369,7 +369,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         texts = texts.dropDuplicates(["doc_id", "text_hash"])
     sets = written(_sets(texts, shingle, True).join(wanted, ["doc_id", "text_hash"]).select("node", F.col("hashes").alias("payload")), "shingle-sets")
     good = written(blocks.verified(pairs, sets, test, total), "similar", compact=True)
-    linked = blocks.connected(held, good, sets, test, hot, total, few, tile_hashes)
+    linked = blocks.connected(held, components(good), sets, test, hot, total, few, tile_hashes)
     n_rows = nodes.agg(F.sum("copies")).first()[0] or 0
     named = blocks.named(nodes.select("node", "doc_id", "text_hash"), linked, F.min(F.struct("doc_id", "text_hash")), n_rows)
     named = written(named.select(F.col("node").alias("digest"), F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text")), "named", compact=True)

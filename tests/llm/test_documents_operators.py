@@ -308,6 +308,24 @@ def test_tables_find_what_comparing_all_pairs_finds():
     assert sum(i >= 60 and j == source(i) for i, j in true) >= 0.9 * 60 * len(edits)
 
 
+def test_media_links_of_a_large_group_grow_with_its_images(spark, monkeypatch):
+    """Near copies of one picture share very many keys; no more than a few links an image are kept."""
+    from chronofold.llm import blocks
+
+    rng, seen, inner = np.random.default_rng(8), [], blocks.components
+    b = media.resize(rng.uniform(0, 255, (10, 10)).astype(np.float32), 80, 80)
+    rows = [(k, bytearray(media.encode_pgm(b + rng.normal(0, 6, b.shape)))) for k in range(90)]
+
+    def counted(edges):
+        seen.append(edges.count())
+        return inner(edges)
+
+    monkeypatch.setattr(blocks, "components", counted)
+    got = {r.id: r.class_id for r in media.copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert set(got.values()) == {0}
+    assert seen and max(seen) <= 3 * len(rows)
+
+
 def test_media_query_edges(spark, tmp_path):
     rows = [(1, [0.1] * 64, 0), (2, None, 1), (3, [], None), (4, [float("nan")] * 64, 0), (5, [float(i % 7) for i in range(64)], 0), (6, [float(i % 7) for i in range(64)], 1), (6, [float(i % 7) for i in range(64)], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as id", "2 as node")
