@@ -11,8 +11,9 @@ The score looks at the words of the restored text and at their beginnings: each
 of toxic against clean training texts less its standard error. A logistic model on a text's strongest and second
 strongest word, on all of its words together and on their share of the text gives the probability.
 
-Training reads at most about ``SAMPLE_ROWS`` labelled rows, taken by a hash of the id (of rows that repeat an id the
-greatest text); words and units count from ``LEAST_ROWS`` of them on. Every text is scored whole, very long ones
+Training reads every labelled row outside the held-out fold (of rows that repeat an id the greatest text); words and
+units count from ``LEAST_ROWS`` of them on. Counts and the sums of each Newton step are made where the rows lie, so the
+driver holds the words and units alone. Every text is scored whole, very long ones
 too. Null and empty texts have no units and get the model's floor. Without labelled rows of both kinds every score
 is 0. If an id is labelled twice, toxic wins. Repeated rows are scored each on its own. Any further columns may be
 carried along, under any name.
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import WordCache, added, crc_fold, read_table, written
 
-SAMPLE_ROWS = 12_000
+#: Labelled ids that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 LEAST_ROWS = 3
 PREFIXES = (4, 5, 6)
 
@@ -228,35 +230,47 @@ class Scorer:
         return [(self.score(t),) for t in texts]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
-    """Ridge logistic regression by Newton steps."""
-    a, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+def _logistic(rows: DataFrame, n: int, ridge: float = 1e-2) -> list[float]:
+    """Ridge logistic regression on all ``rows`` (x of n numbers, toxic) by Newton steps, each one pass of sums."""
+    w = np.zeros(n + 1)
     penalty = ridge * np.eye(len(w))
     penalty[0, 0] = 1e-6
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty, a.T @ (y - p) - penalty @ w)
-        w += step
+
+        def sums(batches, w=w):
+            slope, curve = np.zeros(len(w)), np.zeros((len(w), len(w)))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().reshape(-1, n)
+                y = (batch.column(1).to_numpy() > 0).astype(float)
+                a = np.column_stack([np.ones(len(x)), x])
+                p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+                slope += a.T @ (y - p)
+                curve += a.T @ (a * (p * (1 - p))[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array([slope.tolist()]), pa.array([curve.ravel().tolist()])], ["slope", "curve"])
+
+        parts = rows.mapInArrow(sums, "slope array<double>, curve array<double>").collect()  # a row a task
+        slope = np.sum([r["slope"] for r in parts], axis=0)
+        curve = np.sum([r["curve"] for r in parts], axis=0).reshape(len(w), len(w))
+        step = np.linalg.solve(curve + penalty, slope - penalty @ w)
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w.tolist()
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Fit on about ``sample_rows`` labelled rows. ``documents`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+def train(documents: DataFrame, labels: DataFrame) -> dict:
+    """Fit on all labelled rows outside the held-out fold. ``documents`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     none = {"words": {}, "units": {}, "coef": None}
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marked.count()
     if not n:
         return none
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    marked = marked.where(chance < min(1.0, sample_rows / n)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # The sample's ids are bounded by sample_rows, so they are broadcast to one scan of the texts.
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id")
-    sample = texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
-    sample = written(sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half")), "toxicity-sample")
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marked) if n <= BROADCAST_ROWS else marked, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    texts = written(texts.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half")), "toxicity-texts")
     spark = documents.sparkSession
-    words = sample.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("length(word) between 2 and 30")
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("length(word) between 2 and 30")
     lm = {r["word"]: r["count"] for r in words.groupBy("word").count().where(F.col("count") >= LEAST_ROWS).collect()}
     if not lm:
         return none
@@ -266,19 +280,22 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         noise = Deobfuscator(shared.value)
         cache = WordCache(lambda token: [u for w in noise.words(token) for u in units(w)], 10_000)
         for batch in batches:
-            tally: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tally: dict[tuple[str, int], list[int]] = {}
+            for text, toxic, half in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 low = (text or "").lower()
                 found = {u for token in set(low.split()) for u in cache[token]}
                 found.update(u for w in noise.spelled(low) for u in units(w))
                 for u in found:
-                    tally.setdefault(u, [0, 0])[toxic > 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(tally)), pa.array([v[1] for v in tally.values()], pa.int64()), pa.array([v[0] for v in tally.values()], pa.int64())], ["unit", "bad", "good"])
+                    tally.setdefault((u, half), [0, 0])[toxic > 0] += 1
+            columns = [[u for u, _ in tally], [v[1] for v in tally.values()], [v[0] for v in tally.values()], [h for _, h in tally]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["unit", "bad", "good", "half"])
 
     # One pass counts the units of both halves.
-    halves = [sample.where(F.col("half") == h).select("text", "toxic").mapInArrow(unit_rows, "unit string, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("half", F.lit(h)) for h in (0, 1)]
-    counts = written(halves[0].unionByName(halves[1]), "toxicity-units")
-    sizes = {(r["half"], r["toxic"] > 0): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
+    tallies = texts.select("text", "toxic", "half").mapInArrow(unit_rows, "unit string, bad long, good long, half long")
+    counts = written(tallies.groupBy("unit", "half").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "toxicity-units")
+    sizes = {(r["half"], r["bad"]): r["count"] for r in texts.groupBy("half", (F.col("toxic") > 0).alias("bad")).count().collect()}
+    if len({bad for _, bad in sizes}) < 2:
+        return none
 
     def fitted(kept: tuple[int, ...]) -> dict[str, float]:
         bad, good = (sum(sizes.get((h, kind), 0) for h in kept) for kind in (True, False))
@@ -290,7 +307,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         return {r["unit"]: r["w"] for r in both.where(F.col("bad") >= LEAST_ROWS).select("unit", (odds - spread).alias("w")).where("w > 0").collect()}
 
     # Each half's features come from units of the other, so no text is judged by units it brought.
-    y, x = [], []
+    features = []
     for h in (0, 1):
         scorer = spark.sparkContext.broadcast({"words": lm, "units": fitted((1 - h,)), "coef": None})
 
@@ -300,13 +317,9 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
                 made = pa.array([model.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([made, batch.column(1)], ["x", "toxic"])
 
-        # A few numbers for each row: at most sample_rows rows.
-        for r in sample.where(F.col("half") == h).select("text", "toxic").mapInArrow(feature_rows, "x array<double>, toxic int").collect():
-            x.append(r["x"])
-            y.append(float(r["toxic"] > 0))
-    if not y or min(y) == max(y):
-        return none
-    return {"words": lm, "units": fitted((0, 1)), "coef": _logistic(np.array(x), np.array(y))}
+        features.append(texts.where(F.col("half") == h).select("text", "toxic").mapInArrow(feature_rows, "x array<double>, toxic int"))
+    rows = written(features[0].unionByName(features[1]), "toxicity-features", compact=True)
+    return {"words": lm, "units": fitted((0, 1)), "coef": _logistic(rows, 4)}
 
 
 def score(df: DataFrame, model: dict, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

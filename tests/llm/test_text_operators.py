@@ -130,6 +130,16 @@ def test_toxicity_learns(spark):
     assert got == {1: True, 2: False, 3: False, 4: True, 5: False}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    docs = spark.range(16_000).selectExpr("id as doc_id", "if(id % 9 = 0, 'shared idiot', 'shared garden') as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 9 = 0) as toxic")
+    model = toxicity.train(docs, labels)
+    n = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").count()
+    assert n > 12_000
+    assert model["words"]["shared"] == n
+    assert toxicity.Scorer(model).score("idiot") > 0.5 > toxicity.Scorer(model).score("garden")
+
+
 def test_toxicity_edges(spark, tmp_path):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (6, None)], "doc_id long, toxic int")
