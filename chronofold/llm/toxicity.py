@@ -13,8 +13,8 @@ strongest word, on all of its words together and on their share of the text give
 
 Training reads every labelled row outside the held-out fold (of rows that repeat an id the greatest text); words and
 units count from ``LEAST_ROWS`` of them on. Counts and the sums of each Newton step are made where the rows lie, so the
-driver holds the words and units alone. Every text is scored whole, very long ones
-too. Null and empty texts have no units and get the model's floor. Without labelled rows of both kinds every score
+driver holds the words and units alone. What is made of the words is made once and sent to the workers, which keep it
+for all their tasks. Every text is scored whole, very long ones too. Null and empty texts have no units and get the model's floor. Without labelled rows of both kinds every score
 is 0. If an id is labelled twice, toxic wins. Repeated rows are scored each on its own. Any further columns may be
 carried along, under any name.
 """
@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +46,13 @@ SILENT = set(".-_*~^'`,:;/\\#\"=<>") | {" "}
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Four or more single characters with one to four separators between each.
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,4}(?:[^\W_]|[@$!|+])){3,}(?![^\W_])")
+#: The second and third character of any such run; a text without it is left alone.
+SPELLED_PART = re.compile(r"[ .\-_*][\w@$!|+][ .\-_*]{1,4}[\w@$!|+][ .\-_*]")
 GAP = re.compile(r"[ .\-_*]+")
 RUN = re.compile(r"(.)\1*", re.S)
 REPEAT = re.compile(r"([^\W\d_])\1\1")
 TRAIL = re.compile(r"([!?.,;:#%&*$])\1+$")
+EDGES = ".,;:?\"'()[]{}<>&%#*"
 LOG_SUB, LOG_DROP, LOG_RUN, LOG_KEEP = math.log(0.15), math.log(0.2), math.log(0.3), math.log(0.9)
 LOG_ODD = math.log(1e-4)
 #: A letter of a spelled-out run that belongs to no word of the training texts.
@@ -65,8 +70,9 @@ class CharModel:
             padded = f"^^{word}$"
             for i in range(2, len(padded)):
                 self.tri[padded[i - 2 : i + 1]] += n
-                self.bi[padded[i - 2 : i]] += n
-                self.uni[padded[i]] += n
+        for three, n in self.tri.items():
+            self.bi[three[:2]] += n
+            self.uni[three[2]] += n
         self.total, self.memo = sum(self.uni.values()) + 1, WordCache(self._log, 20_000)
 
     def _log(self, three: str) -> float:
@@ -82,7 +88,7 @@ class Deobfuscator:
         self.lm = CharModel(words)
         total = sum(words.values())
         self.sorted = sorted(words)
-        self.logs = [math.log(words[w] / total) for w in self.sorted]
+        self.logs = array("d", [math.log(words[w] / total) for w in self.sorted])
 
     def decode(self, token: str) -> str:
         """The likeliest word behind a disguised token: Viterbi over (last two letters) states."""
@@ -122,9 +128,12 @@ class Deobfuscator:
 
     def words(self, token: str) -> list[str]:
         """Letter runs of a white-space token, and the restored word if the token looks disguised."""
+        core = token.strip(EDGES)
+        if core.isalpha() and not REPEAT.search(core):  # most tokens
+            return [core]
         token = TRAIL.sub("", token)
         found = LETTERS.findall(token)
-        core = token.strip(".,;:?\"'()[]{}<>&%#*")
+        core = token.strip(EDGES)
         if (core and not core.isalpha() and any(map(str.isalpha, core)) or REPEAT.search(core)) and "://" not in core and (back := self.decode(core)):
             return [*found, back]
         return found
@@ -176,6 +185,8 @@ class Deobfuscator:
     def spelled(self, low: str) -> set[str]:
         """Words behind all spelled-out runs of a lower-case text, in its own gaps and without them."""
         out = set()
+        if not SPELLED_PART.search(low):
+            return out
         for m in SPELLED.finditer(low):
             run = m.group()
             least = min(map(len, GAP.findall(run)))
@@ -196,26 +207,40 @@ class Deobfuscator:
 
 
 def units(word: str) -> list[str]:
-    return [word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
+    return [word, *["^" + word[:k] for k in PREFIXES if len(word) >= k]]
 
 
 class Scorer:
+    """Scores texts by a model. It is made once and sent whole, so that a worker keeps it and its cache for all its tasks."""
+
     def __init__(self, model: dict):
-        self.noise = Deobfuscator(model["words"])
+        self.noise = model.get("noise") or Deobfuscator(model["words"])
         self.weights, self.coef = model["units"], model["coef"]
+        self.starts = {u[1:]: w for u, w in self.weights.items() if u.startswith("^")}
+        # All units of a word share its first letters, so many words are known to have none at one look.
+        self.heads = {head: self.starts.get(head, 0.0) for head in (u.removeprefix("^")[: PREFIXES[0]] for u in self.weights)}
         self.cache = WordCache(self._token, 80_000)
 
-    def _weight(self, words) -> float:
-        return max((self.weights.get(u, 0.0) for w in words for u in units(w)), default=0.0)
+    def _weight(self, word: str) -> float:
+        """The greatest weight of the word's units, 0 if none has one."""
+        best = self.heads.get(word[: PREFIXES[0]])
+        if best is None:
+            return 0.0
+        # A word shorter than a beginning gives its own letters again, which count as a shorter beginning.
+        for found in (self.weights.get(word), *[self.starts.get(word[:k]) for k in PREFIXES[1:]]):
+            if found is not None and found > best:
+                best = found
+        return best
 
     def _token(self, token: str) -> float:
-        return self._weight(self.noise.words(token))
+        words = self.noise.words(token)
+        return self._weight(words[0]) if len(words) == 1 else max(map(self._weight, words), default=0.0)
 
     def features(self, text: str | None) -> list[float]:
         """The strongest and the second strongest word, all words together, and their share of the text."""
         low = (text or "").lower()
         tokens = set(low.split())
-        found = [self.cache[t] for t in tokens] + [self._weight([w]) for w in self.noise.spelled(low)]
+        found = [self.cache[t] for t in tokens] + [self._weight(w) for w in self.noise.spelled(low)]
         top = sorted(found, reverse=True)[:2] + [0.0, 0.0]
         total = sum(found)
         return [top[0], top[1], math.log1p(total), total / math.sqrt(len(found) + 1)]
@@ -274,21 +299,24 @@ def train(documents: DataFrame, labels: DataFrame) -> dict:
     lm = {r["word"]: r["count"] for r in words.groupBy("word").count().where(F.col("count") >= LEAST_ROWS).collect()}
     if not lm:
         return none
-    shared = spark.sparkContext.broadcast(lm)
+    noise = Deobfuscator(lm)
+    shared = spark.sparkContext.broadcast(noise)
 
     def unit_rows(batches):
-        noise = Deobfuscator(shared.value)
-        cache = WordCache(lambda token: [u for w in noise.words(token) for u in units(w)], 10_000)
+        noise = shared.value
+        cache = WordCache(lambda token: [u for w in noise.words(token) for u in units(w)], 20_000)
         for batch in batches:
-            tally: dict[tuple[str, int], list[int]] = {}
+            tally = {(half, bad): Counter() for half in (0, 1) for bad in (False, True)}
             for text, toxic, half in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 low = (text or "").lower()
-                found = {u for token in set(low.split()) for u in cache[token]}
+                found = set(chain.from_iterable(map(cache.__getitem__, set(low.split()))))
                 found.update(u for w in noise.spelled(low) for u in units(w))
-                for u in found:
-                    tally.setdefault((u, half), [0, 0])[toxic > 0] += 1
-            columns = [[u for u, _ in tally], [v[1] for v in tally.values()], [v[0] for v in tally.values()], [h for _, h in tally]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["unit", "bad", "good", "half"])
+                tally[half, toxic > 0].update(found)
+            for half in (0, 1):
+                good, bad = tally[half, False], tally[half, True]
+                names = list(good.keys() | bad.keys())
+                columns = [pa.array(names, pa.string()), pa.array([bad[u] for u in names], pa.int64()), pa.array([good[u] for u in names], pa.int64()), pa.array([half] * len(names), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["unit", "bad", "good", "half"])
 
     # One pass counts the units of both halves.
     tallies = texts.select("text", "toxic", "half").mapInArrow(unit_rows, "unit string, bad long, good long, half long")
@@ -307,25 +335,21 @@ def train(documents: DataFrame, labels: DataFrame) -> dict:
         return {r["unit"]: r["w"] for r in both.where(F.col("bad") >= LEAST_ROWS).select("unit", (odds - spread).alias("w")).where("w > 0").collect()}
 
     # Each half's features come from units of the other, so no text is judged by units it brought.
-    features = []
-    for h in (0, 1):
-        scorer = spark.sparkContext.broadcast({"words": lm, "units": fitted((1 - h,)), "coef": None})
+    scorers = spark.sparkContext.broadcast([Scorer({"noise": noise, "units": fitted((1 - h,)), "coef": None}) for h in (0, 1)])
 
-        def feature_rows(batches, scorer=scorer):
-            model = Scorer(scorer.value)
-            for batch in batches:
-                made = pa.array([model.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([made, batch.column(1)], ["x", "toxic"])
+    def feature_rows(batches):
+        for batch in batches:
+            made = [scorers.value[h].features(t) for t, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-        features.append(texts.where(F.col("half") == h).select("text", "toxic").mapInArrow(feature_rows, "x array<double>, toxic int"))
-    rows = written(features[0].unionByName(features[1]), "toxicity-features", compact=True)
-    return {"words": lm, "units": fitted((0, 1)), "coef": _logistic(rows, 4)}
+    rows = written(texts.select("text", "toxic", "half").mapInArrow(feature_rows, "x array<double>, toxic int"), "toxicity-features", compact=True)
+    return {"words": lm, "units": fitted((0, 1)), "coef": _logistic(rows, 4), "noise": noise}
 
 
 def score(df: DataFrame, model: dict, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """``carry`` columns of each row plus its score as ``name``. One narrow stage, no shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    return added(df, text_col, carry, (name,), (("double", pa.float64()),), lambda: Scorer(shared.value).scores)
+    shared = df.sparkSession.sparkContext.broadcast(Scorer(model))
+    return added(df, text_col, carry, (name,), (("double", pa.float64()),), lambda: shared.value.scores)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

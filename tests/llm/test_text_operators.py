@@ -140,6 +140,32 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert toxicity.Scorer(model).score("idiot") > 0.5 > toxicity.Scorer(model).score("garden")
 
 
+def test_toxicity_makes_its_tables_once_and_sends_them(spark, monkeypatch):
+    made, real = [], toxicity.CharModel.__init__
+    monkeypatch.setattr(toxicity.CharModel, "__init__", lambda self, words: made.append(len(words)) or real(self, words))
+    df = spark.range(400).selectExpr("id as doc_id", "if(id % 4 = 0, 'shared idiot', 'shared garden') as text", "int(id % 4 = 0) as toxic").repartition(6)
+    scores = toxicity.score(df, toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    assert {r.score >= 0.5 for r in scores.where("doc_id % 4 = 0").collect()} == {True}
+    assert made == [3]
+
+
+def test_toxicity_short_cuts_change_nothing():
+    rng = __import__("random").Random(3)
+    noise = toxicity.Deobfuscator({"idiot": 50, "clown": 20, "you": 90})
+    units = {"^idio": 1.5, "^clown": 2.5, "clowns": 4.0, "you": 0.5, "^stupid": 3.0, "été": 1.0}
+    scorer = toxicity.Scorer({"words": {"idiot": 50, "clown": 20, "you": 90}, "units": units, "coef": None})
+    for _ in range(4000):
+        token = "".join(rng.choice(["idio", "clown", "stup", "you", "été", "id", "s", "t", "o", "ooo", "_", "1", "$", "!!", ",", ".", "(", "'", "-", "://"]) for _ in range(rng.randint(1, 4)))
+        kept = toxicity.TRAIL.sub("", token)
+        words, core = toxicity.LETTERS.findall(kept), kept.strip(".,;:?\"'()[]{}<>&%#*")
+        if (core and not core.isalpha() and any(map(str.isalpha, core)) or toxicity.REPEAT.search(core)) and "://" not in core and (back := noise.decode(core)):
+            words = [*words, back]
+        assert noise.words(token) == words, token
+        assert scorer.cache[token] == max((units.get(u, 0.0) for w in words for u in toxicity.units(w)), default=0.0), token
+        run = "".join(rng.choice("abé1@_ .-* ") for _ in range(12))
+        assert toxicity.SPELLED_PART.search(run) or not toxicity.SPELLED.search(run), run
+
+
 def test_toxicity_edges(spark, tmp_path):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (6, None)], "doc_id long, toxic int")
