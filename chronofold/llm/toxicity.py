@@ -283,6 +283,12 @@ def _logistic(rows: DataFrame, n: int, ridge: float = 1e-2) -> list[float]:
     return w.tolist()
 
 
+def _pairs(df: DataFrame) -> dict:
+    """Two columns as a dictionary. They come as Arrow columns: a Row for each would take several times the driver's memory."""
+    table = df.toArrow()
+    return dict(zip(*(column.to_pylist() for column in table.columns), strict=True))
+
+
 def train(documents: DataFrame, labels: DataFrame) -> dict:
     """Fit on all labelled rows outside the held-out fold. ``documents`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     none = {"words": {}, "units": {}, "coef": None}
@@ -296,7 +302,7 @@ def train(documents: DataFrame, labels: DataFrame) -> dict:
     texts = written(texts.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half")), "toxicity-texts")
     spark = documents.sparkSession
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("length(word) between 2 and 30")
-    lm = {r["word"]: r["count"] for r in words.groupBy("word").count().where(F.col("count") >= LEAST_ROWS).collect()}
+    lm = _pairs(words.groupBy("word").count().where(F.col("count") >= LEAST_ROWS))
     if not lm:
         return none
     noise = Deobfuscator(lm)
@@ -332,7 +338,7 @@ def train(documents: DataFrame, labels: DataFrame) -> dict:
         odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
         spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
         both = counts.where(F.col("half").isin(*kept)).groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        return {r["unit"]: r["w"] for r in both.where(F.col("bad") >= LEAST_ROWS).select("unit", (odds - spread).alias("w")).where("w > 0").collect()}
+        return _pairs(both.where(F.col("bad") >= LEAST_ROWS).select("unit", (odds - spread).alias("w")).where("w > 0"))
 
     # Each half's features come from units of the other, so no text is judged by units it brought.
     scorers = spark.sparkContext.broadcast([Scorer({"noise": noise, "units": fitted((1 - h,)), "coef": None}) for h in (0, 1)])

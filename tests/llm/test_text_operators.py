@@ -149,6 +149,15 @@ def test_toxicity_makes_its_tables_once_and_sends_them(spark, monkeypatch):
     assert made == [3]
 
 
+def test_toxicity_brings_no_word_as_a_row_to_the_driver(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id as doc_id", "concat(if(id % 4 = 0, 'idiot', 'garden'), ' w', translate(cast(id % 50 as string), '0123456789', 'abcdefghij')) as text", "int(id % 4 = 0) as toxic")
+    fetched, real = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: fetched.append(real(self)) or fetched[-1])
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert len(model["words"]) > 20 and model["units"]["idiot"] > 0
+    assert not any("word" in row or "unit" in row for rows in fetched for row in rows)
+
+
 def test_toxicity_short_cuts_change_nothing():
     rng = __import__("random").Random(3)
     noise = toxicity.Deobfuscator({"idiot": 50, "clown": 20, "you": 90})
